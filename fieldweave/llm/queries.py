@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import chat, language, line_crf, mixing, pieces, quality_rules, sharding, topk
+from fieldweave.llm import chat, jaccard, language, license_scan, line_crf, mixing, pieces, quality_rules, sharding, topk
 from fieldweave.tables import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -17,6 +21,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_manifest(table(spark, sf_dir, "documents"), 8)
 
@@ -49,5 +57,5 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_topk, op3_quality_rules, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting)}
 ORACLE_SQL: dict[str, str] = {}
