@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: Column | No
     shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-(asked or 0) // query_rows))
     base = made.select("vec_id", "vector", "dim", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).alias("shard"))
     queries = made.where("is_query").select(F.col("vec_id").alias("query_id"), "vector", "dim").dropDuplicates(["query_id", "vector"])
-    queries = queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"))
+    queries = scratch.write(queries.select("*", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")), "queries")
 
     def passed(rows: DataFrame, asked: DataFrame, lo: int, hi: int) -> DataFrame:
         """Shards lo to hi - 1 against all blocks."""
@@ -127,6 +127,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, vector: Column | No
         known = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("low"))
         known = known.select(F.col("query_id").alias("k_id"), F.when(F.col("n") >= k, F.col("low")).otherwise(none).alias("known"))
         rest = queries.join(known, queries.query_id == known.k_id, "left").select("query_id", "vector", "dim", "block", F.coalesce("known", none).alias("kth"))
-        found = seed.unionByName(passed(base, rest, 1, shards))
+        found = seed.unionByName(passed(base, scratch.write(rest, "rest"), 1, shards))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
