@@ -1,0 +1 @@
+"""No operator of this engine reads a stream: repositories are exported documents, read as a whole."""
