@@ -6,10 +6,14 @@ which stands in the join once: its prefix shingles are exploded, and shingles me
 
 Components need no list of all pairs. In a star round every bucket offers its groups paired with one of them (the hub),
 the pairs are verified, and links are contracted to components; a bucket whose groups have all come together is done.
-After the star rounds, whatever pairs of groups in different components still share a bucket are all filtered by size
-and position, expanded into pairs of members and verified, so no link between components is lost. Verification
+After the star rounds, whatever pairs of groups in different components still share a bucket are all filtered by size,
+position and bitmap, expanded into pairs of members and verified, so no link between components is lost. Verification
 compares whole shingle sets.
 
+The bitmap of a set has bit h mod 512 flipped by each shingle h. Bits in which two bitmaps differ are at most the
+shingles that only one of the sets has, so pairs that differ in too many bits can't link. Groups of several members
+have no bitmap and are always expanded.
+
 The global order is (frequency, hash). Frequencies are counted over all documents with a bounded summary: shingles seen
 in several documents of a run of rows, summed over runs, the `HEAVY` most frequent of them; any other counts as rare.
 The order decides cost only, never the result.
@@ -36,6 +40,8 @@ PERCENT = 80
 #: Most shingles whose frequency is told to the tasks; shingles summarised at once; documents of a run that make a shingle frequent.
 HEAVY, RUN_SHINGLES, RUN_LEAST = 200_000, 2_000_000, 3
 STAR_ROUNDS = 3
+#: 64-bit words of a set's bitmap.
+BITMAP_WORDS = 8
 #: At most so many candidate ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -70,7 +76,7 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
-    """Per row: doc_id, n, fp1 and fp2 (of the set), pfp (of the prefix), prefix (ordered shingles)."""
+    """Per row: doc_id, n, fp1 and fp2 (of the set), pfp (of the prefix), prefix (ordered shingles), bits (bitmap)."""
     by_hash = np.argsort(frequent)
     sorted_frequent, rank = frequent[by_hash], (by_hash + 1).astype(np.int32)
 
@@ -84,6 +90,11 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int)
                     run1 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ + np.uint64(1)), dtype=np.uint64)])
                     run2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
                     fp1, fp2 = run1[start[1:]] - run1[start[:-1]], run2[start[1:]] - run2[start[:-1]]
+                bits = np.zeros((len(sets), 64 * BITMAP_WORDS), np.uint8)
+                owner, slot = np.repeat(np.arange(len(sets)), sizes), (all_ % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
+                bits[:] = (np.bincount(owner * bits.shape[1] + slot, minlength=bits.size) & 1).reshape(bits.shape)
+                packed = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(packed))
                 place = np.zeros(len(all_), np.int32)
                 if len(sorted_frequent):
                     at = np.minimum(np.searchsorted(sorted_frequent, all_), len(sorted_frequent) - 1)
@@ -101,9 +112,9 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int)
                     run3 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat + np.uint64(7)), dtype=np.uint64)])
                     pfp = run3[ends[1:]] - run3[ends[:-1]]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, pfp)], lists], ["doc_id", "n", "fp1", "fp2", "pfp", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, pfp)], lists, maps], ["doc_id", "n", "fp1", "fp2", "pfp", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, pfp long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, pfp long, prefix array<long>, bits array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -161,7 +172,13 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose first common shingle leaves room for enough others."""
     pairs = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("n_a", "n_b", "pos_a", "pos_b")])
     room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    return pairs.where(room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b")
+    return pairs.where(room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "n_a", "n_b")
+
+
+def _bits_allow(percent: int) -> Column:
+    """Whether the bitmaps bits_a and bits_b leave room for a link; true where one is missing."""
+    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(1, BITMAP_WORDS)), F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
+    return F.coalesce(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent), F.lit(True))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -182,17 +199,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     nodes = scratch.write(nodes, "nodes")
     if not (count := nodes.count()):
         return _result(signed, classes, None)
+    # Bitmaps of nodes that stand for one set alone.
+    alone = known.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").join(members.select(F.col("g").alias("doc_id")), "doc_id", "left_anti")
+    bitmaps = scratch.write(alone.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("k"), F.first("bits").alias("bits")).where("k = 1").select("doc_id", "bits"), "bitmaps")
     picked = F.broadcast(nodes) if count <= BROADCAST_IDS else nodes
     texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
     # Members of a group against its leader; those that don't link stand in the buckets by themselves.
     tested = scratch.write(members.select(F.col("g").alias("a"), F.col("m").alias("b")), "tested-0")
-    links = scratch.write(_linked(tested, texts, percent, words), "links-0")
-    apart = scratch.write(tested.join(links, ["a", "b"], "left_anti").select(F.col("a").alias("g"), "b"), "apart")
+    labels, _ = _extended(None, tested, texts, percent, words, scratch, "0")
+    linked = scratch.spark.read.schema("a long, b long").parquet(f"{scratch.folder}/links-0")
+    apart = scratch.write(tested.join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("g"), "b"), "apart")
     if apart.count():
         buckets = scratch.write(buckets.unionByName(buckets.join(apart, "g").select(F.col("b").alias("g"), "n", "pos", "shingle")), "buckets-apart")
         members = members.join(apart.select("g", F.col("b").alias("m")), ["g", "m"], "left_anti")
-    labels = components(links, scratch, "round0") if links.count() else None
 
     for k in range(1, STAR_ROUNDS + 1):
         open_ = scratch.write(_open(buckets, labels), f"open-{k}")
@@ -200,19 +220,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         star = open_.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), hub.alias("hub"))
         star = star.select("b", "n_b", "pos_b", F.col("hub.g").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"), "c_b", F.col("hub.c").alias("c_a"))
         star = _filtered(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)), percent)
-        star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for side in "ab":
+            star = star.join(bitmaps.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}")), side, "left")
+        star = star.where(_bits_allow(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.write(star.join(tested, ["a", "b"], "left_anti"), f"star-{k}")
         if not fresh.count():
             break
         tested = tested.unionByName(fresh)
-        links, labels, grew = _extended(links, labels, fresh, texts, percent, words, scratch, str(k))
+        labels, grew = _extended(labels, fresh, texts, percent, words, scratch, str(k))
         if not grew:
             break
 
     # All that is left, between components.
     open_ = scratch.write(_open(buckets, labels), "open-last")
-    one, two = (open_.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c")]) for s in "ab")
-    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent))
+    mapped = open_.join(bitmaps.withColumnRenamed("doc_id", "g"), "g", "left")
+    one, two = (mapped.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c", "bits")]) for s in "ab")
+    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _bits_allow(percent))
     rest = _filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent)
     # Expand groups into members.
     whole = members.select("g", "m").unionByName(members.select("g", F.col("g").alias("m"))).distinct()
@@ -222,7 +245,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     fresh = scratch.write(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if fresh.count():
-        links, labels, _ = _extended(links, labels, fresh, texts, percent, words, scratch, "last")
+        labels, _ = _extended(labels, fresh, texts, percent, words, scratch, "last")
     return _result(signed, classes, labels)
 
 
@@ -235,14 +258,27 @@ def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
     return held.select("*", F.min("c").over(w).alias("lo"), F.max("c").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
 
 
-def _extended(links: DataFrame, labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, percent: int, words: int, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame | None, bool]:
-    """Links with those among the fresh pairs, the components of all, and whether any was found."""
-    new = scratch.write(_linked(fresh, texts, percent, words), f"links-{name}")
-    if not new.count():
-        return links, labels, False
-    # Old links are contracted: a node's edge to its component says the same.
-    old = labels.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")) if labels is not None else links.limit(0)
-    return links.unionByName(new), components(old.unionByName(new), scratch, f"round{name}"), True
+def _extended(labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, percent: int, words: int, scratch: Scratch, name: str) -> tuple[DataFrame | None, bool]:
+    """Components after the fresh pairs are verified, and whether any linked.
+
+    New links are first carried over to the components of their ends, so what is joined round by round is a row for each
+    pair of components that meet, not for each link.
+    """
+    links = scratch.write(_linked(fresh, texts, percent, words), f"links-{name}")
+    met = links
+    if labels is not None:
+        for side in "ab":
+            own = labels.select(F.col("node").alias(side), F.col("component").alias("c"))
+            met = met.join(own, side, "left").select(*[c for c in "ab" if c != side], F.coalesce("c", side).alias(side))
+    met = scratch.write(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"met-{name}")
+    if not met.count():
+        return labels, False
+    new = components(met, scratch, f"round{name}")
+    if labels is None:
+        return new, True
+    moved = new.select(F.col("node").alias("component"), F.col("component").alias("now"))
+    old = labels.join(moved, "component", "left").select("node", F.coalesce("now", "component").alias("component"))
+    return scratch.write(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), f"labels-{name}"), True
 
 
 def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
