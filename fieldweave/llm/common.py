@@ -1,13 +1,14 @@
-"""Shared pieces: word patterns, scratch tables in the cluster's shared folder, blocked prefix sums."""
+"""Shared pieces: word patterns, bounded Arrow batches, blocked prefix sums."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldweave.scratch import Scratch
+
+__all__ = ["Scratch", "blocked_prefix_sum", "small_batches", "word_count", "words_of"]
+
 #: What separates words everywhere in this package: space and the control characters 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
@@ -24,31 +25,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests) a temporary folder is set for the session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder
-
-
-class Scratch:
-    """Intermediate tables as parquet in the shared folder: they survive lost executors and cut the lineage."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.folder = spark, f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *names: str) -> None:
-        """Delete tables that no later plan reads; without names, all."""
-        for name in names or ("",):
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lets Arrow batches hold at most `rows` rows of whole texts, so that a Python worker's memory stays bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def blocked_prefix_sum(df: DataFrame, group: list[str], block: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Scratch
+from fieldweave.llm.common import Scratch, small_batches
 from fieldweave.llm.shingles import WORDS, mixed, shingle_sets
 from fieldweave.llm.textblocks import blocks
 
@@ -183,6 +183,7 @@ def _bits_allow(percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(_signatures(docs, _frequent(docs, words), percent, words), "signatures")
     known = signed.where("n > 0 and doc_id is not null")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldweave.llm.common import small_batches
 from fieldweave.llm.textblocks import blocks, segment_sums
 
 TRAIN_DOCS, ROUNDS, PENALTY = 4000, 120, 1e-3
@@ -244,8 +245,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then held_out, score and predicted of every document. `text` may be among `keep`."""
+    small_batches(docs.sparkSession)
     chain = train(training_sample(docs, labels, train_docs))
-    names = [c for c in keep]
+    names = list(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields] + ["held_out boolean", "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
