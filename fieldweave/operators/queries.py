@@ -1,6 +1,491 @@
-"""Registered queries of the lineage engine and the SQL that says the same."""
+"""Registered queries of the lineage engine and the SQL that says the same.
+
+Where a query needs a repository-shaped input, it is derived from the parquet tables by the same rule in both, or is a
+small set of rows written out in both.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldweave.functions import expressions as X
+from fieldweave.operators import graph, order, report, stitch
+from fieldweave.plans import catalog, dependency, lineage
+from fieldweave.scratch import Scratch
+from fieldweave.sources.compact import document
+from fieldweave.sources.repository import from_json
+from fieldweave.sources.sample import ENGINE_B, GOLDEN
+from fieldweave.tables import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    """The same rows as SQL."""
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+# Graphs derived from the tables: line items lead to orders, customers, nations and regions.
+
+_EDGES = """edges AS (
+  SELECT DISTINCT 'L' || l_orderkey || '.' || l_linenumber AS src, 'O' || l_orderkey AS dst FROM lineitem
+  UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders
+  UNION ALL SELECT 'C' || c_custkey, 'N' || c_nationkey FROM customer
+  UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation)"""
+
+
+def _node(prefix: str, *columns: str):
+    return F.concat(F.lit(prefix), F.concat_ws(".", *[F.col(c).cast("string") for c in columns]))
+
+
+def _edges(spark: SparkSession, sf_dir: str, names: str = "LOCN") -> DataFrame:
+    parts = {
+        "L": lambda: table(spark, sf_dir, "lineitem").select(_node("L", "l_orderkey", "l_linenumber").alias("src"), _node("O", "l_orderkey").alias("dst")).distinct(),
+        "O": lambda: table(spark, sf_dir, "orders").select(_node("O", "o_orderkey").alias("src"), _node("C", "o_custkey").alias("dst")),
+        "C": lambda: table(spark, sf_dir, "customer").select(_node("C", "c_custkey").alias("src"), _node("N", "c_nationkey").alias("dst")),
+        "N": lambda: table(spark, sf_dir, "nation").select(_node("N", "n_nationkey").alias("src"), _node("R", "n_regionkey").alias("dst")),
+    }
+    out = None
+    for k in names:
+        out = parts[k]() if out is None else out.unionByName(parts[k]())
+    return out
+
+
+def _hops(spark: SparkSession, sf_dir: str, names: str) -> list[DataFrame]:
+    return [_edges(spark, sf_dir, k) for k in names]
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk AS (
+  SELECT src AS root, src AS node, [src] AS path FROM edges WHERE src LIKE 'L%'
+  UNION ALL SELECT w.root, e.dst, list_append(w.path, e.dst) FROM walk w JOIN edges e ON e.src = w.node)
+SELECT DISTINCT root, node AS leaf, array_to_string(path, ' -> ') AS path FROM walk WHERE node LIKE 'R%'""")
+def gr1_backward_trace(spark, sf_dir):
+    """From every line item to its region. The kinds of nodes are known, so each hop joins with that kind's edges alone."""
+    rows, *rest = _hops(spark, sf_dir, "LOCN")
+    walk = rows.select(F.col("src").alias("root"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+    for e in rest:
+        walk = walk.join(e, walk.node == e.src).select("root", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+    return walk.select("root", F.col("node").alias("leaf"), F.array_join("path", " -> ").alias("path"))
+
+
+_CYCLE = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("b", "d"), ("d", "e"), ("x", "x"), ("x", "e")]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT * FROM {_values(_CYCLE, 'src, dst')}), walk AS (
+  SELECT DISTINCT src AS root, src AS node, [src] AS path FROM e
+  UNION ALL SELECT w.root, e.dst, list_append(w.path, e.dst) FROM walk w JOIN e ON e.src = w.node WHERE NOT list_contains(w.path, e.dst))
+SELECT root, node AS leaf, array_to_string(path, ',') AS path FROM walk WHERE node NOT IN (SELECT src FROM e)""")
+def gr1_path_cycle_guard(spark, sf_dir):
+    e = _rows(spark, _CYCLE, "src string, dst string")
+    return graph.paths(e.select(F.col("src").alias("root")).distinct(), e, 8, Scratch(spark)).select("root", "leaf", F.array_join("path", ",").alias("path"))
+
+
+@query("""SELECT 'O' || o_orderkey AS root, 'R' || n_regionkey AS leaf, CAST((o_orderpriority = '1-URGENT')::INT + (c_mktsegment = 'BUILDING')::INT + (n_regionkey < 2)::INT AS BIGINT) AS crossings,
+  CASE WHEN (o_orderpriority = '1-URGENT')::INT + (c_mktsegment = 'BUILDING')::INT + (n_regionkey < 2)::INT <= 1 THEN 'Direct' ELSE 'Indirect' END AS dependency
+FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def gr10_direct_indirect(spark, sf_dir):
+    """crossings of logic along order, customer, nation; each hop says whether it holds logic."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderpriority") == "1-URGENT").cast("long").alias("x1"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", (F.col("c_mktsegment") == "BUILDING").cast("long").alias("x2"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", (F.col("n_regionkey") < 2).cast("long").alias("x3"))
+    met = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    crossings = F.col("x1") + F.col("x2") + F.col("x3")
+    return met.select(_node("O", "o_orderkey").alias("root"), _node("R", "n_regionkey").alias("leaf"), crossings.alias("crossings"), X.dependency(crossings).alias("dependency"))
+
+
+_TASKS = [("Start", 0), ("a", 1), ("b", 2), ("c", 3), ("d", 4), ("e", 5), ("f", 6), ("g", 7), ("h", 8)]
+_LINKS = [("Start", "c"), ("Start", "a"), ("a", "b"), ("c", "b"), ("c", "b"), ("b", "e"), ("a", "d"), ("d", "e"), ("f", "g"), ("g", "f"), ("g", "h")]
+
+
+@query(f"""SELECT * FROM {_values([("Start", 1), ("a", 2), ("c", 3), ("d", 4), ("b", 5), ("e", 6), ("f", 7), ("g", 8), ("h", 9)], 'task, place')}""")
+def gr5_topological_order(spark, sf_dir):
+    """First in, first out: a fork, a join, a doubled link and a cycle whose nodes come last in document order."""
+    nodes = _rows(spark, _TASKS, "task string, ord int").withColumn("wf", F.lit("w"))
+    links = _rows(spark, _LINKS, "from_task string, to_task string").withColumn("wf", F.lit("w"))
+    return order.topological_order(nodes, links, Scratch(spark), ["wf"]).select("task", F.col("place").cast("int").alias("place"))
+
+
+@query("""SELECT 'C' || c_custkey AS node, string_agg(DISTINCT r_name, ', ' ORDER BY r_name) AS labels FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY ALL
+UNION ALL SELECT 'N' || n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT 'R' || r_regionkey, r_name FROM region""")
+def gr8_label_propagation(spark, sf_dir):
+    """Region names flow back to nations and customers through predecessor keys."""
+    r = table(spark, sf_dir, "region").select(_node("R", "r_regionkey").alias("own_key"), F.col("own_key").alias("prev_key") if False else F.lit(None).cast("string").alias("prev_key"), F.col("r_name").alias("target_field"))
+    e = _edges(spark, sf_dir, "CN")
+    # A region's row points to every nation; keys make that one predecessor key a level.
+    rows = r.unionByName(e.select(F.col("src").alias("own_key"), F.lit(None).cast("string").alias("prev_key"), F.lit("").alias("target_field")))
+    labelled = graph_labels(rows, e, Scratch(spark))
+    return labelled.select(F.col("own_key").alias("node"), F.col("Connectors").alias("labels"))
+
+
+def graph_labels(rows: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """GR8 over edges src to dst: labels of dst rows reach src rows. Each edge is a row whose own key is its source."""
+    keyed = edges.select(F.col("dst").alias("own_key"), F.col("src").alias("prev_key"), F.lit("").alias("target_field")).unionByName(rows.select("own_key", "prev_key", "target_field"))
+    numbered = scratch.write(keyed.select("*", F.row_number().over(Window.orderBy(F.col("target_field").desc(), "own_key", "prev_key")).cast("long").alias("edge_id")), "numbered")
+    starts = numbered.where("target_field <> ''").select("own_key", F.col("target_field").alias("label"))
+    # A start's label belongs to all rows of its key.
+    first = numbered.join(starts, "own_key").select("edge_id", "own_key", "prev_key", F.col("label").alias("target_field"))
+    rest = numbered.join(starts.select("own_key"), "own_key", "left_anti").select("edge_id", "own_key", "prev_key", "target_field")
+    out = stitch.labels(first.unionByName(rest), scratch, F.col("target_field") != "")
+    return out.where("Connectors <> ''").groupBy("own_key").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("Connectors", ", "))))), ", ").alias("Connectors"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, seen AS (SELECT 'R1' AS node UNION SELECT e.src FROM seen s JOIN edges e ON e.dst = s.node) SELECT node FROM seen""")
+def gr11_reachable_subgraph(spark, sf_dir):
+    """All nodes that lead to region 1."""
+    spark_edges = _edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.reachable(spark.range(1).select(F.lit("R1").alias("node")), spark_edges, Scratch(spark))
+
+
+@query("""SELECT 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey = 3 AND o_orderstatus = 'F'""")
+def gr16_subgraph(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(_node("C", "c_custkey").alias("node"))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(_node("O", "o_orderkey").alias("node"))
+    return graph.subgraph(c.unionByName(o), _edges(spark, sf_dir, "O"))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, up AS (SELECT dst AS src, src AS dst FROM edges WHERE src NOT LIKE 'L%'), walk AS (
+  SELECT DISTINCT src AS node, 0 AS level FROM up WHERE src NOT IN (SELECT dst FROM up)
+  UNION SELECT u.dst, w.level + 1 FROM walk w JOIN up u ON u.src = w.node)
+SELECT node, CAST(max(level) AS INT) AS level FROM walk GROUP BY node""")
+def gr13_longest_level(spark, sf_dir):
+    e = _edges(spark, sf_dir, "OCN").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return graph.longest_levels(nodes, e, Scratch(spark))
+
+
+_GROUPED = """nodes AS (SELECT 'C' || c_custkey AS node, n_name AS grp, 1 AS level FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 'S' || s_suppkey, n_name, 0 FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+  edges AS (SELECT DISTINCT 'S' || l_suppkey AS src, 'C' || o_custkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+  crossed AS (SELECT a.grp AS from_group, b.grp AS to_group, count(*) AS n FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst WHERE a.grp <> b.grp GROUP BY ALL)"""
+
+
+def _grouped(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(_node("C", "c_custkey").alias("node"), F.col("n_name").alias("grp"), F.lit(1).alias("level"))
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(_node("S", "s_suppkey").alias("node"), F.col("n_name").alias("grp"), F.lit(0).alias("level"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return c.unionByName(s), li.select("l_suppkey", "o_custkey").distinct().select(_node("S", "l_suppkey").alias("src"), _node("C", "o_custkey").alias("dst"))
+
+
+@query(f"WITH {_GROUPED} SELECT from_group, to_group, n FROM crossed")
+def ag10_cross_counts(spark, sf_dir):
+    return graph.cross_counts(*_grouped(spark, sf_dir))
+
+
+@query(f"""WITH {_GROUPED} SELECT g.grp, CAST(row_number() OVER (ORDER BY g.grp = 'GERMANY', n.n_nationkey, g.grp) AS INT) AS place, g.node_count, g.level,
+  CAST(coalesce((SELECT sum(n) FROM crossed WHERE to_group = g.grp), 0) AS BIGINT) AS incoming, CAST(coalesce((SELECT sum(n) FROM crossed WHERE from_group = g.grp), 0) AS BIGINT) AS outgoing
+FROM (SELECT grp, count(*) AS node_count, min(level) AS level FROM nodes GROUP BY grp) g JOIN nation n ON n.n_name = g.grp""")
+def gr14_panels(spark, sf_dir):
+    nodes, edges = _grouped(spark, sf_dir)
+    rank = table(spark, sf_dir, "nation").select(F.col("n_name").alias("grp"), F.col("n_nationkey").alias("rank"))
+    return graph.panels(nodes, edges, "GERMANY", rank)
+
+
+# As-of joins and read/write sets.
+
+
+def _asof(spark, sf_dir, before: bool) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    writers = e.where("event_type in ('purchase', 'signup')").select("user_id", "event_id", "event_type")
+    readers = e.where("event_type in ('view', 'click')").select("user_id", F.col("event_id").alias("at"))
+    found = stitch.closest(readers, writers, ["user_id"], "at", "event_id", before, ["event_type"], "found_")
+    return found.select("user_id", "at", "found_event_id", "found_event_type")
+
+
+def _asof_sql(before: bool) -> str:
+    pick, cmp = ("max", "<") if before else ("min", ">")
+    return f"""WITH w AS (SELECT user_id, event_id, event_type FROM events WHERE event_type IN ('purchase', 'signup')),
+  r AS (SELECT user_id, event_id AS at FROM events WHERE event_type IN ('view', 'click')),
+  f AS (SELECT r.user_id, r.at, {pick}(w.event_id) AS found_event_id FROM r LEFT JOIN w ON w.user_id = r.user_id AND w.event_id {cmp} r.at GROUP BY ALL)
+SELECT f.user_id, f.at, f.found_event_id, w.event_type AS found_event_type FROM f LEFT JOIN w ON w.event_id = f.found_event_id AND w.user_id = f.user_id"""
+
+
+@query(_asof_sql(True))
+def j5_prev_writer(spark, sf_dir):
+    return _asof(spark, sf_dir, True)
+
+
+@query(_asof_sql(False))
+def j6_next_reader(spark, sf_dir):
+    return _asof(spark, sf_dir, False)
+
+
+@query("""SELECT l_partkey AS tbl, CASE WHEN count(DISTINCT l_suppkey) > 1 THEN 'Yes' ELSE 'No' END AS multi, string_agg(DISTINCT lpad(CAST(l_suppkey AS VARCHAR), 6, '0'), ', ' ORDER BY lpad(CAST(l_suppkey AS VARCHAR), 6, '0')) AS instances FROM lineitem GROUP BY l_partkey""")
+def j7_multi_instance(spark, sf_dir):
+    names = F.array_sort(F.collect_set(F.lpad(F.col("l_suppkey").cast("string"), 6, "0")))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("tbl")).agg(names.alias("names"))
+    return rows.select("tbl", F.when(F.size("names") > 1, "Yes").otherwise("No").alias("multi"), F.array_join("names", ", ").alias("instances"))
+
+
+@query("""SELECT o_orderpriority AS tbl, l_returnflag AS field, string_agg(DISTINCT l_linestatus, ', ' ORDER BY l_linestatus) AS instances FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""")
+def gr21_rw_sets(spark, sf_dir):
+    met = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return met.groupBy(F.col("o_orderpriority").alias("tbl"), F.col("l_returnflag").alias("field")).agg(F.array_join(F.array_sort(F.collect_set("l_linestatus")), ", ").alias("instances"))
+
+
+@query("""SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 's:' || d.lang) AS found FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id) l ON l.doc_id = d.doc_id""")
+def j2_local_then_folder(spark, sf_dir):
+    local = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return d.join(local, "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.concat(F.lit("s:"), "lang")).alias("found"))
+
+
+_OUTS, _INS = [("REPORTINGID",), ("SOURCENAME2",), ("SOURCENAME1",), ("X",), ("A1",)], [("REPORTINGID2",), ("REPORTINGID3",), ("SOURCENAME",), ("X",), ("A2",), ("X9",)]
+
+
+@query(f"""SELECT o.out, i.inp, CASE WHEN regexp_extract(i.inp, '^(.*?)([0-9]+)$', 1) = o.out THEN 'fan-in' ELSE 'fan-out' END AS kind FROM (SELECT * FROM {_values(_OUTS, 'out')}) o, (SELECT * FROM {_values(_INS, 'inp')}) i
+WHERE o.out <> i.inp AND (regexp_extract(i.inp, '^(.*?)([0-9]+)$', 1) = o.out OR regexp_extract(o.out, '^(.*?)([0-9]+)$', 1) = i.inp)""")
+def j12_suffix_match(spark, sf_dir):
+    outs, ins = (_rows(spark, r, f"{c} string").withColumn("t", F.lit(1)) for r, c in ((_OUTS, "out"), (_INS, "inp")))
+    return report.suffix_matches(outs, ins, ["t"]).select("out", "inp", "kind")
+
+
+@query("""WITH cat AS (SELECT p_brand, p_type, p_size, p_name, p_partkey FROM part WHERE p_partkey % 7 = 0),
+ t1 AS (SELECT p_brand, p_type, p_size, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL), t2 AS (SELECT p_brand, p_type, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL), t3 AS (SELECT p_brand, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL)
+SELECT p.p_partkey, coalesce(t1.v, t2.v, t3.v) AS p_name, CASE WHEN t1.v IS NOT NULL THEN 1 WHEN t2.v IS NOT NULL THEN 2 WHEN t3.v IS NOT NULL THEN 3 ELSE 0 END AS tier
+FROM part p LEFT JOIN t1 USING (p_brand, p_type, p_size) LEFT JOIN t2 USING (p_brand, p_type) LEFT JOIN t3 USING (p_brand)""")
+def j14_three_tier_match(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    found = report.tiered_match(p.select("p_partkey", "p_brand", "p_type", "p_size"), p.where("p_partkey % 7 = 0"), [["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"]], "p_name", "p_partkey")
+    return found.select("p_partkey", "p_name", "tier")
+
+
+# Scalar functions.
+
+_EXPRESSIONS = [
+    (1, "IIF(X > 0, X, :LKP.LKP_C(Y))"), (2, "v_a || LTRIM(RTRIM(b_2))"), (3, "SYSDATE"), (4, ""), (5, ":lkp.one(A, B) + :LKP.two( C )"), (6, "'STATUS' = STATUS AND max_x"),
+]
+_UPPER = ", ".join(f"'{k}'" for k in X.KEYWORDS)
+
+
+@query(f"""SELECT id, CAST(pos AS INT) AS pos, tok FROM (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS pos FROM (
+  SELECT id, tok, min(i) AS first FROM (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT id, regexp_extract_all(e, '[A-Za-z_][A-Za-z0-9_]*') AS toks FROM {_values(_EXPRESSIONS, 'id, e')})) WHERE upper(tok) NOT IN ({_UPPER}) GROUP BY id, tok))""")
+def f1_tokens(spark, sf_dir):
+    return _rows(spark, _EXPRESSIONS, "id int, e string").select("id", F.posexplode(X.tokens(F.col("e"))).alias("pos", "tok"))
+
+
+@query("""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS INT) AS n FROM documents""")
+def f1_token_counts(spark, sf_dir):
+    found = F.size(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(X.TOKEN), F.lit(0))))
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("n"))
+
+
+@query(f"""SELECT id, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 1)) AS name, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 2)) AS args FROM {_values(_EXPRESSIONS, 'id, e')}""")
+def f2_lkp_calls(spark, sf_dir):
+    return _rows(spark, _EXPRESSIONS, "id int, e string").select("id", F.explode(X.lookup_calls(F.col("e"))).alias("c")).select("id", "c.name", "c.args")
+
+
+_NAMES = [("X",), ("b_2",), ("b",), ("STATUS",), ("Y",)]
+
+
+@query(f"""SELECT id, name FROM {_values(_EXPRESSIONS, 'id, e')}, (SELECT * FROM {_values(_NAMES, 'name')}) n WHERE regexp_matches(e, '\\b' || name || '\\b')""")
+def f3_whole_word(spark, sf_dir):
+    e, n = _rows(spark, _EXPRESSIONS, "id int, e string"), _rows(spark, _NAMES, "name string")
+    return e.join(F.broadcast(n), X.names_whole_word(F.col("e"), F.col("name"))).select("id", "name")
+
+
+@query("""SELECT doc_id, CASE WHEN length(e) > 70 THEN left(e, 67) || '...' ELSE e END AS shown FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[ \\t\\r\\n\\x0B\\f]+', ' ', 'g')) AS e FROM documents)""")
+def lt4_short(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.short(F.col("text")).alias("shown"))
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+SELECT user_id, string_agg(event_type, ' -> ' ORDER BY event_id) AS runs FROM s WHERE p IS NULL OR p <> event_type GROUP BY user_id""")
+def f5_hop_grouping(spark, sf_dir):
+    hops = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda e: X.hop(e["event_type"], F.lit("t"), F.lit(""), e["event_type"]))
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(hops.alias("hops"))
+    return rows.select("user_id", F.array_join(F.transform(X.grouped_hops(F.col("hops")), lambda h: h["name"]), " -> ").alias("runs"))
+
+
+@query("""WITH s AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM conversations)
+SELECT conv_id, string_agg(role || '.' || turn || '[turn]', ' -> ' ORDER BY turn DESC) AS chain FROM s WHERE p IS NULL OR p <> role GROUP BY conv_id""")
+def f6_chain_string(spark, sf_dir):
+    hops = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda e: X.hop(e["role"], F.lit("turn"), e["turn"].cast("string"), e["role"]))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(hops.alias("hops"))
+    return rows.select("conv_id", X.chain(F.col("hops")).alias("chain"))
+
+
+_PORTS = [("A", "INPUT", ""), ("B", "OUTPUT", "A+1"), ("C", "INPUT/OUTPUT", ""), ("v_D", "", "A"), ("E", "", ""), ("F", "", "x"), ("G", "LOCAL VARIABLE", "y"), ("o_H", "OUTPUT", "")]
+
+
+@query(f"""SELECT port, has_in OR (NOT (has_in OR has_out OR has_var) AND e = '') AS is_in, has_out AS is_out, has_var OR (NOT (has_in OR has_out OR has_var) AND e <> '') AS is_var, CASE WHEN e = '' THEN 'Direct Pass through' ELSE 'Involves Derivation' END AS category
+FROM (SELECT *, contains(upper(pt), 'INPUT') AS has_in, contains(upper(pt), 'OUTPUT') AS has_out, contains(upper(pt), 'VARIABLE') OR lower(left(port, 2)) IN ('v_', 'i_', 'o_') AS has_var FROM {_values(_PORTS, 'port, pt, e')})""")
+def f9_classify(spark, sf_dir):
+    p = _rows(spark, _PORTS, "port string, pt string, e string")
+    return p.select("port", X.port_class(F.col("port"), F.col("pt"), F.col("e")).alias("c"), X.category(F.col("e")).alias("category")).select("port", "c.is_in", "c.is_out", "c.is_var", "category")
+
+
+_LOGIC = [
+    ("Expression", "k", "v", "closure"), ("Filter", "filter condition ", "a > 1", "closure"), ("Joiner", "Join Condition", "a = b", "closure"), ("Sorter", "Sort Direction", "ASC", "closure"),
+    ("Source Qualifier", "Sql Query", "select 1", "closure"), ("Sequence Generator", "Current Value", "7", "closure"), ("Update Strategy", "Update Strategy Expression", "DD_INSERT", "closure"), ("Rank", "Top/Bottom", "Top", "closure"),
+    ("Filter", "other", "x", "closure"), ("Java", "k", "v", "closure"),
+]
+_LOGIC_OUT = ["closure", "a > 1", "a = b", "ASC", "select 1", "7", "DD_INSERT", "Rank=Top, number of Ranks=", "closure", "closure"]
+
+
+@query(f"SELECT * FROM {_values([(r[0], r[1], o) for r, o in zip(_LOGIC, _LOGIC_OUT, strict=True)], 'ttype, attr, logic')}")
+def f10_business_logic(spark, sf_dir):
+    p = _rows(spark, _LOGIC, "ttype string, attr string, value string, closure string")
+    none = F.expr("cast(map() as map<string,string>)")
+    logic, _ = X.business_logic(F.col("ttype"), F.create_map("attr", "value"), none, F.lit(None).cast("string"), none, F.col("closure"))
+    return p.select("ttype", "attr", logic.alias("logic"))
+
+
+_CROSS = [("Expression", "A", "", 0), ("Expression", "A", "A", 0), ("Expression", "A", "B", 1), ("Expression", "A", "B + 1", 1), ("Expression", "A", "V", 1), ("Router", "A", "B", 1), ("Router", "A", "B + C", 2), ("Router", "A", "", 0)]
+
+
+@query(f"""SELECT ttype, field, e, CASE WHEN ttype = 'Expression' THEN NOT (e IN ('', field) OR e = 'B') ELSE n > 0 AND NOT (n = 1 AND e = 'B') END AS crossing FROM {_values(_CROSS, 'ttype, field, e, n')}""")
+def f11_crossing(spark, sf_dir):
+    """`n` is the number of ports an expression names; B is a plain input, V a variable."""
+    p = _rows(spark, _CROSS, "ttype string, field string, e string, n int")
+    refs = F.when(F.col("n") == 1, F.array(F.regexp_extract("e", "[A-Z]", 0))).when(F.col("n") == 2, F.array(F.lit("B"), F.lit("C"))).otherwise(F.array().cast("array<string>"))
+    none = F.expr("cast(map() as map<string,string>)")
+    crossing = dependency.crossing(F.col("ttype"), F.col("field"), F.col("e"), refs, F.col("e") == "V", none, F.lit(""))
+    return p.select("ttype", "field", "e", crossing.alias("crossing"))
+
+
+# Grouping, windows, pages and filters.
+
+_ALL = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+
+
+@query(f"""SELECT {_ALL} FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS k FROM lineitem) WHERE k = 1""")
+def ag1_dedup_keep_first(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(*_ALL.split(", "))
+    return report.keep_first(rows, ["l_orderkey", "l_linenumber"], [F.col(c) for c in _ALL.split(", ")[2:]])
+
+
+@query("""SELECT l_partkey, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS flags FROM lineitem GROUP BY l_partkey""")
+def ag7_sorted_join(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), ", ").alias("flags"))
+
+
+@query("""SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, place, CASE WHEN place > 300 THEN n - 300 ELSE 0 END AS omitted FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS INT) AS place, count(*) OVER (PARTITION BY l_suppkey) AS n FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, l_partkey FROM lineitem)) WHERE place <= 301""")
+def lt2_cap_with_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").distinct()
+    return graph.capped_groups(rows, "l_suppkey", [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 300)
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 300")
+def lt3_page(spark, sf_dir):
+    return report.page(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), [F.col("o_orderkey")], 4)
+
+
+@query("""SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE contains(lower(o_orderpriority), 'high') OR contains(lower(o_orderstatus), 'high')""")
+def pf9_text_filter(spark, sf_dir):
+    return report.text_filter(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), "HIGH", ["o_orderpriority", "o_orderstatus"])
+
+
+_ALLOWED = {"o_orderstatus": ["F", "P"], "o_orderpriority": ["1-URGENT", "2-HIGH"]}
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def pf10_value_filter(spark, sf_dir):
+    return report.value_filter(table(spark, sf_dir, "orders"), _ALLOWED).select("o_orderkey")
+
+
+@query("SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def pf11_cascade(spark, sf_dir):
+    return report.cascade(table(spark, sf_dir, "orders"), "o_orderstatus", _ALLOWED)
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)")
+def pf6_wired(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    return report.wired_fields(table(spark, sf_dir, "part"), lines, ["p_partkey"]).select("p_partkey", "p_name")
+
+
+_ASKED, _MAPS, _SESS, _WFS = [("m1",), ("S1",), ("wf",), ("M2",), ("zz",)], [("m1",), ("m2",), ("s1",)], [("S1", "m2"), ("m1", "m2")], [("WF", "m1"), ("WF", "m2")]
+
+
+@query(f"SELECT * FROM {_values([('m1', 'm1'), ('S1', 'm2'), ('wf', 'm1'), ('wf', 'm2'), ('M2', 'm2')], 'name, mapping')}")
+def pf4_identifier_priority(spark, sf_dir):
+    return report.resolve_identifier(_rows(spark, _ASKED, "name string"), _rows(spark, _MAPS, "mapping string"), _rows(spark, _SESS, "session string, mapping string"), _rows(spark, _WFS, "workflow string, mapping string"))
+
+
+_FORMS = [("", "T", ""), ("m9", "T", ""), ("m1", "U", ""), ("m1", "t", "x"), ("m1", "T", ""), ("m1", "T", "b"), ("m2", "V", "")]
+
+
+@query(f"SELECT * FROM {_values([(*f, s) for f, s in zip(_FORMS, ['blank', 'unknown mapping', 'table is no target', 'wrong instance', 'ambiguous table', 'ready', 'ready'], strict=True)], 'mapping, table_name, instance, state')}")
+def pf14_form_state(spark, sf_dir):
+    inst = _rows(spark, [("m1", "a", "T"), ("m1", "b", "T"), ("m2", "c", "V")], "mapping string, instance string, table string")
+    asked = _rows(spark, _FORMS, "mapping string, table string, instance string")
+    return report.form_state(inst.select("mapping"), inst, asked).withColumnRenamed("table", "table_name")
+
+
+@query("SELECT n_name AS id, regexp_replace('N_' || n_name || '_' || n_nationkey, '[^A-Za-z0-9_-]', '_', 'g') AS clean FROM nation")
+def f16_clean_ids(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), X.clean_id(F.lit("N"), F.col("n_name"), F.col("n_nationkey").cast("string")).alias("clean"))
+
+
+# Composite queries over the sample repositories.
+
+
+def _repo(spark: SparkSession, text: str):
+    return from_json(_rows(spark, [(document(text),)], "d string"))
+
+
+_GOLDEN_ROWS = [
+    (1, "s1", 1, "LKP_C", "C_TBL", "", "LKP_C.C_TBL[Unconnected Lookup] -> EXP_1.O_A[Expression]", "T1", "A", "", "s2", "A"),
+    (2, "s1", 1, "SRC_A", "SRC_A", "Y", "SQ_A.Y[Source Qualifier] -> EXP_1.O_A[Expression]", "T1", "A", "", "s2", "A"),
+    (3, "s1", 1, "SRC_A", "SRC_A", "X", "SQ_A.X[Source Qualifier] -> EXP_1.O_A[Expression]", "T1", "A", "", "s2", "A"),
+    (4, "s1", 1, "SRC_A", "SRC_A", "Y", "SQ_A.Y[Source Qualifier]", "T1", "B", "", "s2", ""),
+    (5, "s2", 2, "T1_SRC", "T1", "A", "SQ_T1.A[Source Qualifier]", "T2", "A", "s1", "", "A"),
+]
+
+
+@query(f"SELECT * FROM {_values(_GOLDEN_ROWS, 'edge_id, session, exec_order, source_instance, source_table, source_field, chain, target_table, target_field, prev_session, next_session, connectors')}")
+def cq1_lineage_end_to_end(spark, sf_dir):
+    t = lineage.build_lineage(_repo(spark, GOLDEN), "T2_TGT", Scratch(spark)).lineage
+    names = {
+        "Edge_ID": "edge_id", "Current_Session_name": "session", "Mapping_Execution_Order": "exec_order", "Source_Instance_Name": "source_instance", "Source Table": "source_table", "Source Field Name": "source_field",
+        "Transformation Lineage": "chain", "Target Table": "target_table", "Target Field": "target_field", "Prev_session_name": "prev_session", "next_session_name": "next_session", "Connectors": "connectors",
+    }
+    return t.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+
+
+_CATALOG_ROWS = [
+    ("EXP_1", "O_A", "Expression", "O_A = IIF(X > 0, X, :LKP.LKP_C(Y))", "Involves Derivation", "X, Y", "O_A"), ("LKP_C", "C_VAL", "Lookup Procedure", "Lookup Table Name: C_TBL", "Direct Pass through", "", "C_VAL"),
+    ("SQ_A", "X", "Source Qualifier", "", "Direct Pass through", "X", "X"), ("SQ_A", "Y", "Source Qualifier", "", "Direct Pass through", "Y", "Y"), ("SQ_T1", "A", "Source Qualifier", "", "Direct Pass through", "A", "A"), ("SQ_T1", "B", "Source Qualifier", "", "Direct Pass through", "B", "B"),
+]
+
+
+@query(f"SELECT * FROM {_values(_CATALOG_ROWS, 'name, port, ttype, logic, category, inputs, outputs')}")
+def cq2_transformation_catalog(spark, sf_dir):
+    scratch = Scratch(spark)
+    t = catalog.shown(catalog.transformation_catalog(_repo(spark, GOLDEN), scratch))
+    names = {"Transformation Name": "name", "PORT_NAME": "port", "Transformation Type": "ttype", "Business Logic": "logic", "Category": "category", "Input Ports": "inputs", "Output Ports": "outputs"}
+    return t.select(*[F.col(f"`{k}`").alias(v) for k, v in names.items()])
+
+
+_FLAT_ROWS = [("ADJUSTMENT", "Indirect"), ("CREDIT_SCORE", "Direct"), ("ORDER_VALUE", "Indirect"), ("REGION", "Direct")]
+
+
+@query(f"SELECT * FROM {_values(_FLAT_ROWS, 'source_field, dependency')}")
+def cq6_flat_lineage(spark, sf_dir):
+    """Which fields decide CUSTOMER_SEGMENT at once, and which only through another computed field."""
+    rows = dependency.flat_lineage(_repo(spark, ENGINE_B), Scratch(spark), "m1", "SEG")
+    return rows.where("target_field = 'CUSTOMER_SEGMENT'").select("source_field", "dependency")

@@ -35,3 +35,35 @@ FOLDER{NAME=F}[
   SESSION{NAME=s1;MAPPINGNAME=m1} SESSION{NAME=s2;MAPPINGNAME=m2}
   WORKFLOWLINK{FROMTASK=Start;TOTASK=s1} WORKFLOWLINK{FROMTASK=s1;TOTASK=s2} ] ]
 """
+
+#: A segment computed from a sum, a score and a region; a source that an earlier mapping's target feeds.
+ENGINE_B = """
+FOLDER{NAME=F}[
+ SOURCE{NAME=ORD}[SOURCEFIELD{NAME=ORDER_VALUE} SOURCEFIELD{NAME=ADJUSTMENT} SOURCEFIELD{NAME=CREDIT_SCORE} SOURCEFIELD{NAME=REGION}]
+ SOURCE{NAME=SEG}[SOURCEFIELD{NAME=CUSTOMER_SEGMENT}]
+ TARGET{NAME=SEG}[TARGETFIELD{NAME=CUSTOMER_SEGMENT}]
+ TARGET{NAME=REP}[TARGETFIELD{NAME=SEGMENT}]
+ MAPPING{NAME=m1}[
+  TRANSFORMATION{NAME=EXP_1;TYPE=Expression}[TRANSFORMFIELD{NAME=ORDER_VALUE;PORTTYPE=INPUT} TRANSFORMFIELD{NAME=ADJUSTMENT;PORTTYPE=INPUT}
+    TRANSFORMFIELD{NAME=SALES_AMT;PORTTYPE=OUTPUT;EXPRESSION=ORDER_VALUE + ADJUSTMENT}]
+  TRANSFORMATION{NAME=EXP_2;TYPE=Expression}[TRANSFORMFIELD{NAME=SALES_AMT;PORTTYPE=INPUT} TRANSFORMFIELD{NAME=CREDIT_SCORE;PORTTYPE=INPUT} TRANSFORMFIELD{NAME=REGION;PORTTYPE=INPUT}
+    TRANSFORMFIELD{NAME=SEG_OUT;PORTTYPE=OUTPUT;EXPRESSION=IIF(SALES_AMT > 100000 AND CREDIT_SCORE > 750 AND REGION = 'US', 'PREMIUM', 'STANDARD')}]
+  INSTANCE{NAME=ORD;TYPE=SOURCE;TRANSFORMATION_NAME=ORD;TRANSFORMATION_TYPE=Source Definition}
+  INSTANCE{NAME=EXP_1;TYPE=TRANSFORMATION;TRANSFORMATION_NAME=EXP_1;TRANSFORMATION_TYPE=Expression}
+  INSTANCE{NAME=EXP_2;TYPE=TRANSFORMATION;TRANSFORMATION_NAME=EXP_2;TRANSFORMATION_TYPE=Expression}
+  INSTANCE{NAME=SEG;TYPE=TARGET;TRANSFORMATION_NAME=SEG;TRANSFORMATION_TYPE=Target Definition}
+  CONNECTOR ORD.ORDER_VALUE(Source Definition) -> EXP_1.ORDER_VALUE(Expression)
+  CONNECTOR ORD.ADJUSTMENT(Source Definition) -> EXP_1.ADJUSTMENT(Expression)
+  CONNECTOR EXP_1.SALES_AMT(Expression) -> EXP_2.SALES_AMT(Expression)
+  CONNECTOR ORD.CREDIT_SCORE(Source Definition) -> EXP_2.CREDIT_SCORE(Expression)
+  CONNECTOR ORD.REGION(Source Definition) -> EXP_2.REGION(Expression)
+  CONNECTOR EXP_2.SEG_OUT(Expression) -> SEG.CUSTOMER_SEGMENT(Target Definition) ]
+ MAPPING{NAME=m2}[
+  INSTANCE{NAME=SEG;TYPE=SOURCE;TRANSFORMATION_NAME=SEG;TRANSFORMATION_TYPE=Source Definition}
+  INSTANCE{NAME=REP;TYPE=TARGET;TRANSFORMATION_NAME=REP;TRANSFORMATION_TYPE=Target Definition}
+  CONNECTOR SEG.CUSTOMER_SEGMENT(Source Definition) -> REP.SEGMENT(Target Definition) ]
+ WORKFLOW{NAME=WF}[
+  TASKINSTANCE{NAME=s1;TASKTYPE=Session} TASKINSTANCE{NAME=s2;TASKTYPE=Session}
+  SESSION{NAME=s1;MAPPINGNAME=m1} SESSION{NAME=s2;MAPPINGNAME=m2}
+  WORKFLOWLINK{FROMTASK=s1;TOTASK=s2} ] ]
+"""
