@@ -10,9 +10,10 @@ After the star rounds, whatever pairs of groups in different components still sh
 position and bitmap, expanded into pairs of members and verified, so no link between components is lost. Verification
 compares whole shingle sets.
 
-The bitmap of a set has bit h mod 512 flipped by each shingle h. Bits in which two bitmaps differ are at most the
-shingles that only one of the sets has, so pairs that differ in too many bits can't link. Groups of several members
-have no bitmap and are always expanded.
+The bitmap of a set has bit h mod its width flipped by each shingle h. Bits in which two bitmaps differ are at most the
+shingles that only one of the sets has, so pairs that differ in too many bits can't link. A narrow bitmap travels with
+the buckets, a wide one is compared for the pairs that are left. Groups of several members have none and are always
+expanded.
 
 The global order is (frequency, hash). Frequencies are counted over all documents with a bounded summary: shingles seen
 in several documents of a run of rows, summed over runs, the `HEAVY` most frequent of them; any other counts as rare.
@@ -26,6 +27,8 @@ has no component and links with nothing; an empty table gives an empty result. O
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,10 @@ PERCENT = 80
 #: Most shingles whose frequency is told to the tasks; shingles summarised at once; documents of a run that make a shingle frequent.
 HEAVY, RUN_SHINGLES, RUN_LEAST = 200_000, 2_000_000, 3
 STAR_ROUNDS = 3
-#: 64-bit words of a set's bitmap.
-BITMAP_WORDS = 8
+#: 64-bit words of a set's narrow and wide bitmaps.
+NARROW, WIDE = 4, 32
+#: Rows of a label table that one task takes.
+LABEL_ROWS = 200_000
 #: At most so many candidate ids are broadcast to pick their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -75,8 +80,16 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     return top.column("shingle").to_numpy()[order].view(np.uint64)
 
 
+def _bitmaps(shingles: np.ndarray, owner: np.ndarray, sets: int, words: int) -> pa.Array:
+    """The bitmap of each set as a list of `words` 64-bit words: a bit is the parity of the shingles that fall on it."""
+    width = 64 * words
+    odd = (np.bincount(owner * width + (shingles % np.uint64(width)).astype(np.int64), minlength=sets * width) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(sets, width), axis=1).view(np.int64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, sets * words + 1, words, dtype=np.int32)), pa.array(packed))
+
+
 def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
-    """Per row: doc_id, n, fp1 and fp2 (of the set), pfp (of the prefix), prefix (ordered shingles), bits (bitmap)."""
+    """Per row: doc_id, n, fp1 and fp2 (of the set), pfp (of the prefix), prefix (ordered shingles), bits and wide (bitmaps)."""
     by_hash = np.argsort(frequent)
     sorted_frequent, rank = frequent[by_hash], (by_hash + 1).astype(np.int32)
 
@@ -90,11 +103,7 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int)
                     run1 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ + np.uint64(1)), dtype=np.uint64)])
                     run2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
                     fp1, fp2 = run1[start[1:]] - run1[start[:-1]], run2[start[1:]] - run2[start[:-1]]
-                bits = np.zeros((len(sets), 64 * BITMAP_WORDS), np.uint8)
-                owner, slot = np.repeat(np.arange(len(sets)), sizes), (all_ % np.uint64(64 * BITMAP_WORDS)).astype(np.int64)
-                bits[:] = (np.bincount(owner * bits.shape[1] + slot, minlength=bits.size) & 1).reshape(bits.shape)
-                packed = np.packbits(bits, axis=1).view(np.int64).reshape(-1)
-                maps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, BITMAP_WORDS, dtype=np.int32)), pa.array(packed))
+                maps = [_bitmaps(all_, np.repeat(np.arange(len(sets)), sizes), len(sets), w) for w in (NARROW, WIDE)]
                 place = np.zeros(len(all_), np.int32)
                 if len(sorted_frequent):
                     at = np.minimum(np.searchsorted(sorted_frequent, all_), len(sorted_frequent) - 1)
@@ -112,9 +121,9 @@ def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int)
                     run3 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat + np.uint64(7)), dtype=np.uint64)])
                     pfp = run3[ends[1:]] - run3[ends[:-1]]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, pfp)], lists, maps], ["doc_id", "n", "fp1", "fp2", "pfp", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, pfp)], lists, *maps], ["doc_id", "n", "fp1", "fp2", "pfp", "prefix", "bits", "wide"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, pfp long, prefix array<long>, bits array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, pfp long, prefix array<long>, bits array<long>, wide array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -137,27 +146,25 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, name: str, tasks: int = 1) -> DataFrame:
     """node, component (its smallest reachable node) for every node of `edges` (a, b).
 
     Each round a node takes the least label among its neighbours' and then the label of its label; labels only fall, so
-    an unchanged sum ends the rounds. Long chains shrink by the second step.
+    an unchanged sum ends the rounds. Long chains shrink by the second step. `tasks`: how many share a table of labels.
     """
-    both = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")), f"{name}-0")
-    total = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-    k = 0
-    while total is not None:
-        k += 1
+    total = F.sum(F.col("component").cast("decimal(38,0)"))
+    both = scratch.write(edges.select("a", "b").union(edges.select("b", "a")).distinct().coalesce(tasks), f"{name}-edges")
+    labels = scratch.write(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("component")).coalesce(tasks), f"{name}-0")
+    was = labels.agg(total).first()[0]
+    for k in count(1):
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
         lower = labels.join(near, "node").select("node", F.least("component", "low").alias("component"))
         jump = lower.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = scratch.write(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component")), f"{name}-{k}")
-        now = labels.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
-        if now == total:
+        labels = scratch.write(lower.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component")).coalesce(tasks), f"{name}-{k}")
+        now = labels.agg(total).first()[0]
+        if now == was:
             return labels
-        total = now
-    return labels
+        was = now
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -175,12 +182,20 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "n_a", "n_b")
 
 
-def _bits_allow(percent: int) -> Column:
+def _bits_allow(percent: int, words: int) -> Column:
     """Whether the bitmaps bits_a and bits_b leave room for a link; true where one is missing."""
-    differ = sum((F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(1, BITMAP_WORDS)), F.bit_count(F.get("bits_a", F.lit(0)).bitwiseXOR(F.get("bits_b", F.lit(0)))))
+    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(words)]
+    differ = reduce(lambda x, y: x + y, flips)
     return F.coalesce(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent), F.lit(True))
 
 
+def _wide_allow(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b, n_a, n_b) whose wide bitmaps leave room for a link."""
+    for side in "ab":
+        pairs = pairs.join(bitmaps.select(F.col("doc_id").alias(side), F.col("wide").alias(f"bits_{side}")), side, "left")
+    return pairs.where(_bits_allow(percent, WIDE)).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
     small_batches(docs.sparkSession)
@@ -198,12 +213,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     buckets = scratch.write(met, "buckets")
     nodes = buckets.select(F.col("g").alias("id")).union(members.select("m")).union(members.select("g")).distinct()
     nodes = scratch.write(nodes, "nodes")
-    if not (count := nodes.count()):
+    if not (ids := nodes.count()):
         return _result(signed, classes, None)
     # Bitmaps of nodes that stand for one set alone.
     alone = known.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").join(members.select(F.col("g").alias("doc_id")), "doc_id", "left_anti")
-    bitmaps = scratch.write(alone.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("k"), F.first("bits").alias("bits")).where("k = 1").select("doc_id", "bits"), "bitmaps")
-    picked = F.broadcast(nodes) if count <= BROADCAST_IDS else nodes
+    bitmaps = scratch.write(alone.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("k"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).where("k = 1").drop("k"), "bitmaps")
+    picked = F.broadcast(nodes) if ids <= BROADCAST_IDS else nodes
     texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
     # Members of a group against its leader; those that don't link stand in the buckets by themselves.
@@ -221,9 +236,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         star = open_.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), hub.alias("hub"))
         star = star.select("b", "n_b", "pos_b", F.col("hub.g").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"), "c_b", F.col("hub.c").alias("c_a"))
         star = _filtered(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)), percent)
-        for side in "ab":
-            star = star.join(bitmaps.select(F.col("doc_id").alias(side), F.col("bits").alias(f"bits_{side}")), side, "left")
-        star = star.where(_bits_allow(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        star = _wide_allow(star, bitmaps, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.write(star.join(tested, ["a", "b"], "left_anti"), f"star-{k}")
         if not fresh.count():
             break
@@ -234,10 +247,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     # All that is left, between components.
     open_ = scratch.write(_open(buckets, labels), "open-last")
-    mapped = open_.join(bitmaps.withColumnRenamed("doc_id", "g"), "g", "left")
+    mapped = open_.join(bitmaps.select(F.col("doc_id").alias("g"), "bits"), "g", "left")
     one, two = (mapped.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c", "bits")]) for s in "ab")
-    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _bits_allow(percent))
-    rest = _filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent)
+    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _bits_allow(percent, NARROW))
+    rest = _wide_allow(_filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent), bitmaps, percent)
     # Expand groups into members.
     whole = members.select("g", "m").unionByName(members.select("g", F.col("g").alias("m"))).distinct()
     for side in "ab":
@@ -272,9 +285,9 @@ def _extended(labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, perc
             own = labels.select(F.col("node").alias(side), F.col("component").alias("c"))
             met = met.join(own, side, "left").select(*[c for c in "ab" if c != side], F.coalesce("c", side).alias(side))
     met = scratch.write(met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"met-{name}")
-    if not met.count():
+    if not (edges := met.count()):
         return labels, False
-    new = components(met, scratch, f"round{name}")
+    new = components(met, scratch, f"round{name}", 1 + 2 * edges // LABEL_ROWS)
     if labels is None:
         return new, True
     moved = new.select(F.col("node").alias("component"), F.col("component").alias("now"))
