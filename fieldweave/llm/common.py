@@ -17,7 +17,7 @@ SPACES = " \t\n\x0b\x0c\r"
 
 def words_of(text: Column) -> Column:
     """Words of a text as an array; an empty array for null and for texts without words."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS), "")
 
 
 def word_count(text: Column) -> Column:

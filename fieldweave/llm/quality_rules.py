@@ -30,8 +30,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 def _windows(hashes: Column) -> Column:
     """A 64-bit hash of each 3-word window."""
-    n = F.size(hashes)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), F.get(hashes, i + 2)))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(F.slice(hashes, F.lit(3), F.greatest(F.size(hashes) - 2, F.lit(0))), lambda h, i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1), h))
 
 
 def base_rules(docs: DataFrame) -> DataFrame:
@@ -66,9 +65,8 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def _buckets(hashes: Column, buckets: int) -> Column:
     """Bucket of each unigram, then of each bigram."""
-    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
-    n = F.size(hashes)
-    twos = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.pmod(F.xxhash64(F.get(hashes, i), F.get(hashes, i + 1)), F.lit(buckets)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)))
+    twos = F.transform(F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda h, i: F.pmod(F.xxhash64(F.get(hashes, i), h), F.lit(buckets)))
     return F.concat(ones, twos)
 
 
@@ -99,7 +97,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     weights = ",".join(f"{x:.5g}" for x in log_ratios(docs, trusted_sample(labels, trusted_rows), buckets))
     table = F.split(F.lit(weights), ",").cast("array<double>")
     rows = base_rules(docs)
-    total = F.aggregate(_buckets(F.col("hashes"), buckets), F.lit(0.0), lambda s, b: s + F.get(table, b))
+    total = F.aggregate(_buckets(F.col("hashes"), buckets), F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int")))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     scored = rows.select(*rows.columns[:-1], failed.alias("base_failed"), (total / grams).alias("score"))
