@@ -182,18 +182,23 @@ def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "n_a", "n_b")
 
 
-def _bits_allow(percent: int, words: int) -> Column:
-    """Whether the bitmaps bits_a and bits_b leave room for a link; true where one is missing."""
-    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(words)]
-    differ = reduce(lambda x, y: x + y, flips)
+def _room(differ: Column, percent: int) -> Column:
+    """Whether sets of n_a and n_b shingles, of which at least `differ` are in one alone, can link; true for null."""
     return F.coalesce(differ * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent), F.lit(True))
 
 
+def _narrow_allow(percent: int) -> Column:
+    """Whether the narrow bitmaps bits_a and bits_b leave room for a link; true where one is missing."""
+    flips = [F.bit_count(F.get("bits_a", F.lit(k)).bitwiseXOR(F.get("bits_b", F.lit(k)))) for k in range(NARROW)]
+    return _room(reduce(lambda x, y: x + y, flips), percent)
+
+
 def _wide_allow(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b, n_a, n_b) whose wide bitmaps leave room for a link."""
     for side in "ab":
         pairs = pairs.join(bitmaps.select(F.col("doc_id").alias(side), F.col("wide").alias(f"bits_{side}")), side, "left")
-    return pairs.where(_bits_allow(percent, WIDE)).select("a", "b")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    return pairs.where(_room(differ, percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -201,6 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     signed = scratch.write(_signatures(docs, _frequent(docs, words), percent, words), "signatures")
+    keys = scratch.write(signed.select("doc_id", "n", "fp1", "fp2"), "keys")
     known = signed.where("n > 0 and doc_id is not null")
     classes = scratch.write(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("pfp").alias("pfp")), "classes")
     groups = classes.groupBy("n", "pfp").agg(F.min("rep").alias("g"))
@@ -214,13 +220,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     nodes = buckets.select(F.col("g").alias("id")).union(members.select("m")).union(members.select("g")).distinct()
     nodes = scratch.write(nodes, "nodes")
     if not (ids := nodes.count()):
-        return _result(signed, classes, None)
+        scratch.drop("signatures")
+        return _result(keys, classes, None)
     # Bitmaps of nodes that stand for one set alone.
     alone = known.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").join(members.select(F.col("g").alias("doc_id")), "doc_id", "left_anti")
     bitmaps = scratch.write(alone.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("k"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).where("k = 1").drop("k"), "bitmaps")
     picked = F.broadcast(nodes) if ids <= BROADCAST_IDS else nodes
     texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
+    # From here on only keys, classes, buckets, bitmaps and texts are read.
+    scratch.drop("signatures")
+
     # Members of a group against its leader; those that don't link stand in the buckets by themselves.
     tested = scratch.write(members.select(F.col("g").alias("a"), F.col("m").alias("b")), "tested-0")
     labels, _ = _extended(None, tested, texts, percent, words, scratch, "0")
@@ -238,6 +248,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         star = _filtered(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)), percent)
         star = _wide_allow(star, bitmaps, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.write(star.join(tested, ["a", "b"], "left_anti"), f"star-{k}")
+        scratch.drop(f"open-{k}")
         if not fresh.count():
             break
         tested = tested.unionByName(fresh)
@@ -249,7 +260,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     open_ = scratch.write(_open(buckets, labels), "open-last")
     mapped = open_.join(bitmaps.select(F.col("doc_id").alias("g"), "bits"), "g", "left")
     one, two = (mapped.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c", "bits")]) for s in "ab")
-    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _bits_allow(percent, NARROW))
+    rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _narrow_allow(percent))
     rest = _wide_allow(_filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent), bitmaps, percent)
     # Expand groups into members.
     whole = members.select("g", "m").unionByName(members.select("g", F.col("g").alias("m"))).distinct()
@@ -260,7 +271,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     fresh = scratch.write(rest.join(tested, ["a", "b"], "left_anti"), "rest")
     if fresh.count():
         labels, _ = _extended(labels, fresh, texts, percent, words, scratch, "last")
-    return _result(signed, classes, labels)
+    scratch.drop("texts", "buckets", "buckets-apart", "open-last", "bitmaps")
+    return _result(keys, classes, labels)
 
 
 def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -295,9 +307,9 @@ def _extended(labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, perc
     return scratch.write(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), f"labels-{name}"), True
 
 
-def _result(signed: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _result(keys: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     named = classes.select(*[F.col(c).alias(f"k_{c}") for c in ("n", "fp1", "fp2")], "rep")
-    rows = signed.select("doc_id", "n", "fp1", "fp2")
+    rows = keys.select("doc_id", "n", "fp1", "fp2")
     rows = rows.join(named, [rows[c] == named[f"k_{c}"] for c in ("n", "fp1", "fp2")], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     if labels is not None:
         rows = rows.join(labels, rows.rep == labels.node, "left").select("doc_id", "n", F.coalesce("component", "rep").alias("rep"))
