@@ -16,10 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import words_of
+from fieldweave.llm.common import WORD_CLASS, words_of
 
-#: Characters that count as symbols, and the white space between words.
-SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
+#: Characters that count as symbols.
+SYMBOLS = "#*$%&|<>"
 #: Hash buckets of the n-grams (unigrams and bigrams).
 BUCKETS = 1 << 16
 #: At most so many labelled rows make the trusted target.
@@ -40,12 +40,13 @@ def base_rules(docs: DataFrame) -> DataFrame:
     ones side by side; their places, in order, each cover up to three words that no earlier window covers.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    one = docs.select("doc_id", text.alias("text")).select(
+    zero = docs.select("doc_id", text.alias("text")).select("doc_id", "text", words_of(F.col("text")).alias("words"))
+    one = zero.select(
         "doc_id",
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("lines"),
-        F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
+        F.filter(F.split("text", "\n", -1), lambda x: x.rlike(WORD_CLASS)).alias("lines"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     two = one.select(
         "doc_id",
