@@ -64,7 +64,7 @@ def shown(catalog: DataFrame) -> DataFrame:
     return catalog.select("*", F.row_number().over(w).alias("_k")).where("_k = 1").orderBy(*order).select(*[f"`{c}`" for c in display])
 
 
-def mapplet_catalog(repo: Repository, scratch: Scratch) -> DataFrame:
+def mapplet_catalog(repo: Repository, scratch: Scratch, steps: DataFrame | None = None) -> DataFrame:
     """CQ4: mapping, mapplet instance, output port and each inner path that reaches the mapplet's input boundary.
 
     Upstream and downstream are the first connectors of the mapping at the mapplet's exposed ports.
@@ -72,7 +72,7 @@ def mapplet_catalog(repo: Repository, scratch: Scratch) -> DataFrame:
     inst = resolved_instances(repo)
     out = boundary_ports(instance_ports(inst, repo), "output")
     roots = out.select("folder", F.lit("MAPPLET").alias("scope_kind"), F.col("mapplet").alias("scope"), "instance", F.col("port").alias("field"))
-    leaves = trace(roots_of(roots, ["folder", "scope", "instance", "field"]), expansion(repo), scratch, "mapplet-trace").where("leaf_type = 'scope_input_boundary'")
+    leaves = trace(roots_of(roots, ["folder", "scope", "instance", "field"]), steps if steps is not None else expansion(repo, scratch), scratch, "mapplet-trace").where("leaf_type = 'scope_input_boundary'")
     maps = port_map(repo)
     exposed = lambda side: maps.where(F.col("boundary") == side).groupBy(F.col("folder").alias("x_folder"), F.col("mapplet").alias("x_mapplet"), F.col("internal").alias("x_internal")).agg(F.max("exposed").alias(f"{side}_exposed"))
     rows = leaves.select("root.*", "hops", "ord_path", "boundary_instance", "boundary_field").withColumnsRenamed({"scope": "mapplet", "instance": "out_instance", "field": "out_field"})

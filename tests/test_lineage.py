@@ -24,7 +24,7 @@ def leaves(spark, mapping, top=TOP, more=""):
     """(field, leaf type, source table, source field, chain) of every target field of mapping m."""
     repo = cached(repo_of(spark, f"FOLDER{{NAME=F}}[{top} {more} MAPPING{{NAME=m}}[{ENDS} {mapping}]]"), scratch := Scratch(spark))
     roots = roots_of(lineage.target_fields(repo), ["folder", "scope", "instance", "field"])
-    found = distinct_leaves(capped(trace(roots, expansion(repo), scratch)))
+    found = distinct_leaves(capped(trace(roots, expansion(repo, scratch), scratch)))
     rows = found.select("root.field", "leaf_type", "source_table", "source_field", X.chain(F.col("hops")).alias("chain"), "ord_path").orderBy("field", "ord_path").collect()
     return [tuple(r)[:5] for r in rows]
 
