@@ -74,7 +74,7 @@ def format_windows(conversations: DataFrame, window_tokens: int = WINDOW_TOKENS,
     window = F.when(F.col("is_system"), F.lit(0)).otherwise(2 * cell + (cell != last).cast("long"))
     kept = kept.select("*", window.cast("long").alias("window"))
 
-    own = kept.select("conv_id", "window", F.when(F.col("is_system"), 2).otherwise(2).alias("kind"), "ord", "tokens", "head", "body", (F.col("role") == "assistant").alias("target"))
+    own = kept.select("conv_id", "window", F.lit(2).alias("kind"), "ord", "tokens", "head", "body", (F.col("role") == "assistant").alias("target"))
     starts = kept.groupBy("conv_id", "window").agg(F.min("at").alias("start"), F.first("capacity").alias("capacity"), F.max("is_system").alias("first"))
     # A turn is history of the windows that begin within `history_tokens` after its start; cells make that an equi-join.
     reach = [F.floor((F.col("at") + F.col("tokens")) / F.col("capacity")), F.floor((F.col("at") + history_tokens) / F.col("capacity"))]

@@ -40,7 +40,6 @@ def shard_manifest(docs: DataFrame, shards: int, key: str = "doc_id", text: str
 
     Rows equal in key, size and checksum are counted before the shuffle and spread again after numbering.
     """
-    hashed = F.xxhash64(F.col(key))
     rows = docs.select(F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"))
     counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     hashed = F.xxhash64("doc_id")

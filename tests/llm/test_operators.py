@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from oracle import normal, run_sql
 from pyspark.sql import functions as F
 
 from fieldweave.llm import chat, jaccard, language, license_scan, line_crf, mixing, pieces, quality_rules, topk
@@ -24,6 +25,12 @@ def test_every_operator_has_its_query():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_query_equals_sql(spark, data, name):
+    got = [r.asDict() for r in QUERIES[name](spark, data).collect()]
+    assert normal(got) == normal(run_sql(ORACLE_SQL[name], data))
+
+
 def test_licences_of_known_lines(spark):
     lines = {1: "Licensed under the Apache License, Version 2.0.", 2: "Released under the MIT License.", 3: "This work is licensed under the GNU General Public License, version 3.", 4: "Licensed under CC BY-NC 4.0.", 5: "the weather is fine and nobody has a licence to complain", 6: None}
     filler = [(k, "plain words of a text that says nothing about rights\nand a second line of it", "x") for k in range(100, 160)]
