@@ -130,17 +130,16 @@ def gr5_topological_order(spark, sf_dir):
 UNION ALL SELECT 'N' || n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT 'R' || r_regionkey, r_name FROM region""")
 def gr8_label_propagation(spark, sf_dir):
-    """Region names flow back to nations and customers through predecessor keys."""
-    r = table(spark, sf_dir, "region").select(_node("R", "r_regionkey").alias("own_key"), F.col("own_key").alias("prev_key") if False else F.lit(None).cast("string").alias("prev_key"), F.col("r_name").alias("target_field"))
+    """Region names flow back to nations and customers: every edge is a row that its source's rows lead back to."""
+    r = table(spark, sf_dir, "region").select(_node("R", "r_regionkey").alias("own_key"), F.lit(None).cast("string").alias("prev_key"), F.col("r_name").alias("target_field"))
     e = _edges(spark, sf_dir, "CN")
-    # A region's row points to every nation; keys make that one predecessor key a level.
     rows = r.unionByName(e.select(F.col("src").alias("own_key"), F.lit(None).cast("string").alias("prev_key"), F.lit("").alias("target_field")))
     labelled = graph_labels(rows, e, Scratch(spark))
     return labelled.select(F.col("own_key").alias("node"), F.col("Connectors").alias("labels"))
 
 
 def graph_labels(rows: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """GR8 over edges src to dst: labels of dst rows reach src rows. Each edge is a row whose own key is its source."""
+    """GR8 over edges src to dst: labels of dst rows reach src rows. Each edge is a row of its dst that leads back to src."""
     keyed = edges.select(F.col("dst").alias("own_key"), F.col("src").alias("prev_key"), F.lit("").alias("target_field")).unionByName(rows.select("own_key", "prev_key", "target_field"))
     numbered = scratch.write(keyed.select("*", F.row_number().over(Window.orderBy(F.col("target_field").desc(), "own_key", "prev_key")).cast("long").alias("edge_id")), "numbered")
     starts = numbered.where("target_field <> ''").select("own_key", F.col("target_field").alias("label"))
