@@ -10,7 +10,7 @@ Rejection is calibrated: of each language's own training documents' cross-entrop
 text more than `reject_deviations` above the mean of its language is marked rejected. A temperature fitted on a bounded
 sample of training documents turns cross-entropies into the score.
 
-Bounds: at most `max_ngrams` 4-grams a language (the most frequent) make the model that tasks get with the plan.
+Every 4-gram of every language is in the model, which tasks get with the plan: it must fit the driver and each worker.
 
 Edge cases: text that is null or has no letter is `und` with score 0 and rejected; null lang is no training row; without
 any training row everything is `und`; repeated rows are labelled alike; an empty table gives an empty result. Other
@@ -24,13 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import small_batches
 from fieldweave.llm.textblocks import blocks
 
-ORDER, MAX_NGRAMS, CALIBRATION_DOCS, REJECT_DEVIATIONS = 4, 100_000, 2000, 12.0
+ORDER, CALIBRATION_DOCS, REJECT_DEVIATIONS = 4, 2000, 12.0
 UNKNOWN = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
@@ -222,17 +222,18 @@ def held_out(parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def train(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_docs: int = CALIBRATION_DOCS, chosen: Column | None = None) -> LanguageModel | None:
+def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Column | None = None) -> LanguageModel | None:
     """Counts over all learnable rows; calibration on a bounded sample of them, picked by hash."""
     small_batches(docs.sparkSession)
     rows = docs.where(learnable() if chosen is None else chosen)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), F.col("code")))
-    table = count_ngrams(rows).select("*", rank.alias("place")).where(F.col("place") <= max_ngrams).select("lang", "code", "n").toArrow()
+    table = count_ngrams(rows).toArrow()
     if not table.num_rows:
         return None
-    langs, codes, counts = np.array(table.column("lang").to_pylist(), object), table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
-    names = sorted(set(langs))
-    model = LanguageModel.build(names, [(codes[langs == x], counts[langs == x]) for x in names])
+    langs = table.column("lang").dictionary_encode().combine_chunks()
+    owner, found = langs.indices.to_numpy(), langs.dictionary.to_pylist()
+    codes, counts = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    names = sorted(found)
+    model = LanguageModel.build(names, [(codes[owner == k], counts[owner == k]) for k in map(found.index, names)])
     ids = rows.where("text is not null").select(F.col("doc_id").alias("c_id")).orderBy(F.xxhash64("c_id"), "c_id").limit(calibration_docs)
     sample = rows.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "lang").orderBy("doc_id", "text").toArrow()
     text = pa.concat_arrays(sample.column("text").chunks) if sample.num_rows else pa.array([], pa.string())

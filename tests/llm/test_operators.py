@@ -161,6 +161,22 @@ def test_kneser_ney_sums_to_one():
         assert np.exp(language.probabilities(levels, every)).sum() == pytest.approx(1.0, abs=1e-6)
 
 
+def test_every_ngram_is_in_the_model(spark):
+    """A language of more than 100,000 distinct 4-grams, each met once or twice."""
+    rng = np.random.default_rng(5)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FA0, 120_000)))
+    table = spark.createDataFrame([(k, t, "zh") for k, t in ((1, text), (2, text[:30_000]), (3, text[-5:]))], "doc_id long, text string, lang string")
+    model = language.train(table, chosen=F.lit(True))
+    want = Counter()
+    for t in (text, text[:30_000], text[-5:]):
+        points = np.array([32, *map(ord, t), 32], np.uint16)
+        want.update(language.packed(points, np.array([0, len(points)]))[1:].tolist())
+    codes = np.array(sorted(want), np.uint64)
+    for got, expected in zip(model.levels[0], language.kneser_ney(codes, np.array([want[c] for c in codes.tolist()])), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(got, expected, strict=True))
+    assert len(model.keys) == len(want) > 120_000
+
+
 def test_languages_on_held_out_rows(docs):
     rows = language.identify(docs, language.train(docs)).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(rows) > 30 and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
