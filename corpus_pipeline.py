@@ -27,14 +27,21 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of linked ones."""
+    """One document, that of the smallest doc_id, of each group of linked ones; all of those without a doc_id."""
     return jaccard.keep_one(docs).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: taken words over its size, rounded; documents not taken go."""
-    shares = mixing.mix(docs).select(F.col("doc_id").alias("m_id"), F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int").alias("times"))
-    held = docs.join(shares.where("times > 0"), F.col("doc_id") == F.col("m_id"))
+    """Each document as often as the mix takes it: taken words over its size, rounded; documents not taken go.
+
+    Rows are named by two hashes of all columns, so a null or repeated doc_id is nothing special. Equal rows have one
+    name: the mix lays out and takes each of them, and one of them stands for as many as it takes of all.
+    """
+    marked = [x for c in COLUMNS for x in (F.col(c).isNull(), F.col(c))]
+    keyed = docs.select(*COLUMNS, F.concat_ws(":", F.xxhash64(*marked), F.xxhash64(F.lit(1), *marked)).alias("row_key"))
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    taken = mixing.mix(keyed.select(F.col("row_key").alias("doc_id"), "source", "text")).groupBy(F.col("doc_id").alias("m_key")).agg(F.sum(times).cast("int").alias("times"))
+    held = keyed.join(taken.where("times > 0"), F.col("row_key") == F.col("m_key")).dropDuplicates(["row_key"])
     return held.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select(*COLUMNS)
 
 

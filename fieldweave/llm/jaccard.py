@@ -317,7 +317,18 @@ def _result(keys: DataFrame, classes: DataFrame, labels: DataFrame | None) -> Da
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; rows of one doc_id become one."""
-    found = near_duplicates(docs, percent, words)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti").dropDuplicates(["doc_id"])
+    """The documents without those linked to one of a smaller doc_id, and without repeats of one doc_id and text.
+
+    Here each text of a doc_id is a node of its own, named by a hash, so unlinked texts under one doc_id all stay. Linked
+    texts under one doc_id leave one of them. Rows whose doc_id is null link with nothing and all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    key = F.xxhash64("doc_id", F.col("text").isNull(), "text")
+    known = docs.where("doc_id is not null").select("*", key.alias("_key"))
+    found = near_duplicates(known.select(F.col("_key").alias("doc_id"), "text"), percent, words)
+    found = found.select(F.col("doc_id").alias("f_key"), "component_id").distinct()
+    named = known.select(F.col("_key").alias("f_key"), F.col("doc_id").alias("f_id")).distinct().join(found, "f_key")
+    least = named.groupBy("component_id").agg(F.min(F.struct("f_id", "f_key")).alias("least")).select(F.col("least.f_key").alias("kept_key"))
+    kept = scratch.write(least, "kept")
+    one = known.join(kept, known._key == kept.kept_key, "left_semi").dropDuplicates(["_key", "doc_id", "text"])
+    return one.drop("_key").unionByName(docs.where("doc_id is null"))
