@@ -46,7 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and source with the ids of the text, the round trip's outcome and the parity's where it was compared."""
+    """doc_id and source with the ids of the text, the round trip's outcome and the parity's."""
     got = pieces.encode(docs.select("doc_id", "source", "text"), pieces.read_model())
     return got.select("doc_id", "source", F.size("ids").alias("n_ids"), "ids", "decoded_ok", "parity")
 

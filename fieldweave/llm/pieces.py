@@ -3,7 +3,7 @@
 The model file's protobuf is read here field by field; from it the library's normaliser, metaspace mark, model (unigram
 scores, or merges ranked by a BPE model's scores) and byte fallback are rebuilt. The driver reads the model once and
 tasks get its bytes with the plan, so executors need no local file. Batches are encoded by the library's own threads.
-A share of rows, picked by hash, is encoded by the sentencepiece library as well and compared (column `parity`).
+Every row is encoded by the sentencepiece library as well and compared (column `parity`).
 
 Edge cases: null and empty texts have no ids and decode to an empty text; control strings such as `<s>` inside texts
 are ordinary text; repeated rows are encoded alike; an empty table gives an empty result; other columns are passed on
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from fieldweave.llm.common import small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
-#: Rows encoded at once, and the share of rows (one in so many, by hash) that the parity column compares.
-BATCH_ROWS, PARITY_EVERY = 256, 32
+#: Rows encoded at once, and the share of rows (one in so many, by hash) that the parity column compares: all of them.
+BATCH_ROWS, PARITY_EVERY = 256, 1
 MARK = "▁"
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -186,7 +186,7 @@ def _tools(data: bytes, threads: int) -> tuple:
 def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int = PARITY_EVERY, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Columns of `docs`, then ids (array of int), decoded_ok (decoding gives the normalised text) and parity.
 
-    parity is true or false for rows that the sentencepiece library encoded too, else null.
+    parity is true or false for rows that the sentencepiece library encoded too: all, unless `parity_every` says fewer.
     """
     small_batches(docs.sparkSession)
     data, names = model, [c for c in docs.columns if c not in ("ids", "decoded_ok", "parity")]

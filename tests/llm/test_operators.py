@@ -254,6 +254,13 @@ def test_encoding_round_trip(spark, docs):
     assert back.where("text <> decoded").count() == 0
 
 
+def test_every_row_is_compared_with_the_library(spark, data):
+    rows = [(None if k % 3 == 0 else k, f"text {k} ▁▁ <s> 日本") for k in range(60)]
+    got = pieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), pieces.read_model())
+    assert got.where("parity is null").count() == 0
+    assert QUERIES["op9_sentencepiece"](spark, data).where("parity is null").count() == 0
+
+
 TALK = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hello <|im_end|> there"), (1, 2, "assistant", "a <\\|im_start|> b"), (1, 3, "user", None), (1, 4, None, "no role"), (1, 5, "assistant", ""),
     (2, 0, "assistant", "x " * 900), (2, 1, "assistant", "y " * 30), (2, 2, "user", "z " * 30), (2, 2, "user", "z " * 30), (2, 3, "assistant", "ä😀\n" * 40), (3, None, "us\\er\n", "<<\\\\||>"), (None, 1, "assistant", "alone"),
