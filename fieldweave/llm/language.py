@@ -6,8 +6,9 @@ the distinct 4-grams, as Kneser-Ney's continuation counts do. A language's model
 n-grams with their interpolated probabilities; the arrays of all languages are merged, so one binary search a position
 finds the log-probabilities under every language. A text gets the language of the lowest cross-entropy a character.
 
-Rejection is calibrated: of each language's own training documents' cross-entropies, mean and deviation are kept, and a
-text more than `reject_deviations` above the mean of its language is marked rejected. A temperature fitted on a bounded
+Rejection is calibrated: of all of a language's own training documents' cross-entropies, the median and the deviation
+from it are kept, and a text more than `reject_deviations` above the median of its language is marked rejected. A language
+with a single training document with letters has no deviation and rejects nothing. A temperature fitted on a bounded
 sample of training documents turns cross-entropies into the score.
 
 Every 4-gram of every language is in the model, which tasks get with the plan: it must fit the driver and each worker.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import small_batches
+from fieldweave.llm.common import Scratch, small_batches
 from fieldweave.llm.textblocks import blocks
 
 ORDER, CALIBRATION_DOCS, REJECT_DEVIATIONS = 4, 2000, 12.0
@@ -223,7 +224,7 @@ def held_out(parts: int = 3, part: int = 1) -> Column:
 
 
 def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Column | None = None) -> LanguageModel | None:
-    """Counts over all learnable rows; calibration on a bounded sample of them, picked by hash."""
+    """Counts and rejection bounds over all learnable rows; the temperature on a bounded sample of them, picked by hash."""
     small_batches(docs.sparkSession)
     rows = docs.where(learnable() if chosen is None else chosen)
     table = count_ngrams(rows).toArrow()
@@ -234,6 +235,7 @@ def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Col
     codes, counts = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
     names = sorted(found)
     model = LanguageModel.build(names, [(codes[owner == k], counts[owner == k]) for k in map(found.index, names)])
+    calibrate(rows, model)
     ids = rows.where("text is not null").select(F.col("doc_id").alias("c_id")).orderBy(F.xxhash64("c_id"), "c_id").limit(calibration_docs)
     sample = rows.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "lang").orderBy("doc_id", "text").toArrow()
     text = pa.concat_arrays(sample.column("text").chunks) if sample.num_rows else pa.array([], pa.string())
@@ -242,11 +244,6 @@ def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Col
     entropy, truth = entropy[size > 0], truth[size > 0]
     if not len(truth):
         return model
-    for k in range(len(names)):
-        own = entropy[truth == k, k]
-        if len(own) > 1:
-            # Robust: half of the rows set the middle, so mislabelled or odd rows don't widen the bound.
-            model.mean[k], model.deviation[k] = np.median(own), max(1.4826 * np.median(np.abs(own - np.median(own))), 0.05)
     loss = []
     grid = np.array([0.5, 1, 2, 5, 10, 20, 50, 100])
     for t in grid:
@@ -256,6 +253,32 @@ def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Col
     return model
 
 
+def own_entropies(rows: DataFrame, model: LanguageModel) -> DataFrame:
+    """lang and entropy: nats a character of every row with a letter under its own language's model."""
+    place = {x: k for k, x in enumerate(model.names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            entropy, size = model.cross_entropies(batch.column(0))
+            own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], int)
+            some = np.flatnonzero((size > 0) & (own >= 0))
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(entropy[some, own[some]])], ["lang", "entropy"])
+
+    return rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, entropy double")
+
+
+def calibrate(rows: DataFrame, model: LanguageModel) -> None:
+    """Sets each language's median and deviation from all its rows."""
+    # Robust: half of the rows set the middle, so mislabelled or odd rows don't widen the bound.
+    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    own = Scratch(rows.sparkSession).write(own_entropies(rows, model), "entropies")
+    medians = own.groupBy(F.col("lang").alias("m_lang")).agg(middle("entropy").alias("median"), F.count("*").alias("n")).where("n > 1")
+    apart = own.join(F.broadcast(medians), F.col("lang") == F.col("m_lang"))
+    for row in apart.groupBy("lang").agg(F.first("median").alias("median"), middle(F.abs(F.col("entropy") - F.col("median"))).alias("apart")).collect():
+        k = model.names.index(row["lang"])
+        model.mean[k], model.deviation[k] = row["median"], max(1.4826 * row["apart"], 0.05)
+
+
 def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), reject_deviations: float = REJECT_DEVIATIONS) -> DataFrame:
     """Columns `keep`, then held_out, lang_pred, score, cross_entropy (nats a character) and rejected of every document."""
     small_batches(docs.sparkSession)

@@ -182,6 +182,16 @@ def test_languages_on_held_out_rows(docs):
     assert len(rows) > 30 and sum(r["lang_pred"] == r["lang"] for r in rows) >= 0.97 * len(rows)
 
 
+def test_rare_languages_reject_too(spark):
+    """A language with 3 of 3,003 rows has its bound, whatever a sample of 2,000 would hold."""
+    common = [(k, f"the house number {'abcdefghij'[k % 10]} stands by the road and the river runs past it", "en") for k in range(3000)]
+    rare = [(10_000 + k, "kissa istuu ikkunalla ja katselee lunta joka sataa hiljaa", "fi") for k in range(3)]
+    model = language.train(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), calibration_docs=5, chosen=F.lit(True))
+    assert np.isfinite(model.deviation).all() and (model.mean > 0).all()
+    got = language.identify(spark.createDataFrame([(1, "kkzqq ikkx jja uukkw lluuk", "fi"), (2, rare[0][1], "fi")], "doc_id long, text string, lang string"), model)
+    assert {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in got.collect()} == {1: ("fi", True), 2: ("fi", False)}
+
+
 def test_mix_meets_targets(spark, docs):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(3)).collect()
