@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,17 +30,16 @@ def paths(roots: DataFrame, edges: DataFrame, max_hops: int, scratch: Scratch |
     return found
 
 
-def reachable(starts: DataFrame, edges: DataFrame, scratch: Scratch, max_hops: int = 60) -> DataFrame:
+def reachable(starts: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GR11's node set, GR8's visited sets: node, by edges src to dst, starts included. Nodes met before are dropped."""
     seen = scratch.write(starts.select("node").distinct(), "reach0")
     front = seen
-    for k in range(1, max_hops + 1):
+    for k in count(1):
         new = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = scratch.write(new, f"reach-front{k}")
         if front.isEmpty():
-            break
+            return seen
         seen = scratch.write(seen.unionByName(front), f"reach{k}")
-    return seen
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -46,20 +47,22 @@ def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns).distinct()
 
 
-def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, max_hops: int = 200) -> DataFrame:
+def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GR13: node, level: 0 without predecessors, else one more than the highest predecessor's. Edges src to dst, acyclic.
 
-    Only nodes whose level rose are passed on. On a cycle levels stop rising at `max_hops`.
+    Each round takes the nodes that no open node leads to. A round without such nodes means a cycle: ValueError.
     """
-    level = scratch.write(nodes.select("node", F.lit(0).alias("level")).distinct(), "levels0")
-    front = level
-    for k in range(1, max_hops + 1):
-        up = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("up"))
-        front = scratch.write(level.join(up, "node").where("up > level").select("node", F.col("up").alias("level")), f"levels-front{k}")
-        if front.isEmpty():
-            break
-        level = scratch.write(level.join(front.select("node"), "node", "left_anti").unionByName(front), f"levels{k}")
-    return level
+    open_, links = scratch.write(nodes.select("node").distinct(), "open0"), scratch.write(subgraph(nodes, edges.select("src", "dst")), "links0")
+    found = None
+    for k in count():
+        heads = scratch.write(open_.join(links.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("level")), f"levels{k}")
+        found = heads if found is None else found.unionByName(heads)
+        if heads.isEmpty():
+            if open_.isEmpty():
+                return found
+            raise ValueError("the graph has a cycle")
+        open_ = scratch.write(open_.join(heads, "node", "left_anti"), f"open{k + 1}")
+        links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{k + 1}")
 
 
 def forward_edges(edges: DataFrame, levels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.functions import expressions as X
+from fieldweave.operators import graph
 from fieldweave.operators.expand import expansion
 from fieldweave.operators.trace import capped, distinct_leaves, roots_of, trace
 from fieldweave.plans import catalog, dependency, lineage
@@ -129,3 +130,15 @@ def test_flat_hop_and_graph(spark):
     kinds = {r["id"]: r["kind"] for r in nodes.collect()}
     assert kinds["mapping:m2::REP::SEGMENT"] == "TARGET_FINAL"
     assert edges.where("style = 'flow'").count() >= 2 and edges.where("style = 'logic'").count() >= 5
+
+
+def test_reachable_over_a_chain_of_more_than_60(spark):
+    edges = spark.range(62).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).coalesce(1)
+    assert graph.reachable(spark.range(1).select(F.col("id").alias("node")), edges, Scratch(spark)).count() == 63
+
+
+def test_levels_tell_a_cycle(spark):
+    nodes, edges = spark.createDataFrame([("a",), ("b",), ("c",)], "node string"), spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b")], "src string, dst string")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.longest_levels(nodes, edges, Scratch(spark))
+    assert {tuple(r) for r in graph.longest_levels(nodes, edges.where("src <> 'c'"), Scratch(spark)).collect()} == {("a", 0), ("b", 1), ("c", 2)}
