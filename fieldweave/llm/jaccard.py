@@ -1,27 +1,31 @@
 """Exact set-similarity join of documents on word shingles, by a grouped prefix join, and its connected components.
 
-A document's shingles are put in one global order, rare ones first. Two documents of similarity t or more then share a
-shingle among the first (1 - t) n + 1 of each. Documents with the same size and the same such prefix form one group,
-which stands in the join once: its prefix shingles are exploded, and shingles met in two groups or more make buckets.
-
-Components need no list of all pairs. In a star round every bucket offers its groups paired with one of them (the hub),
-the pairs are verified, and links are contracted to components; a bucket whose groups have all come together is done.
-After the star rounds, whatever pairs of groups in different components still share a bucket are all filtered by size,
-position and bitmap, expanded into pairs of members and verified, so no link between components is lost. Verification
-compares whole shingle sets.
+The nodes are distinct shingle sets; equal sets are one node, so copies never meet pair by pair. Shingles are put in one
+global order, those of few nodes first. Two sets of similarity t or more then share a shingle among the first
+(1 - t) n + 1 of each. Sets with the same size and the same such prefix form one group, which stands in the join once: its
+prefix shingles make rows, and shingles met in two groups or more make buckets.
+
+How many nodes hold a shingle is counted over all of them by one shuffle of (shingle, node). A shingle of one node alone is
+first in order and can meet nothing, so it takes up its places of the prefix without ever becoming a row again; a set
+with enough of those is done there. Shingles that a bounded summary of the first pass finds in a share of the rows that
+would fill a task are kept out of that count: they come last in order, by their summary, and are emitted only as far as a
+prefix needs them. What the summary misses is counted exactly, so it steers balance and cost, never the result.
+
+Components need no list of all pairs. In a star round every bucket offers its groups paired with one of them (the hub;
+first the one with the fewest rarer shingles, later one by hash), the pairs are verified, and links are contracted to
+components; a bucket whose groups have all come together is done. After the star rounds, whatever pairs of groups in
+different components still share a bucket are all filtered by size, position and bitmap, expanded into pairs of members
+and verified, so no link between components is lost. Verification compares whole shingle sets.
 
 The bitmap of a set has bit h mod its width flipped by each shingle h. Bits in which two bitmaps differ are at most the
 shingles that only one of the sets has, so pairs that differ in too many bits can't link. A narrow bitmap travels with
 the buckets, a wide one is compared for the pairs that are left. Groups of several members have none and are always
 expanded.
 
-The global order is (frequency, hash). Frequencies are counted over all documents with a bounded summary: shingles seen
-in several documents of a run of rows, summed over runs, the `HEAVY` most frequent of them; any other counts as rare.
-The order decides cost only, never the result.
-
 Edge cases: a document without words or text has no shingles, links with nothing and is its own component; texts of
-fewer words than a shingle are one shingle; rows of one doc_id are one node, linked by any of its texts; a null doc_id
-has no component and links with nothing; an empty table gives an empty result. Other columns play no part.
+fewer words than a shingle are one shingle; rows of one doc_id are one document, linked by any of its texts, and each
+row tells its own text's number of shingles; a null doc_id has no component and links with nothing; an empty table gives
+an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -35,24 +39,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Scratch, small_batches
+from fieldweave.llm.common import Scratch
 from fieldweave.llm.shingles import WORDS, mixed, shingle_sets
 from fieldweave.llm.textblocks import blocks
 
 PERCENT = 80
-#: Most shingles whose frequency is told to the tasks; shingles summarised at once; documents of a run that make a shingle frequent.
-HEAVY, RUN_SHINGLES, RUN_LEAST = 200_000, 2_000_000, 3
+#: Most shingles that are kept out of the count; shingles summarised at once; the share of a run (and the least number) that puts one in its summary.
+HEAVY, RUN_SHINGLES, RUN_SHARE, RUN_LEAST = 200_000, 2_000_000, 1e-5, 3
+#: Added to the rank of shingles kept out of the count, so that they come after all counted ones.
+LAST = 1 << 60
 STAR_ROUNDS = 3
 #: 64-bit words of a set's narrow and wide bitmaps.
 NARROW, WIDE = 4, 32
 #: Rows of a label table that one task takes.
 LABEL_ROWS = 200_000
-#: At most so many candidate ids are broadcast to pick their texts; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """The most frequent shingles, rarest first, as unsigned hashes."""
+def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All shingles one after the other, where each set starts (and the end), sizes, and two hashes of each set."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    flat, start = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(sizes)])
+    with np.errstate(over="ignore"):
+        runs = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(x), dtype=np.uint64)]) for x in (flat + np.uint64(1), flat ^ np.uint64(0x5851F42D4C957F2D))]
+        fp1, fp2 = ((run[start[1:]] - run[start[:-1]]).view(np.int64) for run in runs)
+    return flat, start, sizes, fp1, fp2
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """Per row: doc_id, text_hash, n and fp1, fp2 of its set. Rows without n tell a shingle often met in a run of rows."""
+    names = ["doc_id", "text_hash", "n", "fp1", "fp2", "shingle", "met"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -60,24 +75,25 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
 
         def summary() -> pa.RecordBatch:
             found, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= RUN_LEAST
-            return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["shingle", "n"])
+            often = n >= max(RUN_LEAST, RUN_SHARE * size)
+            none = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([*[none] * 5, pa.array(found[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names)
 
         for batch in batches:
-            for _, _, body, offsets in blocks(batch.column(0)):
+            for lo, hi, body, offsets in blocks(batch.column(2)):
                 sets = shingle_sets(body, offsets, words)
+                _, _, sizes, fp1, fp2 = _fingerprints(sets)
+                none = pa.nulls(hi - lo, pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 1)], pa.array(sizes), pa.array(fp1), pa.array(fp2), none, none], names)
                 held += sets
-                size += sum(map(len, sets))
+                size += int(sizes.sum())
                 if size >= RUN_SHINGLES:
                     yield summary()
                     held, size = [], 0
         if held:
             yield summary()
 
-    counts = docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.col("n").desc(), F.col("shingle")).limit(HEAVY).toArrow()
-    order = np.lexsort((top.column("shingle").to_numpy(), top.column("n").to_numpy()))
-    return top.column("shingle").to_numpy()[order].view(np.uint64)
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def _bitmaps(shingles: np.ndarray, owner: np.ndarray, sets: int, words: int) -> pa.Array:
@@ -88,42 +104,62 @@ def _bitmaps(shingles: np.ndarray, owner: np.ndarray, sets: int, words: int) ->
     return pa.ListArray.from_arrays(pa.array(np.arange(0, sets * words + 1, words, dtype=np.int32)), pa.array(packed))
 
 
-def _signatures(docs: DataFrame, frequent: np.ndarray, percent: int, words: int) -> DataFrame:
-    """Per row: doc_id, n, fp1 and fp2 (of the set), pfp (of the prefix), prefix (ordered shingles), bits and wide (bitmaps)."""
-    by_hash = np.argsort(frequent)
-    sorted_frequent, rank = frequent[by_hash], (by_hash + 1).astype(np.int32)
+def _prefix_size(n: Column | np.ndarray, percent: int):
+    """Places of the prefix of a set of n shingles: floor((1 - t) n) + 1."""
+    return (n * (100 - percent) / 100).cast("long") + 1 if isinstance(n, Column) else n * (100 - percent) // 100 + 1
+
+
+def _candidates(texts: DataFrame, heavy: np.ndarray, percent: int, words: int) -> DataFrame:
+    """node, n, light, shingle, rank: rows of all light shingles of each node (rank 0), and of as many heavy ones, in
+    order of their rank, as its prefix needs beyond them. light: the node's number of light shingles."""
+    by_hash = np.argsort(heavy)
+    sorted_heavy, rank = heavy[by_hash], (by_hash + 1).astype(np.int64)
+    names = ["node", "n", "light", "shingle", "rank"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, one, two = (batch.column(k).to_numpy() for k in range(4))
+            for lo, hi, body, offsets in blocks(batch.column(4)):
+                flat, start, sizes, fp1, fp2 = _fingerprints(shingle_sets(body, offsets, words))
+                own = (sizes == n[lo:hi]) & (fp1 == one[lo:hi]) & (fp2 == two[lo:hi])
+                owner = np.repeat(np.arange(hi - lo), sizes)
+                place = np.zeros(len(flat), np.int64)
+                if len(sorted_heavy):
+                    at = np.minimum(np.searchsorted(sorted_heavy, flat), len(sorted_heavy) - 1)
+                    place = np.where(sorted_heavy[at] == flat, rank[at], 0)
+                light = np.bincount(owner[place == 0], minlength=hi - lo)
+                want = np.maximum(_prefix_size(sizes, percent) - light, 0)
+                emit = (place == 0) & own[owner]
+                for k in np.flatnonzero(own & (want > 0)):
+                    span = np.arange(start[k], start[k + 1])[place[start[k] : start[k + 1]] > 0]
+                    emit[span[np.argsort(place[span], kind="stable")[: want[k]]]] = True
+                who = owner[emit]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node[lo:hi][who], sizes[who], light[who], flat[emit].view(np.int64), place[emit])], names)
+
+    return texts.select("node", "n", "fp1", "fp2", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """node, n, pos, shingle: the places of each node's prefix, without the shingles that no other node has."""
+    each = Window.partitionBy("shingle")
+    counted = rows.where("rank = 0").select("*", F.count("*").over(each).alias("nodes")).where("nodes > 1")
+    both = counted.select("node", "n", "light", "shingle", "nodes").unionByName(rows.where("rank > 0").select("node", "n", "light", "shingle", (F.col("rank") + LAST).alias("nodes")))
+    node = Window.partitionBy("node")
+    placed = both.select("*", F.row_number().over(node.orderBy("nodes", "shingle")).alias("place"), F.count(F.when(F.col("nodes") < LAST, 1)).over(node).alias("shared"))
+    return placed.select("node", "n", (F.col("light") - F.col("shared") + F.col("place") - 1).alias("pos"), "shingle").where(F.col("pos") < _prefix_size(F.col("n"), percent))
+
+
+def _with_bitmaps(texts: DataFrame, words: int) -> DataFrame:
+    """node, text, bits and wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, body, offsets in blocks(batch.column(1)):
-                sets = shingle_sets(body, offsets, words)
-                sizes = np.array([len(s) for s in sets])
-                all_, start = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(sizes)])
-                with np.errstate(over="ignore"):
-                    run1 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ + np.uint64(1)), dtype=np.uint64)])
-                    run2 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(all_ ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)])
-                    fp1, fp2 = run1[start[1:]] - run1[start[:-1]], run2[start[1:]] - run2[start[:-1]]
-                maps = [_bitmaps(all_, np.repeat(np.arange(len(sets)), sizes), len(sets), w) for w in (NARROW, WIDE)]
-                place = np.zeros(len(all_), np.int32)
-                if len(sorted_frequent):
-                    at = np.minimum(np.searchsorted(sorted_frequent, all_), len(sorted_frequent) - 1)
-                    place = np.where(sorted_frequent[at] == all_, rank[at], 0)
-                prefixes, lengths, pfp = [], [], []
-                for a, n in zip(start[:-1].tolist(), sizes.tolist(), strict=True):
-                    keep = n + (-percent * n // 100) + 1 if n else 0
-                    own = place[a : a + n]
-                    chosen = all_[a : a + n][np.argsort(own, kind="stable")[:keep]] if own.any() else all_[a : a + keep]
-                    prefixes.append(chosen)
-                    lengths.append(keep)
-                flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                with np.errstate(over="ignore"):
-                    run3 = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(flat + np.uint64(7)), dtype=np.uint64)])
-                    pfp = run3[ends[1:]] - run3[ends[:-1]]
-                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)), *[pa.array(x.view(np.int64)) for x in (fp1, fp2, pfp)], lists, *maps], ["doc_id", "n", "fp1", "fp2", "pfp", "prefix", "bits", "wide"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, fp1 long, fp2 long, pfp long, prefix array<long>, bits array<long>, wide array<long>")
+                flat, _, sizes, _, _ = _fingerprints(shingle_sets(body, offsets, words))
+                maps = [_bitmaps(flat, np.repeat(np.arange(hi - lo), sizes), hi - lo, w) for w in (NARROW, WIDE)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo) for k in (0, 1)], *maps], ["node", "text", "bits", "wide"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, text string, bits array<long>, wide array<long>")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> DataFrame:
@@ -141,8 +177,8 @@ def _linked(pairs: DataFrame, texts: DataFrame, percent: int, words: int) -> Dat
                 mask = pa.array(hit, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(mask), part.column(1).filter(mask)], ["a", "b"])
 
-    side = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = side.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    side = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    both = side.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -196,60 +232,81 @@ def _narrow_allow(percent: int) -> Column:
 def _wide_allow(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b, n_a, n_b) whose wide bitmaps leave room for a link."""
     for side in "ab":
-        pairs = pairs.join(bitmaps.select(F.col("doc_id").alias(side), F.col("wide").alias(f"bits_{side}")), side, "left")
+        pairs = pairs.join(bitmaps.select(F.col("node").alias(side), F.col("wide").alias(f"bits_{side}")), side, "left")
     differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     return pairs.where(_room(differ, percent)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id."""
-    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.write(_signatures(docs, _frequent(docs, words), percent, words), "signatures")
-    keys = scratch.write(signed.select("doc_id", "n", "fp1", "fp2"), "keys")
-    known = signed.where("n > 0 and doc_id is not null")
-    classes = scratch.write(known.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.min("pfp").alias("pfp")), "classes")
-    groups = classes.groupBy("n", "pfp").agg(F.min("rep").alias("g"))
-    members = scratch.write(classes.join(groups, ["n", "pfp"]).select("g", F.col("rep").alias("m")).where("g <> m").distinct(), "members")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    told = scratch.write(_sets(source, words), "sets")
+    rows = told.where("n is not null").select("doc_id", "text_hash", "n", "fp1", "fp2")
+    top = told.where("n is null").groupBy("shingle").agg(F.sum("met").alias("met")).orderBy(F.col("met").desc(), "shingle").limit(HEAVY).toArrow()
+    order = np.lexsort((top.column("shingle").to_numpy(), top.column("met").to_numpy()))
+    heavy = top.column("shingle").to_numpy()[order].view(np.uint64)
+
+    known = rows.where("n > 0 and doc_id is not null")
+    firsts = known.groupBy("n", "fp1", "fp2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    classes = scratch.write(firsts.select("n", "fp1", "fp2", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_hash"), F.monotonically_increasing_id().alias("node")), "classes")
+    # Rows that repeat a doc_id: of equal ones, one is enough to stand for a node.
+    repeats = scratch.write(rows.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeats")
+    repeated = not repeats.isEmpty()
+    if repeated:
+        source = source.join(repeats, "doc_id", "left_anti").unionByName(source.join(repeats, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        return nodes.join(source, (F.col("rep") == F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash")))
+
+    # Sets of fewer shingles can't be near another one without being it.
+    able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent) if percent < 100 else classes.limit(0)
+    prefixes = scratch.write(_prefixes(_candidates(texts_of(able), heavy, percent, words), percent), "prefixes")
+    labels = _joined(prefixes, classes, texts_of, percent, words, scratch)
+    scratch.drop("prefixes")
+    return _result(rows, classes, labels, repeats if repeated else None, scratch)
+
+
+def _joined(prefixes: DataFrame, classes: DataFrame, texts_of, percent: int, words: int, scratch: Scratch) -> DataFrame | None:
+    """node, component of every node that has a link; None if there is none."""
+    # Groups of nodes whose prefixes, of shared shingles alone, are the same.
+    told = prefixes.groupBy("node").agg(F.first("n").alias("n"), F.min("pos").alias("start"), *[F.bit_xor(F.xxhash64("shingle", F.lit(k))).alias(f"p{k}") for k in (1, 2)]).where("start = 0")
+    groups = told.groupBy("n", "p1", "p2").agg(F.min("node").alias("g"), F.count("*").alias("size")).where("size > 1")
+    members = scratch.write(told.join(groups, ["n", "p1", "p2"]).select("g", F.col("node").alias("m")).where("g <> m"), "members")
 
     # Buckets: prefix shingles that two groups or more have.
-    prefixes = known.groupBy("n", "pfp").agg(F.min("doc_id").alias("g"), F.first("prefix").alias("prefix"))
-    rows = prefixes.select("g", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    met = rows.select("*", F.count("*").over(Window.partitionBy("shingle")).alias("met")).where("met > 1").drop("met")
-    buckets = scratch.write(met, "buckets")
-    nodes = buckets.select(F.col("g").alias("id")).union(members.select("m")).union(members.select("g")).distinct()
-    nodes = scratch.write(nodes, "nodes")
-    if not (ids := nodes.count()):
-        scratch.drop("signatures")
-        return _result(keys, classes, None)
-    # Bitmaps of nodes that stand for one set alone.
-    alone = known.join(nodes, F.col("doc_id") == F.col("id"), "left_semi").join(members.select(F.col("g").alias("doc_id")), "doc_id", "left_anti")
-    bitmaps = scratch.write(alone.groupBy("doc_id").agg(F.count_distinct("fp1", "fp2").alias("k"), F.first("bits").alias("bits"), F.first("wide").alias("wide")).where("k = 1").drop("k"), "bitmaps")
-    picked = F.broadcast(nodes) if ids <= BROADCAST_IDS else nodes
-    texts = scratch.write(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
-
-    # From here on only keys, classes, buckets, bitmaps and texts are read.
-    scratch.drop("signatures")
+    leaders = prefixes.join(members.select(F.col("m").alias("node")), "node", "left_anti").withColumnRenamed("node", "g")
+    met = leaders.groupBy("shingle").count().where("count > 1").select("shingle")
+    buckets = scratch.write(leaders.join(met, "shingle").select("shingle", "g", "n", "pos"), "buckets")
+    nodes = buckets.select(F.col("g").alias("node")).union(members.select("m")).union(members.select("g")).distinct()
+    texts = scratch.write(_with_bitmaps(texts_of(classes.join(nodes, "node", "left_semi")), words), "texts")
+    if texts.isEmpty():
+        return None
+    # Bitmaps of groups of one set alone.
+    bitmaps = texts.select("node", "bits", "wide").join(members.select(F.col("g").alias("node")), "node", "left_anti")
 
     # Members of a group against its leader; those that don't link stand in the buckets by themselves.
     tested = scratch.write(members.select(F.col("g").alias("a"), F.col("m").alias("b")), "tested-0")
-    labels, _ = _extended(None, tested, texts, percent, words, scratch, "0")
-    linked = scratch.spark.read.schema("a long, b long").parquet(f"{scratch.folder}/links-0")
-    apart = scratch.write(tested.join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("g"), "b"), "apart")
-    if apart.count():
-        buckets = scratch.write(buckets.unionByName(buckets.join(apart, "g").select(F.col("b").alias("g"), "n", "pos", "shingle")), "buckets-apart")
+    labels = None
+    if not tested.isEmpty():
+        labels, _ = _extended(None, tested, texts, percent, words, scratch, "0")
+        linked = scratch.spark.read.schema("a long, b long").parquet(f"{scratch.folder}/links-0")
+        apart = scratch.write(tested.join(linked, ["a", "b"], "left_anti").select(F.col("a").alias("g"), "b"), "apart")
+        buckets = scratch.write(buckets.unionByName(buckets.join(apart, "g").select("shingle", F.col("b").alias("g"), "n", "pos")), "buckets-0")
         members = members.join(apart.select("g", F.col("b").alias("m")), ["g", "m"], "left_anti")
 
     for k in range(1, STAR_ROUNDS + 1):
-        open_ = scratch.write(_open(buckets, labels), f"open-{k}")
-        hub = F.min(F.struct(F.xxhash64("g", F.lit(k)).alias("h"), F.col("g").alias("g"), F.col("n").alias("n"), F.col("pos").alias("pos"), F.col("c").alias("c"))).over(Window.partitionBy("shingle"))
-        star = open_.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), hub.alias("hub"))
-        star = star.select("b", "n_b", "pos_b", F.col("hub.g").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.pos").alias("pos_a"), "c_b", F.col("hub.c").alias("c_a"))
+        first = F.col("pos") / F.col("n") if k == 1 else F.lit(0.0)
+        held = scratch.write(_labelled(buckets, labels), f"held-{k}")
+        hubs = held.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(first.alias("first"), F.xxhash64("g", F.lit(k)).alias("h"), "g", "n", "pos", "c")).alias("hub")).where("lo < hi")
+        open_ = held.join(hubs.select("shingle", "hub"), "shingle")
+        star = open_.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), *[F.col(f"hub.{x}").alias(y) for x, y in (("g", "a"), ("n", "n_a"), ("pos", "pos_a"), ("c", "c_a"))])
         star = _filtered(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)), percent)
         star = _wide_allow(star, bitmaps, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.write(star.join(tested, ["a", "b"], "left_anti"), f"star-{k}")
-        scratch.drop(f"open-{k}")
-        if not fresh.count():
+        buckets = scratch.write(open_.select("shingle", "g", "n", "pos"), f"buckets-{k}")
+        scratch.drop(f"held-{k}")
+        if fresh.isEmpty():
             break
         tested = tested.unionByName(fresh)
         labels, grew = _extended(labels, fresh, texts, percent, words, scratch, str(k))
@@ -257,8 +314,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
             break
 
     # All that is left, between components.
-    open_ = scratch.write(_open(buckets, labels), "open-last")
-    mapped = open_.join(bitmaps.select(F.col("doc_id").alias("g"), "bits"), "g", "left")
+    held = scratch.write(_labelled(buckets, labels), "held")
+    apart = held.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("shingle")
+    mapped = held.join(apart, "shingle", "left_semi").join(bitmaps.select(F.col("node").alias("g"), "bits"), "g", "left")
     one, two = (mapped.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c", "bits")]) for s in "ab")
     rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _narrow_allow(percent))
     rest = _wide_allow(_filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent), bitmaps, percent)
@@ -269,28 +327,30 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
         rest = rest.join(own, side, "left").select(*[c for c in "ab" if c != side], F.coalesce("m", side).alias(side))
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     fresh = scratch.write(rest.join(tested, ["a", "b"], "left_anti"), "rest")
-    if fresh.count():
+    if not fresh.isEmpty():
         labels, _ = _extended(labels, fresh, texts, percent, words, scratch, "last")
-    scratch.drop("texts", "buckets", "buckets-apart", "open-last", "bitmaps")
-    return _result(keys, classes, labels)
+    scratch.drop("texts", "buckets", "held", "members", "tested-0", *[f"{x}-{k}" for x in ("buckets", "star") for k in range(STAR_ROUNDS + 1)])
+    return labels
 
 
-def _open(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows of buckets that hold more than one component, with that of each group (column c)."""
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows of buckets with the component of each group (column c)."""
     if labels is None:
-        return buckets.select("*", F.col("g").alias("c"))
-    held = buckets.join(labels, buckets.g == labels.node, "left").select("shingle", "g", "n", "pos", F.coalesce("component", "g").alias("c"))
-    w = Window.partitionBy("shingle")
-    return held.select("*", F.min("c").over(w).alias("lo"), F.max("c").over(w).alias("hi")).where("lo < hi").drop("lo", "hi")
+        return buckets.select("shingle", "g", "n", "pos", F.col("g").alias("c"))
+    return buckets.join(labels, buckets.g == labels.node, "left").select("shingle", "g", "n", "pos", F.coalesce("component", "g").alias("c"))
 
 
 def _extended(labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, percent: int, words: int, scratch: Scratch, name: str) -> tuple[DataFrame | None, bool]:
-    """Components after the fresh pairs are verified, and whether any linked.
+    """Components after the fresh pairs are verified, and whether any linked."""
+    return _contracted(labels, scratch.write(_linked(fresh, texts, percent, words), f"links-{name}"), scratch, name)
+
+
+def _contracted(labels: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame | None, bool]:
+    """Components with the links (a, b) added, and whether they join any.
 
     New links are first carried over to the components of their ends, so what is joined round by round is a row for each
     pair of components that meet, not for each link.
     """
-    links = scratch.write(_linked(fresh, texts, percent, words), f"links-{name}")
     met = links
     if labels is not None:
         for side in "ab":
@@ -307,13 +367,26 @@ def _extended(labels: DataFrame | None, fresh: DataFrame, texts: DataFrame, perc
     return scratch.write(old.unionByName(new.join(labels.select("node"), "node", "left_anti")), f"labels-{name}"), True
 
 
-def _result(keys: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    named = classes.select(*[F.col(c).alias(f"k_{c}") for c in ("n", "fp1", "fp2")], "rep")
-    rows = keys.select("doc_id", "n", "fp1", "fp2")
-    rows = rows.join(named, [rows[c] == named[f"k_{c}"] for c in ("n", "fp1", "fp2")], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+def _result(rows: DataFrame, classes: DataFrame, labels: DataFrame | None, repeats: DataFrame | None, scratch: Scratch) -> DataFrame:
+    """Rows with the smallest doc_id of their component. `repeats`: the doc_ids of several rows, if there are any."""
+    keys = ["n", "fp1", "fp2"]
+    named = lambda of: rows.join(of.withColumnsRenamed({k: f"k_{k}" for k in keys}), [rows[k] == F.col(f"k_{k}") for k in keys], "left")
+    if repeats is not None:
+        # The sets of one doc_id are linked by it.
+        several = scratch.write(named(classes.select(*keys, "node")).join(repeats, "doc_id", "left_semi").where("node is not null").select("doc_id", "node").distinct(), "several")
+        least = several.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = scratch.write(several.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct(), "links-ids")
+        labels, _ = _contracted(labels, links, scratch, "ids")
     if labels is not None:
-        rows = rows.join(labels, rows.rep == labels.node, "left").select("doc_id", "n", F.coalesce("component", "rep").alias("rep"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"))
+        held = classes.join(labels, "node", "left").select(*keys, "rep", F.coalesce("component", "node").alias("c"))
+        low = held.groupBy("c").agg(F.min("rep").alias("low"))
+        classes = held.join(low, "c").select(*keys, F.col("low").alias("rep"))
+    found = named(classes.select(*keys, "rep")).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
+    if repeats is not None:
+        # Rows without a set follow those of their doc_id that have one.
+        whole = found.where("n_shingles > 0").join(repeats, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("r_id")).agg(F.min("component_id").alias("whole"))
+        found = found.join(whole, found.doc_id == whole.r_id, "left").select("doc_id", "n_shingles", F.coalesce("whole", "component_id").alias("component_id"))
+    return found
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:

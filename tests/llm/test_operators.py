@@ -101,30 +101,69 @@ def families(rng, n):
     return [*texts, "", " ", None, "one two", "ONE  two", "one two three four five"]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_equal_brute_force(spark, seed):
-    texts = families(np.random.default_rng(seed), 60)
-    table = spark.createDataFrame([(k * 3 + 1, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, n string").repartition(5)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table).collect()}
-    sets, parent = {}, {}
-    for k, t in enumerate(texts):
+@pytest.mark.parametrize(("seed", "texts_an_id"), [(1, 1), (2, 1), (3, 2), (4, 3), (5, 2)])
+def test_components_equal_brute_force(spark, seed, texts_an_id):
+    """Also with several texts under one doc_id and with repeated rows."""
+    rng = np.random.default_rng(seed)
+    texts = families(rng, 60)
+    if texts_an_id > 1:
+        rng.shuffle(texts)
+    rows = [(k // texts_an_id * 3 + 1, t) for k, t in enumerate(texts)]
+    rows += rows[::7] if texts_an_id > 1 else []
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string").repartition(5)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table).collect())
+    sets, parent = [], {}
+    for doc_id, t in rows:
         w = WORD.findall((t or "").lower())
-        sets[k * 3 + 1] = {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
-        parent[k * 3 + 1] = k * 3 + 1
+        sets.append((doc_id, {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}))
+        parent[doc_id] = doc_id
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = list(sets)
-    for i, a in enumerate(ids):
-        for b in ids[:i]:
-            common = len(sets[a] & sets[b])
-            if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+    for i, (a, one) in enumerate(sets):
+        for b, two in sets[:i]:
+            common = len(one & two)
+            if common and 100 * common >= 80 * (len(one) + len(two) - common):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    assert got == {d: (len(sets[d]), find(d)) for d in ids}
+    assert got == Counter((d, len(s), find(d)) for d, s in sets)
+
+
+def test_links_of_texts_under_one_id(spark):
+    """Each id has two texts of different lengths, one of which is just similar enough to a text of another id."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(60):
+        words = [f"v{k}x{i}" for i in range(45)]
+        near = [*words, *(f"n{k}x{i}" for i in range(5))]
+        other = [f"o{k}x{i}" for i in range(int(rng.integers(6, 30)))]
+        rows += [(k, " ".join(words)), (k, " ".join(other)), (1000 + k, " ".join(near))]
+        want[k] = want[1000 + k] = k
+    got = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and len(got) == 180
+
+
+def test_a_large_family_of_copies(spark):
+    """Hundreds of variants of one text, a third too far from all others, and a passage that many texts share."""
+    rng = np.random.default_rng(11)
+    base, passage = [f"b{k}" for k in range(100)], [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        words = list(base)
+        for at in rng.choice(100, 1 if k % 3 else 8, replace=False):
+            words[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(words)))
+    rows += [(1000 + k, " ".join([*passage, *(f"q{k}x{i}" for i in range(40))])) for k in range(600)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == k for k in got if k >= 1000)
+    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(96)} for k, t in rows[:600]}
+    near = lambda a, b: len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])
+    close = [k for k in range(600) if k % 3]
+    linked = {k: k in close or any(near(k, x) for x in close) for k in range(600)}
+    assert all((got[k] == 0 or got[k] == 1) if linked[k] else got[k] == k for k in range(600))
 
 
 def test_crf_marginals_equal_enumeration():
