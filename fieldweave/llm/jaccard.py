@@ -5,11 +5,15 @@ global order, those of few nodes first. Two sets of similarity t or more then sh
 (1 - t) n + 1 of each. Sets with the same size and the same such prefix form one group, which stands in the join once: its
 prefix shingles make rows, and shingles met in two groups or more make buckets.
 
-How many nodes hold a shingle is counted over all of them by one shuffle of (shingle, node). A shingle of one node alone is
-first in order and can meet nothing, so it takes up its places of the prefix without ever becoming a row again; a set
-with enough of those is done there. Shingles that a bounded summary of the first pass finds in a share of the rows that
-would fill a task are kept out of that count: they come last in order, by their summary, and are emitted only as far as a
-prefix needs them. What the summary misses is counted exactly, so it steers balance and cost, never the result.
+How many nodes hold a shingle is counted exactly, in two steps. A set can link only if all but (1 - t) n of its shingles
+are in other sets too. So of every set the `SAMPLED` share of least hash goes through a first count; a set in which more
+than (1 - t) n of these are its own alone is done. All shingles of the sets that are left are then counted among them by
+one shuffle of (shingle, node). A shingle of one node alone is first in order and can meet nothing, so it takes up its
+places of the prefix without ever becoming a row again.
+
+Shingles that a bounded summary of the first pass finds in a share of the rows that would fill a task are kept out of
+these counts: they are taken for shared, come last in order, by their summary, and are emitted only as far as a prefix
+needs them. What the summary misses is counted like any other, so it steers balance and cost, never the result.
 
 Components need no list of all pairs. In a star round every bucket offers its groups paired with one of them (the hub;
 first the one with the fewest rarer shingles, later one by hash), the pairs are verified, and links are contracted to
@@ -48,6 +52,8 @@ PERCENT = 80
 HEAVY, RUN_SHINGLES, RUN_SHARE, RUN_LEAST = 200_000, 2_000_000, 1e-5, 3
 #: Added to the rank of shingles kept out of the count, so that they come after all counted ones.
 LAST = 1 << 60
+#: Share of a set's shingles, in percent and beyond those it may have alone, that the first count looks at.
+SAMPLED = 10
 STAR_ROUNDS = 3
 #: 64-bit words of a set's narrow and wide bitmaps.
 NARROW, WIDE = 4, 32
@@ -109,11 +115,60 @@ def _prefix_size(n: Column | np.ndarray, percent: int):
     return (n * (100 - percent) / 100).cast("long") + 1 if isinstance(n, Column) else n * (100 - percent) // 100 + 1
 
 
+def _places(sets: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Rank (from 1) of each shingle among the heavy ones; 0 for light ones."""
+    if not len(heavy):
+        return np.zeros(len(sets), np.int64)
+    by_hash = np.argsort(heavy)
+    ordered = heavy[by_hash]
+    at = np.minimum(np.searchsorted(ordered, sets), len(heavy) - 1)
+    return np.where(ordered[at] == sets, by_hash[at] + 1, 0)
+
+
+def _linkable(docs: DataFrame, heavy: np.ndarray, percent: int, words: int) -> DataFrame:
+    """fp1 of the sets that may link: of their sampled light shingles not too many are in no other set."""
+    names = ["own", "alone", "sampled", "shingle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        size = 0
+        for batch in batches:
+            for lo, hi, body, offsets in blocks(batch.column(0)):
+                flat, start, sizes, fp1, _ = _fingerprints(shingle_sets(body, offsets, words))
+                size += len(flat)
+                if size > RUN_SHINGLES:  # copies are left out within a run of rows
+                    seen, size = set(), len(flat)
+                fresh = np.zeros(hi - lo, bool)
+                for k, fp in enumerate(fp1.tolist()):
+                    if fp not in seen and 100 * sizes[k] >= percent * (sizes[k] + 1):
+                        fresh[k] = True
+                        seen.add(fp)
+                owner = np.repeat(np.arange(hi - lo), sizes)
+                light = _places(flat, heavy) == 0
+                before = np.concatenate([[0], np.cumsum(light)])
+                nth = before[:-1] - before[start[owner]]  # light ones of the set ahead of this one
+                alone = _prefix_size(sizes, percent) - 1
+                emit = light & fresh[owner] & (nth < (alone + 1 + sizes * SAMPLED // 100)[owner])
+                sampled = np.bincount(owner[emit], minlength=hi - lo)
+                who = owner[emit]
+                rows = [fp1[who], alone[who], sampled[who], flat[emit].view(np.int64)]
+                # A set with too few light shingles to tell: one row without a shingle.
+                sure = np.flatnonzero(fresh & (sampled <= alone))
+                nulls = [fp1[sure], alone[sure], sampled[sure]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x, y])) for x, y in zip(rows[:3], nulls, strict=True)] + [pa.concat_arrays([pa.array(rows[3]), pa.nulls(len(sure), pa.int64())])], names)
+
+    rows = docs.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    rows = rows.withColumn("key", F.coalesce("shingle", "own"))
+    each = Window.partitionBy("key")
+    once = rows.select("*", F.lag("own").over(each.orderBy("own")).alias("last")).where("last is null or last <> own")
+    shared = once.select("own", "alone", "sampled", "shingle", F.min("own").over(each).alias("lo"), F.max("own").over(each).alias("hi")).where("lo < hi or shingle is null")
+    some = shared.groupBy("own").agg(F.first("alone").alias("alone"), F.first("sampled").alias("sampled"), F.count("shingle").alias("shared"))
+    return some.where("sampled - shared <= alone").select(F.col("own").alias("fp1"))
+
+
 def _candidates(texts: DataFrame, heavy: np.ndarray, percent: int, words: int) -> DataFrame:
     """node, n, light, shingle, rank: rows of all light shingles of each node (rank 0), and of as many heavy ones, in
     order of their rank, as its prefix needs beyond them. light: the node's number of light shingles."""
-    by_hash = np.argsort(heavy)
-    sorted_heavy, rank = heavy[by_hash], (by_hash + 1).astype(np.int64)
     names = ["node", "n", "light", "shingle", "rank"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +178,7 @@ def _candidates(texts: DataFrame, heavy: np.ndarray, percent: int, words: int) -
                 flat, start, sizes, fp1, fp2 = _fingerprints(shingle_sets(body, offsets, words))
                 own = (sizes == n[lo:hi]) & (fp1 == one[lo:hi]) & (fp2 == two[lo:hi])
                 owner = np.repeat(np.arange(hi - lo), sizes)
-                place = np.zeros(len(flat), np.int64)
-                if len(sorted_heavy):
-                    at = np.minimum(np.searchsorted(sorted_heavy, flat), len(sorted_heavy) - 1)
-                    place = np.where(sorted_heavy[at] == flat, rank[at], 0)
+                place = _places(flat, heavy)
                 light = np.bincount(owner[place == 0], minlength=hi - lo)
                 want = np.maximum(_prefix_size(sizes, percent) - light, 0)
                 emit = (place == 0) & own[owner]
@@ -259,8 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
     def texts_of(nodes: DataFrame) -> DataFrame:
         return nodes.join(source, (F.col("rep") == F.col("doc_id")) & (F.col("rep_hash") == F.col("text_hash")))
 
-    # Sets of fewer shingles can't be near another one without being it.
-    able = classes.where(F.col("n") * 100 >= (F.col("n") + 1) * percent) if percent < 100 else classes.limit(0)
+    able = scratch.write(classes.join(_linkable(docs, heavy, percent, words), "fp1", "left_semi"), "able")
     prefixes = scratch.write(_prefixes(_candidates(texts_of(able), heavy, percent, words), percent), "prefixes")
     labels = _joined(prefixes, classes, texts_of, percent, words, scratch)
     scratch.drop("prefixes")

@@ -101,7 +101,7 @@ def families(rng, n):
     return [*texts, "", " ", None, "one two", "ONE  two", "one two three four five"]
 
 
-@pytest.mark.parametrize(("seed", "texts_an_id"), [(1, 1), (2, 1), (3, 2), (4, 3), (5, 2)])
+@pytest.mark.parametrize(("seed", "texts_an_id"), [(1, 1), (3, 2), (4, 3)])
 def test_components_equal_brute_force(spark, seed, texts_an_id):
     """Also with several texts under one doc_id and with repeated rows."""
     rng = np.random.default_rng(seed)
