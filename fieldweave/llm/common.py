@@ -1,13 +1,13 @@
-"""Shared pieces: word patterns, bounded Arrow batches, blocked prefix sums."""
+"""Shared pieces: word patterns and blocked prefix sums."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.scratch import Scratch
 
-__all__ = ["Scratch", "blocked_prefix_sum", "small_batches", "word_count", "words_of"]
+__all__ = ["Scratch", "blocked_prefix_sum", "word_count", "words_of"]
 
 #: What separates words everywhere in this package: space and the control characters 9 to 13.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -25,13 +25,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS)), F.lit(0)).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Lets Arrow batches hold at most `rows` rows of whole texts, so that a Python worker's memory stays bounded."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def blocked_prefix_sum(df: DataFrame, group: list[str], block: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
     """Exclusive prefix sums within `group`, in two levels, so no task sorts more than one block of a hot group.
 

@@ -6,10 +6,13 @@ the distinct 4-grams, as Kneser-Ney's continuation counts do. A language's model
 n-grams with their interpolated probabilities; the arrays of all languages are merged, so one binary search a position
 finds the log-probabilities under every language. A text gets the language of the lowest cross-entropy a character.
 
-Rejection is calibrated: of all of a language's own training documents' cross-entropies, the median and the deviation
-from it are kept, and a text more than `reject_deviations` above the median of its language is marked rejected. A language
-with a single training document with letters has no deviation and rejects nothing. A temperature fitted on a bounded
-sample of training documents turns cross-entropies into the score.
+Rejection is calibrated on rows kept out of the counts: one in `KEPT_OUT` learnable rows, by hash, of languages with
+`ENOUGH_ROWS` or more; all rows of the others. A row's excess is its cross-entropy over the median of its language's
+calibration rows, over 1 + 20 / size, as short texts scatter more. A text is rejected if its excess is above the
+1 - `REJECT_SHARE` quantile of its language's and above `NEVER_DEVIATIONS` robust deviations. So at most about
+`REJECT_SHARE` of a language's texts like the known ones are rejected. A language with a single calibration row rejects
+nothing. A temperature fitted on a bounded sample of calibration rows (at most `calibration_docs`, each of at most
+`CALIBRATION_BYTES` bytes) turns cross-entropies into the score.
 
 Every 4-gram of every language is in the model, which tasks get with the plan: it must fit the driver and each worker.
 
@@ -28,10 +31,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import Scratch, small_batches
+from fieldweave.llm.common import Scratch
 from fieldweave.llm.textblocks import blocks
 
-ORDER, CALIBRATION_DOCS, REJECT_DEVIATIONS = 4, 2000, 12.0
+ORDER, CALIBRATION_DOCS, CALIBRATION_BYTES = 4, 2000, 1 << 16
+#: One in so many learnable rows of a language with enough rows is kept out of its counts for calibration.
+KEPT_OUT, ENOUGH_ROWS = 8, 256
+#: The share of a language's own rows that may be rejected, and the deviations above the median that never are.
+REJECT_SHARE, NEVER_DEVIATIONS = 1e-3, 8.0
+#: The code that stands for letters beyond the basic plane (one for private use, so no letter's own).
+BEYOND = 0xE000
 UNKNOWN = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LETTER: np.ndarray | None = None
@@ -60,9 +69,12 @@ def letters_of(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     cut = place[ends]  # code points up to and with each text's closing line feed
     if cut[-1] != len(points):
         raise ValueError("text is not UTF-8")
-    small = np.where(points < 65536, points, 0x4E00).astype(np.uint16)
+    beyond = points >= 65536
     table = np.where(_letters(), _lower(), 32).astype(np.uint16)
-    shown = table[small]
+    shown = table[np.where(beyond, 0, points).astype(np.uint16)]
+    if beyond.any():
+        found, back = np.unique(points[beyond], return_inverse=True)
+        shown[beyond] = np.where([chr(c).isalpha() for c in found.tolist()], BEYOND, 32)[back]
     text_of = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], cut])))
     keep = (shown != 32) | np.concatenate([[True], shown[:-1] != 32])  # a run's first blank stays
     keep[np.concatenate([[0], cut[:-1]])] = True
@@ -172,7 +184,7 @@ class LanguageModel:
     keys: np.ndarray  # sorted hashes of all languages' 4-grams
     values: np.ndarray  # log-probabilities, a column a language
     mean: np.ndarray
-    deviation: np.ndarray
+    bound: np.ndarray
     temperature: float = 20.0
 
     @classmethod
@@ -223,11 +235,22 @@ def held_out(parts: int = 3, part: int = 1) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def kept_out(rows: DataFrame) -> tuple[Column, Column]:
+    """Which rows are kept out of the counts, and which calibrate: those, and all of languages without enough rows.
+
+    Collects one name a language.
+    """
+    large = [r["lang"] for r in rows.where("lang is not null").groupBy("lang").count().where(F.col("count") >= ENOUGH_ROWS).collect()]
+    enough = F.coalesce(F.col("lang").isin(large), F.lit(False)) if large else F.lit(False)
+    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(KEPT_OUT)) == 0
+    return enough & picked, ~enough | picked
+
+
 def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Column | None = None) -> LanguageModel | None:
-    """Counts and rejection bounds over all learnable rows; the temperature on a bounded sample of them, picked by hash."""
-    small_batches(docs.sparkSession)
+    """Counts over all learnable rows but those kept out; bounds from the latter; the temperature from a bounded sample of them."""
     rows = docs.where(learnable() if chosen is None else chosen)
-    table = count_ngrams(rows).toArrow()
+    apart, calibrating = kept_out(rows)
+    table = count_ngrams(rows.where(~apart)).toArrow()
     if not table.num_rows:
         return None
     langs = table.column("lang").dictionary_encode().combine_chunks()
@@ -235,13 +258,14 @@ def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Col
     codes, counts = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
     names = sorted(found)
     model = LanguageModel.build(names, [(codes[owner == k], counts[owner == k]) for k in map(found.index, names)])
-    calibrate(rows, model)
-    ids = rows.where("text is not null").select(F.col("doc_id").alias("c_id")).orderBy(F.xxhash64("c_id"), "c_id").limit(calibration_docs)
-    sample = rows.join(F.broadcast(ids.distinct()), F.col("doc_id") == F.col("c_id")).select("doc_id", "text", "lang").orderBy("doc_id", "text").toArrow()
+    some = rows.where(calibrating & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    calibrate(some, model)
+    short = some.where(F.octet_length("text") <= CALIBRATION_BYTES).select("doc_id", "text", "lang")
+    sample = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text", "lang").limit(calibration_docs).toArrow()
     text = pa.concat_arrays(sample.column("text").chunks) if sample.num_rows else pa.array([], pa.string())
     entropy, size = model.cross_entropies(text)
-    truth = np.array([names.index(x) for x in sample.column("lang").to_pylist()], int)
-    entropy, truth = entropy[size > 0], truth[size > 0]
+    truth = np.array([names.index(x) if x in names else -1 for x in sample.column("lang").to_pylist()], int)
+    entropy, truth = entropy[(size > 0) & (truth >= 0)], truth[(size > 0) & (truth >= 0)]
     if not len(truth):
         return model
     loss = []
@@ -254,7 +278,7 @@ def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS, chosen: Col
 
 
 def own_entropies(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """lang and entropy: nats a character of every row with a letter under its own language's model."""
+    """lang, entropy and size: nats a character under its own language's model, and characters, of every row with a letter."""
     place = {x: k for k, x in enumerate(model.names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,26 +286,26 @@ def own_entropies(rows: DataFrame, model: LanguageModel) -> DataFrame:
             entropy, size = model.cross_entropies(batch.column(0))
             own = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()], int)
             some = np.flatnonzero((size > 0) & (own >= 0))
-            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(entropy[some, own[some]])], ["lang", "entropy"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(some)), pa.array(entropy[some, own[some]]), pa.array(size[some])], ["lang", "entropy", "size"])
 
-    return rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, entropy double")
+    return rows.where("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, entropy double, size long")
 
 
 def calibrate(rows: DataFrame, model: LanguageModel) -> None:
-    """Sets each language's median and deviation from all its rows."""
-    # Robust: half of the rows set the middle, so mislabelled or odd rows don't widen the bound.
-    middle = lambda c: F.percentile_approx(c, 0.5, 10_000)
+    """Sets each language's median and its bound on the excess, from all the given rows of it."""
+    quantile = lambda c, at: F.percentile_approx(c, at, 10_000)
     own = Scratch(rows.sparkSession).write(own_entropies(rows, model), "entropies")
-    medians = own.groupBy(F.col("lang").alias("m_lang")).agg(middle("entropy").alias("median"), F.count("*").alias("n")).where("n > 1")
-    apart = own.join(F.broadcast(medians), F.col("lang") == F.col("m_lang"))
-    for row in apart.groupBy("lang").agg(F.first("median").alias("median"), middle(F.abs(F.col("entropy") - F.col("median"))).alias("apart")).collect():
+    medians = own.groupBy(F.col("lang").alias("m_lang")).agg(quantile("entropy", 0.5).alias("median"), F.count("*").alias("n")).where("n > 1")
+    apart = own.join(F.broadcast(medians), F.col("lang") == F.col("m_lang")).select("lang", "median", (F.col("entropy") - F.col("median")).alias("over"), "size")
+    # Robust: half of the rows set the deviation, so mislabelled or odd rows don't widen it.
+    bounds = apart.groupBy("lang").agg(F.first("median").alias("median"), quantile(F.abs("over"), 0.5).alias("apart"), quantile(F.col("over") / (1 + F.lit(20) / F.col("size")), 1 - REJECT_SHARE).alias("most"))
+    for row in bounds.collect():
         k = model.names.index(row["lang"])
-        model.mean[k], model.deviation[k] = row["median"], max(1.4826 * row["apart"], 0.05)
+        model.mean[k], model.bound[k] = row["median"], max(row["most"], NEVER_DEVIATIONS * max(1.4826 * row["apart"], 0.05))
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",), reject_deviations: float = REJECT_DEVIATIONS) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then held_out, lang_pred, score, cross_entropy (nats a character) and rejected of every document."""
-    small_batches(docs.sparkSession)
     names = list(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields] + ["held_out boolean", "lang_pred string", "score double", "cross_entropy double", "rejected boolean"])
 
@@ -296,7 +320,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, keep: tuple[str, ...]
                 label[some] = np.array(model.names, object)[k]
                 score[some] = model.scores(entropy[some])[np.arange(len(some)), k]
                 best[some] = entropy[some, k]
-                rejected[some] = best[some] > model.mean[k] + reject_deviations * model.deviation[k] * (1 + 20 / size[some])
+                rejected[some] = best[some] > model.mean[k] + model.bound[k] * (1 + 20 / size[some])
             columns = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(len(names) + 1), pa.array(label, pa.string()), pa.array(score), pa.array(best), pa.array(rejected)], [*names, "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 

@@ -6,7 +6,7 @@ line length, passes a fitted logistic curve to become the document's score.
 
 Labels are of documents. Training starts with each line bearing its document's label; then, in documents labelled bad,
 lines that the model takes for good keep that label (the worst line of each stays bad) and the chain is fitted again.
-The labelled sample is bounded: at most about `train_docs` documents, picked by hash.
+The labelled sample is bounded: at most `train_docs` documents, picked by hash, each of at most `TRAIN_BYTES` bytes.
 
 Edge cases: null and empty texts are one empty line and get a score; repeated rows are scored alike; without labelled
 rows of both kinds every score is 1; an empty table gives an empty result. Other columns play no part.
@@ -22,10 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import small_batches
 from fieldweave.llm.textblocks import blocks, segment_sums
 
-TRAIN_DOCS, ROUNDS, PENALTY = 4000, 120, 1e-3
+TRAIN_DOCS, TRAIN_BYTES, ROUNDS, PENALTY = 4000, 1 << 16, 120, 1e-3
 THRESHOLD = 0.7
 
 
@@ -240,12 +239,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
         rows = known.where(F.col("quality") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs // 2)
         picked = rows if picked is None else picked.unionByName(rows)
     picked = F.broadcast(picked.select(F.col("doc_id").alias("label_id"), "quality"))
-    return docs.select("doc_id", "text").join(picked, F.col("doc_id") == F.col("label_id")).dropDuplicates(["doc_id"]).orderBy("doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "quality").toArrow()
+    # Of several texts under one doc_id the least one stands for it, so the sample doesn't depend on the order of rows.
+    short = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return short.join(picked, F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "quality").toArrow()
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then held_out, score and predicted of every document. `text` may be among `keep`."""
-    small_batches(docs.sparkSession)
     chain = train(training_sample(docs, labels, train_docs))
     names = list(keep)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema.fields] + ["held_out boolean", "score double", "predicted int"])

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.common import small_batches
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows encoded at once, and the share of rows (one in so many, by hash) that the parity column compares: all of them.
@@ -188,7 +187,6 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int =
 
     parity is true or false for rows that the sentencepiece library encoded too: all, unless `parity_every` says fewer.
     """
-    small_batches(docs.sparkSession)
     data, names = model, [c for c in docs.columns if c not in ("ids", "decoded_ok", "parity")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names] + ["ids array<int>", "decoded_ok boolean", "parity boolean"])
 
@@ -222,7 +220,6 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int =
 
 def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     """Adds `decoded`, the text of the ids; null ids give an empty text."""
-    small_batches(encoded.sparkSession)
     names = [c for c in encoded.columns if c != "decoded"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name in names] + ["decoded string"])
 

@@ -95,7 +95,7 @@ def trusted_sample(labels: DataFrame, limit: int = TRUSTED_ROWS) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS) -> DataFrame:
     """Base rules, score and verdict of every document."""
-    weights = ",".join(f"{x:.5g}" for x in log_ratios(docs, trusted_sample(labels, trusted_rows), buckets))
+    weights = ",".join(repr(x) for x in log_ratios(docs, trusted_sample(labels, trusted_rows), buckets))
     table = F.split(F.lit(weights), ",").cast("array<double>")
     rows = base_rules(docs)
     total = F.aggregate(_buckets(F.col("hashes"), buckets), F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int")))

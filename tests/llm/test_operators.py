@@ -40,6 +40,29 @@ def test_licences_of_known_lines(spark):
     assert {got[k] for k in range(100, 160)} == {"none"}
 
 
+def test_wrapped_and_buried_notices(spark):
+    """Every template, as a line, wrapped over lines and inside a long line of prose; and notices of no family."""
+    rng = np.random.default_rng(2)
+    words = ["weather", "river", "house", "paper", "people", "walk", "slowly", "along", "green", "fields", "and", "the", "of", "a"]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    rows, want = [], {}
+    for family, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            assert re.search(license_scan.ANCHORS, text) and len(text.split()) <= license_scan.WINDOW - license_scan.STRIDE
+            parts = text.split()
+            wrapped = "\n".join(" ".join(parts[k : k + 7]) for k in range(0, len(parts), 7))
+            for form in (text, f"{prose(40)}\n\n{wrapped}\n \n{prose(30)}", f"{prose(900)} {text} {prose(700)}", f"{prose(11)} {text}"):
+                want[len(rows)] = family
+                rows.append((len(rows), form))
+    for k in range(300):
+        rows.append((len(rows), f"{prose(60)}\n\n{prose(20)} permission to walk or a license to fish {prose(int(rng.integers(0, 90)))}" if k % 3 == 0 else prose(80)))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [rows[k][1][:60] for k, family in want.items() if got[k]["licence"] != family]
+    assert len(missed) <= 0.02 * len(want), missed
+    assert all(got[k]["n_licensed"] == 0 for k in got if k not in want)
+    assert sum(got[k]["licence"] != "none" for k in got if k not in want) <= 3
+
+
 def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, 6)).astype("float32")
@@ -226,11 +249,30 @@ def test_rare_languages_reject_too(spark):
     common = [(k, f"the house number {'abcdefghij'[k % 10]} stands by the road and the river runs past it", "en") for k in range(3000)]
     rare = [(10_000 + k, "kissa istuu ikkunalla ja katselee lunta joka sataa hiljaa", "fi") for k in range(3)]
     model = language.train(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), calibration_docs=5, chosen=F.lit(True))
-    assert np.isfinite(model.deviation).all() and (model.mean > 0).all()
+    assert np.isfinite(model.bound).all() and (model.mean > 0).all()
     got = language.identify(spark.createDataFrame([(1, "kkzqq ikkx jja uukkw lluuk", "fi"), (2, rare[0][1], "fi")], "doc_id long, text string, lang string"), model)
     assert {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in got.collect()} == {1: ("fi", True), 2: ("fi", False)}
 
 
+def test_letters_beyond_the_basic_plane(spark):
+    """Emoji are no letters; Deseret and Gothic ones are."""
+    model = language.train(spark.createDataFrame([(k, "plain english words here", "en") for k in range(9)], "doc_id long, text string, lang string"), chosen=F.lit(True))
+    texts = {1: "\U0001f600\U0001f680", 2: "\U0001f600 12 !", 3: "\U00010400\U00010428", 4: "\U00010330\U00010331 \U0001f600", 5: "words \U0001f600"}
+    got = language.identify(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "und", 2: "und", 3: "en", 4: "en", 5: "en"}
+
+
+def test_few_own_texts_are_rejected(spark):
+    """Texts like the known ones, kept out of the counts, are rejected at the stated share at most."""
+    rng = np.random.default_rng(4)
+    words = ["house", "river", "stands", "road", "near", "old", "tree", "water", "light", "green", "morning", "walks"]
+    rows = [(k, " ".join(rng.choice(words, rng.integers(3, 40))), "en") for k in range(6000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(table.where("doc_id < 4000"), chosen=F.lit(True))
+    fresh = language.identify(table.where("doc_id >= 4000"), model)
+    assert fresh.where("rejected").count() <= 2 * language.REJECT_SHARE * 2000
+
+
 def test_mix_meets_targets(spark, docs):
     rows = mixing.mix(docs).collect()
     again = mixing.mix(docs.repartition(3)).collect()
