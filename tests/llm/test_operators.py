@@ -70,7 +70,7 @@ def test_topk_equals_brute_force(spark):
     rows = [(k, [float(v) for v in x[k]], 0) for k in range(400)] + [(1000, None, 0), (1020, [1.0, None, 1.0, 1.0, 1.0, 1.0], 0), (1040, [float("nan")] * 6, 0), (1060, [float("inf")] * 6, 0), (2000, [1.0, 2.0], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
     got = defaultdict(list)
-    for r in topk.top_k(table, F.col("vec_id") % 20 == 0, shard_rows=90, query_rows=7).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(table, F.col("vec_id") % 20 == 0, shard_rows=90, query_rows=7, pivots=3).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
     q = np.floor(64 * x.astype("float64"))
     assert set(got) == set(range(0, 400, 20))
