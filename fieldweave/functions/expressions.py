@@ -109,7 +109,7 @@ def business_logic(ttype: Column, attrs: Column, port_attrs: Column, grp: Column
         (t.contains("SEQUENCE"), a("Current Value"), lines("; ", *[told(f"{x}: ", a(x)) for x in ("Start Value", "Increment Value", "End Value")])),
         (t.contains("SORTER"), F.coalesce(first_attr(port_attrs, "Sort Direction"), a("Sort Direction")), a("Transformation Scope")),
         (t.contains("SOURCE QUALIFIER") | (t == "SQ"), a("Sql Query", "Sql Override"), lines("; ", told("User Defined Join: ", a("User Defined Join")), told("Source Filter: ", a("Source Filter")), told("Associated source definitions: ", a("Associated Source Instance", "Associated Source Definitions", "Source Table Name")))),
-        (t.contains("STORED PROCEDURE"), a("Stored Procedure Name"), F.array_join(F.transform(F.array_sort(rest), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")),
+        (t.contains("STORED PROCEDURE"), a("Stored Procedure Name"), F.array_join(F.transform(rest, lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")),
         (t.contains("TRANSACTION"), a("Transaction Control Condition"), F.lit("")),
         (t.contains("UPDATE STRATEGY"), a("Update Strategy Expression"), F.lit("")),
         (t.contains("RANK"), F.when(ranks[0].isNotNull() | ranks[1].isNotNull(), F.concat(F.lit("Rank="), F.coalesce(ranks[0], F.lit("")), F.lit(", number of Ranks="), F.coalesce(ranks[1], F.lit("")))), a("Case-Sensitive String Comparison", "Case Sensitive String Comparison")),

@@ -93,6 +93,33 @@ def panels(nodes: DataFrame, edges: DataFrame, final_group: str, rank: DataFrame
     return rows.select("grp", place.alias("place"), "node_count", "level", zero("incoming"), zero("outgoing"))
 
 
+def overview(tasks: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GR15, CQ10: (nodes, edges) of each workflow: its tasks, and its links between tasks it has; the last of parallel links labels.
+
+    nodes: folder, workflow, id, label, kind; edges: folder, workflow, from, to, label.
+    """
+    keys = ["folder", "workflow"]
+    label = F.when(F.col("tasktype") == "Session", F.col("task")).otherwise(F.concat("task", F.lit("\n["), F.coalesce("tasktype", F.lit("")), F.lit("]")))
+    nodes = tasks.groupBy(*keys, F.col("task").alias("id")).agg(F.max_by(F.struct("task", "tasktype"), "ord").alias("t")).select(*keys, "id", "t.*").select(*keys, "id", label.alias("label"), F.col("tasktype").alias("kind"))
+    there = lambda side: nodes.select(*keys, F.col("id").alias(side))
+    known = links.join(there("from_task"), [*keys, "from_task"], "left_semi").join(there("to_task"), [*keys, "to_task"], "left_semi")
+    edges = known.groupBy(*keys, F.col("from_task").alias("from"), F.col("to_task").alias("to")).agg(F.max_by(F.coalesce("condition", F.lit("")), "ord").alias("label"))
+    return nodes, edges
+
+
+def canvas(instances: DataFrame, connectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """GR15, CQ10: (nodes, edges) of every mapping and mapplet: its instances, and one edge for all wires of a pair.
+
+    An instance that wires name and the scope lacks is a node without a kind. nodes: folder, scope_kind, scope, id,
+    label, kind; edges: folder, scope_kind, scope, from, to, label (blank).
+    """
+    keys = ["folder", "scope_kind", "scope"]
+    own = instances.groupBy(*keys, F.col("instance").alias("id")).agg(F.max_by(F.struct(F.coalesce("transformation_name", "instance").alias("label"), F.col("type").alias("kind")), "ord").alias("i")).select(*keys, "id", "i.label", "i.kind")
+    edges = connectors.select(*keys, F.col("from_instance").alias("from"), F.col("to_instance").alias("to"), F.lit("").alias("label")).distinct()
+    ends = edges.select(*keys, F.col("from").alias("id")).union(edges.select(*keys, "to")).distinct().join(own.select(*keys, "id"), [*keys, "id"], "left_anti")
+    return own.unionByName(ends.select(*keys, "id", F.col("id").alias("label"), F.lit(None).cast("string").alias("kind"))), edges
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """SNK7: one row: {nodes: [id, label, kind], edges: [from, to, label]}, sorted. For graphs small enough to show."""
     n = nodes.agg(F.array_sort(F.collect_set(F.struct("id", "label", "kind"))).alias("nodes"))

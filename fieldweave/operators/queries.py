@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldweave.functions import expressions as X
-from fieldweave.operators import graph, order, report, stitch
+from fieldweave.operators import graph, order, report, resolve, stitch
+from fieldweave.operators.expand import expansion
+from fieldweave.operators.trace import roots_of, trace
 from fieldweave.plans import catalog, dependency, lineage
-from fieldweave.scratch import Scratch
+from fieldweave.scratch import Scratch, numbered
 from fieldweave.sources.compact import document
-from fieldweave.sources.repository import from_json
+from fieldweave.sources.repository import Repository, cached, from_json
 from fieldweave.sources.sample import ENGINE_B, GOLDEN
 from fieldweave.tables import table
 
@@ -141,11 +143,11 @@ def gr8_label_propagation(spark, sf_dir):
 def graph_labels(rows: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GR8 over edges src to dst: labels of dst rows reach src rows. Each edge is a row of its dst that leads back to src."""
     keyed = edges.select(F.col("dst").alias("own_key"), F.col("src").alias("prev_key"), F.lit("").alias("target_field")).unionByName(rows.select("own_key", "prev_key", "target_field"))
-    numbered = scratch.write(keyed.select("*", F.row_number().over(Window.orderBy(F.col("target_field").desc(), "own_key", "prev_key")).cast("long").alias("edge_id")), "numbered")
-    starts = numbered.where("target_field <> ''").select("own_key", F.col("target_field").alias("label"))
+    rows = scratch.write(numbered(keyed, [F.col("target_field").desc(), F.col("own_key"), F.col("prev_key")], "edge_id", scratch, "ranged"), "numbered")
+    starts = rows.where("target_field <> ''").select("own_key", F.col("target_field").alias("label"))
     # A start's label belongs to all rows of its key.
-    first = numbered.join(starts, "own_key").select("edge_id", "own_key", "prev_key", F.col("label").alias("target_field"))
-    rest = numbered.join(starts.select("own_key"), "own_key", "left_anti").select("edge_id", "own_key", "prev_key", "target_field")
+    first = rows.join(starts, "own_key").select("edge_id", "own_key", "prev_key", F.col("label").alias("target_field"))
+    rest = rows.join(starts.select("own_key"), "own_key", "left_anti").select("edge_id", "own_key", "prev_key", "target_field")
     out = stitch.labels(first.unionByName(rest), scratch, F.col("target_field") != "")
     return out.where("Connectors <> ''").groupBy("own_key").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.split("Connectors", ", "))))), ", ").alias("Connectors"))
 
@@ -202,6 +204,138 @@ def gr14_panels(spark, sf_dir):
     return graph.panels(nodes, edges, "GERMANY", rank)
 
 
+# A repository of the tables: a mapping for each nation, whose target has a field for each customer, fed by a port for each
+# order, fed by a source field for each line item. Nations of region 2 and up have a second, unwired target instance;
+# those of region 3 and up take their transformation from the folder. Sessions run the mappings in order of the nations.
+
+_M = "'m' || n_nationkey"
+
+
+def _tables_repo(spark: SparkSession, sf_dir: str) -> Repository:
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey", F.concat(F.lit("m"), "n_nationkey").alias("m"))
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "m", "n_regionkey")
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_custkey", "m", "n_regionkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.col(p).cast("string") for p in parts])
+    cust, orders_, line = text(F.lit("C"), "c_custkey"), text(F.lit("O"), "o_orderkey"), text(F.lit("L"), "l_orderkey", F.lit("."), "l_linenumber")
+    at = [F.lit("F").alias("folder"), F.lit("MAPPING").alias("scope_kind"), F.col("m").alias("scope")]
+    null = lambda kind="string": F.lit(None).cast(kind)
+    attrs = F.expr("cast(map() as map<string,string>)")
+
+    def instances(rows: DataFrame, name: str, kind: str, definition: Column, ord_: int) -> DataFrame:
+        return rows.select(*at, F.lit(name).alias("instance"), F.lit(kind).alias("type"), definition.alias("transformation_name"), F.lit("Expression" if kind == "TRANSFORMATION" else "").alias("transformation_type"), F.lit(ord_).alias("ord"))
+
+    target = text(F.lit("CUST_"), "m")
+    instance = instances(n, "SRC", "SOURCE", F.lit("LINEITEM"), 0).unionByName(instances(n, "ORD", "TRANSFORMATION", F.lit("ORD"), 1)).unionByName(instances(n, "TGT", "TARGET", target, 2)).unionByName(instances(n.where("n_regionkey >= 2"), "TGT2", "TARGET", target, 3))
+
+    def wires(rows: DataFrame, a: str, a_field: Column, a_type: str, b: str, b_field: Column, ord_: Column) -> DataFrame:
+        return rows.select(*at, ord_.cast("int").alias("ord"), F.lit(a).alias("from_instance"), a_field.alias("from_field"), F.lit(a_type).alias("from_type"), F.lit(b).alias("to_instance"), b_field.alias("to_field"), F.lit("Expression").alias("to_type"))
+
+    connector = wires(li, "SRC", line, "Source Definition", "ORD", orders_, F.col("l_linenumber")).unionByName(wires(o, "ORD", orders_, "Expression", "TGT", cust, F.col("o_orderkey")))
+    shared = F.col("n_regionkey") >= 3
+    held = [F.lit("F").alias("folder"), F.when(shared, "FOLDER").otherwise("MAPPING").alias("scope_kind"), F.when(shared, "").otherwise(F.col("m")).alias("scope")]
+    transformation = n.select(*held, F.lit("ORD").alias("name"), F.lit("Expression").alias("type"), attrs.alias("attrs")).dropDuplicates(["folder", "scope_kind", "scope", "name"])
+    port = o.select(*held, F.lit("ORD").alias("transformation"), orders_.alias("port"), F.col("o_orderkey").cast("int").alias("ord"), F.lit("INPUT/OUTPUT").alias("porttype"), F.lit("").alias("expression"), *[null().alias(x) for x in ("ref_field", "ref_instancetype", "grp")], null("int").alias("grp_pos"), *[null().alias(x) for x in ("datatype", "precision", "scale", "expression_type")], attrs.alias("attrs"))
+    place = F.col("n_nationkey").cast("int")
+    session = n.select(F.lit("F").alias("folder"), F.lit("wf").alias("workflow"), F.lit(0).alias("wf_ord"), F.concat(F.lit("s_"), "m").alias("session"), F.col("m").alias("mapping"), place.alias("ord"))
+    task = session.select("folder", "workflow", "wf_ord", F.col("session").alias("task"), F.lit("Session").alias("tasktype"), F.col("ord"))
+    pairs = n.select(F.concat(F.lit("s_m"), "n_nationkey").alias("from_task"), F.concat(F.lit("s_m"), (F.col("n_nationkey") + 1)).alias("to_task"), place.alias("ord"))
+    wlink = pairs.select(F.lit("F").alias("folder"), F.lit("wf").alias("workflow"), "from_task", "to_task", F.lit("").alias("condition"), "ord")
+    group = port.select(*held[:0], "folder", "scope_kind", "scope", "transformation", "grp", F.lit("").alias("grp_type"), "ord", "attrs").limit(0)
+    return Repository(
+        source_field=li.select(F.lit("F").alias("folder"), F.lit("LINEITEM").alias("source"), line.alias("field"), F.col("l_linenumber").cast("int").alias("ord")),
+        target_field=c.select(F.lit("F").alias("folder"), target.alias("target"), cust.alias("field"), F.col("c_custkey").cast("int").alias("ord")),
+        transformation=transformation, port=port, port_group=group, scope=n.select(*at, place.alias("ord")), instance=instance, connector=connector, task=task, session=session, wlink=wlink,
+    )
+
+
+@query(f"""WITH c AS (SELECT c_custkey, 'C' || c_custkey AS field, {_M} AS mapping, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey), li AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT mapping, 'TGT' AS instance, field, CASE WHEN l_orderkey IS NOT NULL THEN 'source' WHEN o_orderkey IS NOT NULL THEN 'literal_or_unresolved' ELSE 'unmapped' END AS leaf_type,
+  'L' || l_orderkey || '.' || l_linenumber AS source_field, CASE WHEN o_orderkey IS NULL THEN '' ELSE 'ORD.O' || o_orderkey || '[Expression]' END AS chain
+FROM c LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN li ON l_orderkey = o_orderkey
+UNION ALL SELECT mapping, 'TGT2', field, 'unmapped', NULL, '' FROM c WHERE n_regionkey >= 2""")
+def gr1_engine_trace(spark, sf_dir):
+    """Every target field of every mapping through the expansion rules and the walk."""
+    scratch = Scratch(spark)
+    repo = cached(_tables_repo(spark, sf_dir), scratch)
+    roots = roots_of(lineage.target_fields(repo), ["folder", "scope", "instance", "field"])
+    leaves = trace(roots, expansion(repo, scratch), scratch)
+    return leaves.select(F.col("root.scope").alias("mapping"), "root.instance", "root.field", "leaf_type", "source_field", X.chain(F.col("hops")).alias("chain"))
+
+
+@query(f"""SELECT {_M} AS mapping, 'CUST_' || {_M} AS tbl, 'C' || c_custkey AS field, CASE WHEN n_regionkey >= 2 THEN 'TGT, TGT2' ELSE 'TGT' END AS instances, CASE WHEN n_regionkey >= 2 THEN 'Yes' ELSE 'No' END AS multi FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def gr21_engine_write_sets(spark, sf_dir):
+    """Also J7: whether a table's field is written by several instances."""
+    writes, _ = stitch.read_write_sets(_tables_repo(spark, sf_dir))
+    return writes.select("mapping", F.col("table").alias("tbl"), "field", F.array_join("instances", ", ").alias("instances"), F.when(F.size("instances") > 1, "Yes").otherwise("No").alias("multi"))
+
+
+@query(f"""SELECT {_M} AS mapping, CASE WHEN n_regionkey >= 3 THEN 'FOLDER' ELSE 'MAPPING' END AS found_in, 'Expression' AS ttype FROM nation""")
+def j2_engine_definition(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    rows = resolve.with_definition(repo.instance.where("instance = 'ORD'"), repo, "transformation_name")
+    return rows.select(F.col("scope").alias("mapping"), F.col("d_kind").alias("found_in"), F.col("d_type").alias("ttype"))
+
+
+def _asked(repo: Repository) -> DataFrame:
+    return repo.instance.where("type = 'TARGET'").select("folder", F.col("scope").alias("mapping"), "instance").distinct()
+
+
+@query(f"""SELECT {_M} AS mapping, t AS instance FROM nation, (VALUES ('TGT'), ('TGT2')) v(t) WHERE t = 'TGT' OR n_regionkey >= 2""")
+def pf3_target_instances(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    asked = repo.scope.select(F.col("scope").alias("mapping"), F.lower(F.concat(F.lit(" Cust_"), "scope")).alias("table"))
+    return report.target_instances(repo.instance, asked).select("mapping", "instance")
+
+
+@query(f"""SELECT DISTINCT {_M} AS mapping, 'TGT' AS instance, 'ORD' AS producer FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey""")
+def pf7_producers(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    return report.producers_of(repo.connector, _asked(repo)).select("mapping", "instance", "producer")
+
+
+@query(f"""SELECT {_M} AS mapping, t AS instance, 'C' || c_custkey AS field FROM customer JOIN nation ON n_nationkey = c_nationkey, (VALUES ('TGT'), ('TGT2')) v(t) WHERE t = 'TGT' OR n_regionkey >= 2""")
+def pf8_instance_fields(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    return report.instance_fields(repo.instance, repo.target_field, _asked(repo)).select("mapping", "instance", "field")
+
+
+@query(f"""WITH n AS (SELECT {_M} AS mapping, 's_' || {_M} AS session, n_nationkey, n_regionkey FROM nation), w AS (SELECT DISTINCT c_nationkey, 'C' || c_custkey AS field FROM customer JOIN orders ON o_custkey = c_custkey),
+ a AS (SELECT *, '' AS instance FROM n UNION ALL SELECT *, 'TGT' FROM n UNION ALL SELECT *, 'NONE' FROM n),
+ s AS (SELECT *, CASE WHEN instance = 'NONE' THEN 'wrong instance' WHEN instance = '' AND n_regionkey >= 2 THEN 'ambiguous table' ELSE 'ready' END AS state FROM a)
+SELECT mapping, instance, state, CASE WHEN state = 'ready' THEN session END AS session, field FROM s LEFT JOIN w ON w.c_nationkey = s.n_nationkey AND s.state = 'ready'""")
+def cq8_listing(spark, sf_dir):
+    scratch = Scratch(spark)
+    repo = _tables_repo(spark, sf_dir)
+    names = F.explode(F.array(F.lit(""), F.lit("TGT"), F.lit("NONE")))
+    asked = repo.scope.select(F.col("scope").alias("mapping"), F.concat(F.lit("cust_"), "scope").alias("table"), names.alias("instance"))
+    rows = report.listing(repo.instance, repo.target_field, repo.connector, order.session_order(repo, scratch), asked)
+    return rows.select("mapping", "instance", "state", "session", "field")
+
+
+@query(f"""WITH t AS (SELECT 's_' || {_M} AS id, n_nationkey AS k FROM nation) SELECT 'node' AS part, id AS a, id AS b, 'Session' AS c FROM t
+UNION ALL SELECT 'edge', x.id, y.id, '' FROM t x JOIN t y ON y.k = x.k + 1""")
+def gr15_overview(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    nodes, edges = graph.overview(repo.task, repo.wlink)
+    return nodes.select(F.lit("node").alias("part"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("kind").alias("c")).unionByName(edges.select(F.lit("edge").alias("part"), F.col("from").alias("a"), F.col("to").alias("b"), F.col("label").alias("c")))
+
+
+@query(f"""WITH n AS (SELECT {_M} AS scope, n_nationkey, n_regionkey FROM nation), i AS (SELECT scope, id, CASE id WHEN 'SRC' THEN 'LINEITEM' WHEN 'ORD' THEN 'ORD' ELSE 'CUST_' || scope END AS label, CASE id WHEN 'SRC' THEN 'SOURCE' WHEN 'ORD' THEN 'TRANSFORMATION' ELSE 'TARGET' END AS kind
+  FROM n, (VALUES ('SRC'), ('ORD'), ('TGT'), ('TGT2')) v(id) WHERE id <> 'TGT2' OR n_regionkey >= 2), w AS (SELECT scope, o_orderkey FROM n JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)
+SELECT scope, 'node' AS part, id AS a, label AS b, kind AS c FROM i UNION ALL SELECT DISTINCT scope, 'edge', 'ORD', 'TGT', '' FROM w UNION ALL SELECT DISTINCT scope, 'edge', 'SRC', 'ORD', '' FROM w JOIN lineitem ON l_orderkey = o_orderkey""")
+def cq10_canvas(spark, sf_dir):
+    repo = _tables_repo(spark, sf_dir)
+    nodes, edges = graph.canvas(repo.instance, repo.connector)
+    return nodes.select("scope", F.lit("node").alias("part"), F.col("id").alias("a"), F.col("label").alias("b"), F.col("kind").alias("c")).unionByName(edges.select("scope", F.lit("edge").alias("part"), F.col("from").alias("a"), F.col("to").alias("b"), F.col("label").alias("c")))
+
+
+@query("""SELECT 'orders' AS what, count(*) AS n FROM orders UNION ALL SELECT 'customers', count(*) FROM customer UNION ALL SELECT 'open orders', count(*) FROM orders WHERE o_orderstatus = 'O'""")
+def ag9_counts(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return report.counts(**{"orders": o, "customers": table(spark, sf_dir, "customer"), "open orders": o.where("o_orderstatus = 'O'")})
+
+
 # As-of joins and read/write sets.
 
 
@@ -261,13 +395,14 @@ def j12_suffix_match(spark, sf_dir):
     return report.suffix_matches(outs, ins, ["t"]).select("out", "inp", "kind")
 
 
-@query("""WITH cat AS (SELECT p_brand, p_type, p_size, p_name, p_partkey FROM part WHERE p_partkey % 7 = 0),
+@query("""WITH cat AS (SELECT p_brand, p_type, p_size, p_name, p_partkey FROM part WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 49)),
  t1 AS (SELECT p_brand, p_type, p_size, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL), t2 AS (SELECT p_brand, p_type, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL), t3 AS (SELECT p_brand, arg_min(p_name, p_partkey) AS v FROM cat GROUP BY ALL)
 SELECT p.p_partkey, coalesce(t1.v, t2.v, t3.v) AS p_name, CASE WHEN t1.v IS NOT NULL THEN 1 WHEN t2.v IS NOT NULL THEN 2 WHEN t3.v IS NOT NULL THEN 3 ELSE 0 END AS tier
 FROM part p LEFT JOIN t1 USING (p_brand, p_type, p_size) LEFT JOIN t2 USING (p_brand, p_type) LEFT JOIN t3 USING (p_brand)""")
 def j14_three_tier_match(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    found = report.tiered_match(p.select("p_partkey", "p_brand", "p_type", "p_size"), p.where("p_partkey % 7 = 0"), [["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"]], "p_name", "p_partkey")
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
+    found = report.tiered_match(p.select("p_partkey", "p_brand", "p_type", "p_size"), p.join(returned, "p_partkey", "left_semi"), [["p_brand", "p_type", "p_size"], ["p_brand", "p_type"], ["p_brand"]], "p_name", "p_partkey")
     return found.select("p_partkey", "p_name", "tier")
 
 
@@ -276,13 +411,22 @@ def j14_three_tier_match(spark, sf_dir):
 _EXPRESSIONS = [
     (1, "IIF(X > 0, X, :LKP.LKP_C(Y))"), (2, "v_a || LTRIM(RTRIM(b_2))"), (3, "SYSDATE"), (4, ""), (5, ":lkp.one(A, B) + :LKP.two( C )"), (6, "'STATUS' = STATUS AND max_x"),
 ]
+#: The literal rows and the texts of all documents.
+_TEXTS = f"(SELECT id, e FROM {_values(_EXPRESSIONS, 'id, e')} UNION ALL SELECT 1000 + doc_id, coalesce(text, '') FROM documents)"
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _rows(spark, _EXPRESSIONS, "id long, e string")
+    return rows.unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.coalesce("text", F.lit("")).alias("e")))
+
+
 _UPPER = ", ".join(f"'{k}'" for k in X.KEYWORDS)
 
 
 @query(f"""SELECT id, CAST(pos AS INT) AS pos, tok FROM (SELECT id, tok, row_number() OVER (PARTITION BY id ORDER BY first) - 1 AS pos FROM (
-  SELECT id, tok, min(i) AS first FROM (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT id, regexp_extract_all(e, '[A-Za-z_][A-Za-z0-9_]*') AS toks FROM {_values(_EXPRESSIONS, 'id, e')})) WHERE upper(tok) NOT IN ({_UPPER}) GROUP BY id, tok))""")
+  SELECT id, tok, min(i) AS first FROM (SELECT id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS i FROM (SELECT id, regexp_extract_all(e, '[A-Za-z_][A-Za-z0-9_]*') AS toks FROM {_TEXTS})) WHERE upper(tok) NOT IN ({_UPPER}) GROUP BY id, tok))""")
 def f1_tokens(spark, sf_dir):
-    return _rows(spark, _EXPRESSIONS, "id int, e string").select("id", F.posexplode(X.tokens(F.col("e"))).alias("pos", "tok"))
+    return _texts(spark, sf_dir).select("id", F.posexplode(X.tokens(F.col("e"))).alias("pos", "tok"))
 
 
 @query("""SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'))) AS INT) AS n FROM documents""")
@@ -291,17 +435,17 @@ def f1_token_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", found.alias("n"))
 
 
-@query(f"""SELECT id, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 1)) AS name, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 2)) AS args FROM {_values(_EXPRESSIONS, 'id, e')}""")
+@query(f"""SELECT id, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 1)) AS name, unnest(regexp_extract_all(e, '(?i):LKP\\.(\\w+)\\s*\\(([^)]*)\\)', 2)) AS args FROM {_TEXTS}""")
 def f2_lkp_calls(spark, sf_dir):
-    return _rows(spark, _EXPRESSIONS, "id int, e string").select("id", F.explode(X.lookup_calls(F.col("e"))).alias("c")).select("id", "c.name", "c.args")
+    return _texts(spark, sf_dir).select("id", F.explode(X.lookup_calls(F.col("e"))).alias("c")).select("id", "c.name", "c.args")
 
 
 _NAMES = [("X",), ("b_2",), ("b",), ("STATUS",), ("Y",)]
 
 
-@query(f"""SELECT id, name FROM {_values(_EXPRESSIONS, 'id, e')}, (SELECT * FROM {_values(_NAMES, 'name')}) n WHERE regexp_matches(e, '\\b' || name || '\\b')""")
+@query(f"""SELECT id, name FROM {_TEXTS} t, (SELECT * FROM {_values(_NAMES, 'name')}) n WHERE regexp_matches(e, '\\b' || name || '\\b')""")
 def f3_whole_word(spark, sf_dir):
-    e, n = _rows(spark, _EXPRESSIONS, "id int, e string"), _rows(spark, _NAMES, "name string")
+    e, n = _texts(spark, sf_dir), _rows(spark, _NAMES, "name string")
     return e.join(F.broadcast(n), X.names_whole_word(F.col("e"), F.col("name"))).select("id", "name")
 
 

@@ -61,6 +61,49 @@ def first_session(order: DataFrame) -> DataFrame:
     return order.groupBy("folder", "mapping").agg(F.min_by("session", "exec_order").alias("session"))
 
 
+def target_instances(instances: DataFrame, asked: DataFrame) -> DataFrame:
+    """PF3: folder, mapping, table, instance: TARGET instances of the asked mappings and tables; table names compare without case."""
+    a = asked.select(F.col("mapping").alias("a_mapping"), "table", F.lower(F.trim("table")).alias("a_table")).distinct()
+    targets = instances.where("scope_kind = 'MAPPING' and type = 'TARGET'")
+    return targets.join(a, [targets["scope"] == a["a_mapping"], F.lower("transformation_name") == F.col("a_table")]).select("folder", F.col("scope").alias("mapping"), "table", "instance", "ord")
+
+
+def producers_of(connectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """PF7: folder, mapping, instance, producer: distinct instances wired straight to each asked one (folder, mapping, instance)."""
+    wires = connectors.where("scope_kind = 'MAPPING'").select("folder", F.col("scope").alias("mapping"), F.col("to_instance").alias("instance"), F.col("from_instance").alias("producer"))
+    return wires.join(asked.select("folder", "mapping", "instance").distinct(), ["folder", "mapping", "instance"], "left_semi").distinct()
+
+
+def instance_fields(instances: DataFrame, target_fields: DataFrame, asked: DataFrame) -> DataFrame:
+    """PF8: folder, mapping, instance, field, ord: target fields of each asked instance: of the first TARGET instance of the
+    name, else of the first of any type whose definition is a target."""
+    named = instances.where("scope_kind = 'MAPPING'").select("folder", F.col("scope").alias("mapping"), "instance", "transformation_name", (F.coalesce("type", F.lit("")) != "TARGET").alias("other"), F.col("ord").alias("i_ord"))
+    named = named.join(asked.select("folder", "mapping", "instance").distinct(), ["folder", "mapping", "instance"], "left_semi")
+    first = named.groupBy("folder", "mapping", "instance").agg(F.min(F.struct("other", "i_ord", "transformation_name")).alias("first"))
+    found = first.select("folder", "mapping", "instance", F.col("first.transformation_name").alias("target"))
+    return found.join(target_fields, ["folder", "target"]).select("folder", "mapping", "instance", "field", "ord")
+
+
+def listing(instances: DataFrame, target_fields: DataFrame, connectors: DataFrame, order: DataFrame, asked: DataFrame) -> DataFrame:
+    """CQ8: asked columns and state; for `ready` ones also the session, and a row for each field that is wired: field and ord.
+
+    `asked`: mapping, table, instance (blank: the table's only one). States are form_state's.
+    """
+    mappings = instances.where("scope_kind = 'MAPPING'").select(F.col("scope").alias("mapping")).distinct()
+    targets = instances.where("scope_kind = 'MAPPING' and type = 'TARGET'").select(F.col("scope").alias("mapping"), "instance", F.col("transformation_name").alias("table"))
+    state = form_state(mappings, targets, asked)
+    chosen = target_instances(instances, state.where("state = 'ready'")).select("folder", F.col("mapping").alias("c_mapping"), F.col("table").alias("c_table"), F.col("instance").alias("chosen"))
+    same = [F.col("mapping") == F.col("c_mapping"), F.col("table") == F.col("c_table"), (F.trim(F.coalesce("instance", F.lit(""))) == "") | (F.col("instance") == F.col("chosen"))]
+    met = state.join(chosen, [(F.col("state") == "ready"), *same], "left").select(*asked.columns, "state", "folder", "chosen")
+    fields = instance_fields(instances, target_fields, chosen.select("folder", F.col("c_mapping").alias("mapping"), F.col("chosen").alias("instance")))
+    wires = connectors.where("scope_kind = 'MAPPING'").select("folder", F.col("scope").alias("mapping"), F.col("to_instance").alias("instance"), F.col("to_field").alias("field"))
+    fields = wired_fields(fields, wires, ["folder", "mapping", "instance", "field"]).select(F.col("folder").alias("f_folder"), F.col("mapping").alias("f_mapping"), F.col("instance").alias("f_instance"), "field", "ord")
+    met = met.join(fields, [F.col("folder") == F.col("f_folder"), F.col("mapping") == F.col("f_mapping"), F.col("chosen") == F.col("f_instance")], "left")
+    session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
+    met = met.join(session, [F.col("folder") == F.col("s_folder"), F.col("mapping") == F.col("s_mapping")], "left")
+    return met.select(*asked.columns, "state", "session", "field", "ord")
+
+
 def wired_fields(fields: DataFrame, connectors: DataFrame, keys: list[str]) -> DataFrame:
     """PF6: fields that a connector leads to."""
     return fields.join(connectors.select(*keys).distinct(), keys, "left_semi")
@@ -82,6 +125,12 @@ def form_state(mappings: DataFrame, instances: DataFrame, asked: DataFrame) -> D
     return a.select(*asked.columns, state.alias("state"))
 
 
+def counts(**tables: DataFrame) -> DataFrame:
+    """AG9: what, n: the number of rows of each table given by name."""
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n") for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """AG1, AG3: the first row of each key."""
     return rows.select("*", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("_k")).where("_k = 1").drop("_k")

@@ -20,7 +20,7 @@ from fieldweave.operators.closure import first_visits
 from fieldweave.operators.order import session_order
 from fieldweave.operators.report import first_session, suffix_matches
 from fieldweave.operators.resolve import boundary_ports, instance_ports, port_map, resolved_instances, with_definition
-from fieldweave.scratch import Scratch
+from fieldweave.scratch import Scratch, numbered
 from fieldweave.sources.repository import SCOPE, Repository, cached
 
 MAX_HOPS = 60
@@ -28,10 +28,12 @@ REFERENCES, HOP_DIGITS = 1_000_000_000, 1000
 STACK = "array<struct<scope_kind:string,scope:string,instance:string>>"
 HOPS = "array<struct<instance:string,field:string,ttype:string,logic:string,label:string>>"
 PLACE = [*SCOPE, "instance", "itype", "field"]
+# Texts of output rows.
 NO_UPSTREAM = "(no upstream connector -- literal, mapping parameter/variable, Sequence Generator value, or unconnected port)"
 INPUT_NOTE = "(input port -- value received as-is from the upstream connector)"
 PASS_NOTE = "(pass-through / no port-level expression captured for this port)"
-BEST_EFFORT = "[Best-effort: the port mapping inside this Custom Transformation isn't in the export, so every connected input port is shown as a possible source.]"
+BEST_EFFORT = "[Best-effort: this Custom Transformation's internal port mapping isn't captured in the exported metadata, so every connected input port is shown as a possible source.]"
+# Fixed values end.
 
 
 def crossing(ttype: Column, field: Column, expr: Column, refs: Column, first_is_variable: Column, attrs: Column, expression_type: Column) -> Column:
@@ -104,7 +106,7 @@ def flow(repo: Repository, scratch: Scratch) -> Flow:
     none = F.expr("cast(array() as array<string>)")
     plain_in = F.col("role").contains("INPUT") & ~F.col("role").contains("OUTPUT")
     logic = F.when(F.col("expr") != "", F.col("expr")).when(plain_in, INPUT_NOTE).otherwise(PASS_NOTE)
-    logic = F.when(F.col("opaque").isNotNull(), F.concat(logic, F.lit(" " + BEST_EFFORT))).otherwise(logic)
+    logic = F.when(F.col("opaque").isNotNull(), F.concat_ws(" ", F.nullif(logic, F.lit("")), F.lit(BEST_EFFORT))).otherwise(logic)
     told = told.select(*SCOPE, "instance", "field", logic.alias("logic"), (crossing(t_of, F.col("field"), F.col("expr"), F.coalesce("refs", none), F.coalesce("first_var", F.lit(False)), F.col("d_attrs"), F.col("expression_type")) | F.lit(False)).alias("is_crossing"))
 
     # Places: ends of connectors and ports.
@@ -244,8 +246,9 @@ def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None,
     roots = scratch.write(target_roots(repo), "flow-roots")
     leaves = scratch.write(_leaves(walk(roots, f, scratch, "flat"), f), "flat-leaves")
     first = order.groupBy("folder", F.col("mapping").alias("scope")).agg(F.min("exec_order").alias("exec"))
-    place = F.row_number().over(Window.orderBy(F.col("exec").asc_nulls_last(), "map_ord", "inst_ord", "field_ord"))
-    ranked = scratch.write(roots.join(first, ["folder", "scope"], "left").select("root", "target", place.alias("root_place")), "flat-ranked")
+    declared = [F.col("exec").asc_nulls_last(), F.col("map_ord"), F.col("inst_ord"), F.col("field_ord")]
+    ranked = numbered(roots.join(first, ["folder", "scope"], "left").select("root", "target", "exec", "map_ord", "inst_ord", "field_ord"), declared, "root_place", scratch, "flat-ranged")
+    ranked = scratch.write(ranked.select("root", "target", "root_place"), "flat-ranked")
     start = ranked
     if mapping is not None:
         start = start.where(F.col("root.mapping") == mapping)
@@ -254,8 +257,8 @@ def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None,
 
     # Which reads are followed, and from where: first visits over (mapping, table, field), hops packed below the ordinals.
     rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    numbered = scratch.write(leaves.select("*", rank.alias("leaf_place")), "flat-numbered")
-    reads = numbered.where("source_table is not null").select("root", "leaf_place", "hop", F.concat_ws("\x1f", "root.mapping", "source_table", F.lower("source_field")).alias("read"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), F.col("source_table").alias("table"), F.lower("source_field").alias("field_key"))
+    placed = scratch.write(leaves.select("*", rank.alias("leaf_place")), "flat-numbered")
+    reads = placed.where("source_table is not null").select("root", "leaf_place", "hop", F.concat_ws("\x1f", "root.mapping", "source_table", F.lower("source_field")).alias("read"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), F.col("source_table").alias("table"), F.lower("source_field").alias("field_key"))
     p = producers(repo)
     writer = reads.select("read", "folder", "reader", "table", "field_key").distinct().join(p, ["folder", "table", "field_key"]).where("reader <> up_mapping")
     writer = scratch.write(writer.select("read", "up_root", F.row_number().over(Window.partitionBy("read").orderBy("place")).alias("_k")).where("_k = 1").drop("_k"), "flat-writers")
@@ -271,7 +274,7 @@ def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None,
     seen = visits.join(heads.select("read", "up_root").unionByName(writer.select("read", "up_root")), "read")
 
     session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
-    rows = seen.join(numbered.withColumnRenamed("root", "up_root"), "up_root").join(ranked.select(F.col("root").alias("up_root"), "target"), "up_root")
+    rows = seen.join(placed.withColumnRenamed("root", "up_root"), "up_root").join(ranked.select(F.col("root").alias("up_root"), "target"), "up_root")
     rows = rows.join(session, [rows.up_root.folder == session.s_folder, rows.up_root.mapping == session.s_mapping], "left")
     reader = reads.select(F.col("read").alias("x"), "reader", "table", "field_key").distinct()
     by = session.select(F.col("s_mapping").alias("reader"), F.col("session").alias("reader_session"))

@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests) a temporary folder is set for the session."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one in local mode, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fieldweave-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
@@ -33,3 +36,18 @@ class Scratch:
         for name in names or ("",):
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}".rstrip("/"))
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(rows: DataFrame, order: list[Column], column: str, scratch: Scratch, name: str) -> DataFrame:
+    """Adds the place of each row, from 1, in one total order: sorted in range partitions, which start where the last ended.
+
+    Only one count a partition comes to the driver.
+    """
+    dealt = scratch.write(rows.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_part")), name)
+    starts, total = [], 0
+    for part, n in sorted(dealt.groupBy("_part").count().collect()):
+        starts.append((part, total))
+        total += n
+    before = rows.sparkSession.createDataFrame(starts, "_part int, _before long")
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + place).alias(column))

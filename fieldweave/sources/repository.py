@@ -54,14 +54,18 @@ def _last(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def _bag(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Maps of NAME to VALUE of attribute nodes; the last of equal names counts."""
+    """Maps of NAME to VALUE of attribute nodes in document order; the last of equal names counts."""
     named = _last(rows.where(attr("NAME").isNotNull()).select(*keys, order, attr("NAME").alias("k"), F.coalesce(F.col("a").getItem("VALUE"), F.lit("")).alias("val")), [*keys, "k"], order)
-    return named.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "val")))).alias("bag"))
+    return named.groupBy(*keys).agg(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "k", "val"))), lambda x: F.struct(x["k"].alias("k"), x["val"].alias("val")))).alias("bag"))
 
 
 def from_json(documents: DataFrame, first_folder_only: bool = True) -> Repository:
-    """Tables of a DataFrame with one column of JSON documents. Of a document's folders the first alone, unless told otherwise."""
-    top = documents.select(F.parse_json(F.col(documents.columns[0])).alias("d")).select(F.expr("variant_get(d, '$.root', 'variant')").alias("v"))
+    """Tables of a DataFrame with one column of JSON documents. Of a document's folders the first alone, unless told otherwise.
+
+    Names are resolved within a document. Documents with folders of one name give the rows of both under that name.
+    """
+    text = F.col(documents.columns[0])
+    top = documents.select(F.xxhash64(text).alias("doc"), F.parse_json(text).alias("d")).select("doc", F.expr("variant_get(d, '$.root', 'variant')").alias("v"))
     return _normalised(top, first_folder_only)
 
 
@@ -71,10 +75,12 @@ def read_json(spark: SparkSession, path: str, first_folder_only: bool = True) ->
 
 
 def _normalised(top: DataFrame, first_folder_only: bool) -> Repository:
-    repo = _kids(top, "o1", []).where("tag = 'REPOSITORY'")
-    folder = _kids(repo, "o2", []).where("tag = 'FOLDER'").select(attr("NAME").alias("folder"), "o2", "v")
+    repo = _kids(top, "o1", ["doc"]).where("tag = 'REPOSITORY'")
+    # While names are resolved, a folder is its document and its name.
+    folder = _kids(repo, "o2", ["doc", "o1"]).where("tag = 'FOLDER'").select(F.struct("doc", attr("NAME").alias("name")).alias("folder"), "doc", "o1", "o2", "v")
     if first_folder_only:
-        folder = folder.select("*", F.min("o2").over(Window.partitionBy()).alias("_first")).where("o2 = _first").drop("_first")
+        place = F.row_number().over(Window.partitionBy("doc").orderBy("o1", "o2"))
+        folder = folder.select("folder", "v", place.alias("place")).where("place = 1").drop("place")
     l3 = _kids(folder, "o3", ["folder"]).select("folder", "o3", "tag", "a", "v", attr("NAME").alias("name"))
     l3 = _last(l3, ["folder", "tag", "name"], "o3")
 
@@ -124,7 +130,8 @@ def _normalised(top: DataFrame, first_folder_only: bool) -> Repository:
     task = flow.where("tag = 'TASKINSTANCE'").select(*wf, attr("NAME").alias("task"), attr("TASKTYPE").alias("tasktype"), F.col("o4").alias("ord"))
     session = flow.where("tag = 'SESSION'").select(*wf, attr("NAME").alias("session"), attr("MAPPINGNAME").alias("mapping"), F.col("o4").alias("ord"))
     wlink = flow.where("tag = 'WORKFLOWLINK'").select("folder", F.col("parent").alias("workflow"), attr("FROMTASK").alias("from_task"), attr("TOTASK").alias("to_task"), attr("CONDITION").alias("condition"), F.col("o4").alias("ord"))
-    return Repository(fields_of("SOURCE", "SOURCEFIELD", "source"), fields_of("TARGET", "TARGETFIELD", "target"), transformation, port, port_group, scopes.drop("v"), instance, connector, task, session, wlink)
+    made = Repository(fields_of("SOURCE", "SOURCEFIELD", "source"), fields_of("TARGET", "TARGETFIELD", "target"), transformation, port, port_group, scopes.drop("v"), instance, connector, task, session, wlink)
+    return made.map(lambda _, df: df.withColumn("folder", F.col("folder.name")))
 
 
 def cached(repo: Repository, scratch) -> Repository:

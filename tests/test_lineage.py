@@ -142,3 +142,42 @@ def test_levels_tell_a_cycle(spark):
     with pytest.raises(ValueError, match="cycle"):
         graph.longest_levels(nodes, edges, Scratch(spark))
     assert {tuple(r) for r in graph.longest_levels(nodes, edges.where("src <> 'c'"), Scratch(spark)).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_documents_keep_apart(spark):
+    """Names are resolved within a document: a node before the folder, and folders and tables of one name."""
+    one = document("FOLDER{NAME=F}[SOURCE{NAME=S}[SOURCEFIELD{NAME=A}]] FOLDER{NAME=G}[SOURCE{NAME=S}[SOURCEFIELD{NAME=Z}]]")
+    two = document("NOTE{NAME=N} FOLDER{NAME=F}[SOURCE{NAME=S}[SOURCEFIELD{NAME=B}] SOURCE{NAME=S}[SOURCEFIELD{NAME=C}]]")
+    repo = from_json(spark.createDataFrame([(one,), (two,)], "d string"))
+    assert sorted(map(tuple, repo.source_field.select("folder", "source", "field").collect())) == [("F", "S", "A"), ("F", "S", "C")]
+
+
+def test_stored_procedure_attributes_keep_their_order(spark):
+    text = "TRANSFORMATION{NAME=P;TYPE=Stored Procedure}[TABLEATTRIBUTE{NAME=Zeta;VALUE=1} TABLEATTRIBUTE{NAME=Stored Procedure Name;VALUE=sp} TABLEATTRIBUTE{NAME=Alpha;VALUE=2}]"
+    repo = repo_of(spark, f"FOLDER{{NAME=F}}[{text}]")
+    none = F.expr("cast(map() as map<string,string>)")
+    logic, more = X.business_logic(F.col("type"), F.col("attrs"), none, F.lit(None).cast("string"), none, F.lit(""))
+    assert tuple(repo.transformation.select(logic, more).first()) == ("sp", "Zeta: 1; Alpha: 2")
+
+
+def test_long_chains_reach_their_source(spark):
+    """More than 60 hops are followed to their end."""
+    edges = spark.createDataFrame([(f"P{k + 1}", f"P{k}") for k in range(69)], "src string, dst string").coalesce(1)
+    assert graph.reachable(spark.createDataFrame([("P69",)], "node string").coalesce(1), edges, Scratch(spark)).count() == 70
+
+
+@pytest.mark.parametrize("before", [True, False])
+def test_closest_over_blocks_and_hot_keys(spark, before):
+    import numpy as np
+
+    from fieldweave.operators import stitch
+
+    rng = np.random.default_rng(6)
+    events = [(None if k % 50 == 0 else "a" if k % 3 else f"k{k % 5}", int(rng.integers(-300_000, 300_000)), f"e{k}") for k in range(400)]
+    rows = [(None if k % 40 == 0 else "a" if k % 3 else f"k{k % 5}", int(rng.integers(-300_000, 300_000)), k) for k in range(500)] + [("a", 7, 1000), ("a", 7, 1001)]
+    e, r = spark.createDataFrame(events, "k string, at long, name string"), spark.createDataFrame(rows, "k string, o long, id long")
+    got = {x["id"]: (x["f_at"], x["f_name"]) for x in stitch.closest(r, e, ["k"], "o", "at", before, ["name"], "f_").collect()}
+    for k, o, i in rows:
+        fit = [(at, n) for key, at, n in events if key is not None and key == k and (at < o if before else at > o)]
+        best = (max if before else min)((at for at, _ in fit), default=None)
+        assert got[i] == ((best, min(n for at, n in fit if at == best)) if fit else (None, None))
