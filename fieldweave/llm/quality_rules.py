@@ -64,6 +64,11 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return four.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(cover, F.lit(0)).alias("n_repeat_words"), "hashes")
 
 
+def base_failed() -> Column:
+    """The verdict of the base columns."""
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
 def _buckets(hashes: Column, buckets: int) -> Column:
     """Bucket of each unigram, then of each bigram."""
     ones = F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)))
@@ -100,6 +105,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     rows = base_rules(docs)
     total = F.aggregate(_buckets(F.col("hashes"), buckets), F.lit(0.0), lambda s, b: s + F.get(table, b.cast("int")))
     grams = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = rows.select(*rows.columns[:-1], failed.alias("base_failed"), (total / grams).alias("score"))
+    scored = rows.select(*rows.columns[:-1], base_failed().alias("base_failed"), (total / grams).alias("score"))
     return scored.select("*", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
