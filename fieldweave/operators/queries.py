@@ -443,8 +443,9 @@ def f2_lkp_calls(spark, sf_dir):
 _NAMES = [("X",), ("b_2",), ("b",), ("STATUS",), ("Y",)]
 
 
-@query(f"""SELECT id, name FROM {_TEXTS} t, (SELECT * FROM {_values(_NAMES, 'name')}) n WHERE regexp_matches(e, '\\b' || name || '\\b')""")
+@query(f"""SELECT id, name FROM {_TEXTS} t, (SELECT * FROM {_values(_NAMES, 'name')}) n WHERE regexp_matches(e, '(^|[^\\p{{L}}\\p{{N}}_])' || name || '([^\\p{{L}}\\p{{N}}_]|$)')""")
 def f3_whole_word(spark, sf_dir):
+    """Word boundaries are those of Unicode, which the SQL has to spell out."""
     e, n = _texts(spark, sf_dir), _rows(spark, _NAMES, "name string")
     return e.join(F.broadcast(n), X.names_whole_word(F.col("e"), F.col("name"))).select("id", "name")
 
