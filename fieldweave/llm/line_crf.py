@@ -8,6 +8,8 @@ Labels are of documents. Training starts with each line bearing its document's l
 lines that the model takes for good keep that label (the worst line of each stays bad) and the chain is fitted again.
 The labelled sample is bounded: at most `train_docs` documents, picked by hash, each of at most `TRAIN_BYTES` bytes.
 
+Texts over `BLOCK_BYTES` are read in pieces; beside the text they take some tens of bytes a line, not the features of all lines.
+
 Edge cases: null and empty texts are one empty line and get a score; repeated rows are scored alike; without labelled
 rows of both kinds every score is 1; an empty table gives an empty result. Other columns play no part.
 """
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldweave.llm.textblocks import blocks, segment_sums
+from fieldweave.llm.textblocks import BLOCK_BYTES, blocks, segment_sums
 
 TRAIN_DOCS, TRAIN_BYTES, ROUNDS, PENALTY = 4000, 1 << 16, 120, 1e-3
 THRESHOLD = 0.7
+#: Chains of more lines are scanned in runs.
+LONG_CHAIN = 512
 
 
 def _classes() -> np.ndarray:
@@ -49,14 +53,63 @@ def _classes() -> np.ndarray:
 
 
 CLASSES, N_CLASSES = _classes(), 9
+BLANK, LOUD = 1 << 5, (1 << 3) | (1 << 4)
+FEED = 10
+#: A line's own features, and which of them says that it equals an earlier one.
+OWN, AGAIN = N_CLASSES + 8, N_CLASSES + 6
+HASH_STEP = 0x9E3779B97F4A7C15
+
+
+def _line_counts(body: np.ndarray, before: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Per line: bytes of each class, words, bytes equal to the one before, loud bytes. They add up over the parts of a line.
+
+    `before` holds the byte before each one, a line feed where a document starts.
+    """
+    kinds = CLASSES[body]
+    inked = (kinds & BLANK) == 0
+    begins = inked & (((CLASSES[before] & BLANK) != 0) | (before == FEED))
+    columns = [*((kinds >> bit) & 1 for bit in range(N_CLASSES)), begins, inked & (body == before), (kinds & LOUD) != 0]
+    return np.stack([segment_sums(c, starts, stops) for c in columns], axis=1)
+
+
+def _tails(body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The last byte of each line; 0 for empty ones."""
+    return np.where(stops > starts, body[np.maximum(stops - 1, 0)], 0) if len(body) else np.zeros(len(starts), np.uint8)
+
+
+def _own_features(counts: np.ndarray, size: np.ndarray, tail: np.ndarray, again: np.ndarray) -> np.ndarray:
+    n, words = size.astype(np.float64), counts[:, N_CLASSES]
+    safe, spoken = np.maximum(n, 1.0), np.maximum(words, 1)
+    return np.column_stack(
+        [
+            counts[:, :N_CLASSES] / safe[:, None],
+            np.log1p(n) / 5.0,
+            np.log1p(words) / 4.0,
+            np.minimum(n / spoken, 30) / 10.0,
+            counts[:, N_CLASSES + 1] / safe,
+            np.isin(tail, list(b".!?:\"")),
+            n == 0,
+            again,
+            counts[:, N_CLASSES + 2] / spoken,
+        ]
+    ).astype(np.float64)
+
+
+def _repeats(rolled: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Lines, not empty, that equal an earlier one of their document, by hash."""
+    by = np.lexsort((np.arange(len(rolled)), rolled, owner))
+    again = np.zeros(len(rolled), bool)
+    again[by[1:]] = (owner[by][1:] == owner[by][:-1]) & (rolled[by][1:] == rolled[by][:-1]) & (size[by][1:] > 0)
+    return again
 
 
 def line_features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of every line of a block of documents, the lines' lengths, and the first line of each document (and the end).
 
     A document has one line more than line feeds. A line's own features are followed by those of its neighbours.
+    Nothing depends on the other documents of the block.
     """
-    feeds = np.flatnonzero(body == 10)
+    feeds = np.flatnonzero(body == FEED)
     docs = len(offsets) - 1
     cuts = np.concatenate([feeds + 1, offsets[:-1]])
     owner = np.concatenate([np.searchsorted(offsets, feeds, "right") - 1, np.arange(docs)])
@@ -67,50 +120,27 @@ def line_features(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     stops[~last] = starts[1:][~last[:-1]] - 1
     stops[last] = offsets[1:]
     first = np.searchsorted(owner, np.arange(docs + 1))
-    kinds = CLASSES[body]
-    n = (stops - starts).astype(np.float64)
-    safe = np.maximum(n, 1.0)
-    share = np.stack([segment_sums((kinds >> bit) & 1, starts, stops) for bit in range(N_CLASSES)], axis=1) / safe[:, None]
-    blank = (kinds >> 5) & 1
-    begins = np.concatenate([blank[1:], [1]]) if len(blank) else blank
-    words = segment_sums((blank == 0) & (begins == 1), starts, stops)
-    same = np.concatenate([[False], body[1:] == body[:-1]])[: len(body)] & (blank == 0)
-    tail = np.where(n > 0, body[np.maximum(stops - 1, 0)] if len(body) else 0, 0)
-    # Lines of a document that equal an earlier one of it, by hash.
-    rolled = _line_hashes(body, starts, stops)
-    by = np.lexsort((np.arange(len(starts)), rolled, owner))
-    again = np.zeros(len(starts), bool)
-    again[by[1:]] = (owner[by][1:] == owner[by][:-1]) & (rolled[by][1:] == rolled[by][:-1]) & (n[by][1:] > 0)
-    own = np.column_stack(
-        [
-            share,
-            np.log1p(n) / 5.0,
-            np.log1p(words) / 4.0,
-            np.minimum(n / np.maximum(words, 1), 30) / 10.0,
-            segment_sums(same, starts, stops) / safe,
-            np.isin(tail, list(b".!?:\"")),
-            (n == 0),
-            again,
-            segment_sums(((kinds >> 3) & 1).astype(bool) | ((kinds >> 4) & 1).astype(bool), starts, stops) / np.maximum(words, 1),
-        ]
-    ).astype(np.float64)
-    before, after = np.zeros_like(own), np.zeros_like(own)
+    before = np.concatenate([[FEED], body[:-1]]).astype(np.uint8)[: len(body)]
+    before[offsets[:-1][offsets[:-1] < len(body)]] = FEED
+    size = stops - starts
+    again = _repeats(_line_hashes(body, starts, stops), size, owner)
+    own = _own_features(_line_counts(body, before, starts, stops), size, _tails(body, starts, stops), again)
+    ahead, behind = np.zeros_like(own), np.zeros_like(own)
     inside = np.concatenate([[False], owner[1:] == owner[:-1]])[: len(owner)]
-    before[inside] = own[np.flatnonzero(inside) - 1]
-    behind = np.concatenate([inside[1:], [False]]) if len(inside) else inside
-    after[behind] = own[np.flatnonzero(behind) + 1]
-    edges = np.column_stack([~inside, ~behind]).astype(np.float64)
-    return np.column_stack([own, before, after, edges]), n + 1.0, first
+    ahead[inside] = own[np.flatnonzero(inside) - 1]
+    follows = np.concatenate([inside[1:], [False]]) if len(inside) else inside
+    behind[follows] = own[np.flatnonzero(follows) + 1]
+    edges = np.column_stack([~inside, ~follows]).astype(np.float64)
+    return np.column_stack([own, ahead, behind, edges]), size + 1.0, first
 
 
 def _line_hashes(body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each line, from one running sum over the block."""
-    step = np.uint64(0x9E3779B97F4A7C15 | 1)
+    """A 64-bit polynomial hash of each line, from one running sum: byte k of a line weighs HASH_STEP to the power k."""
+    powers = lambda step: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(body), step, np.uint64))])
     with np.errstate(over="ignore"):
-        power = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(body), step, np.uint64))])
-        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum((body.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) * power[:-1], dtype=np.uint64)])
-        # A line's sum is brought to one common power, the block's last.
-        return (run[stops] - run[starts]) * power[len(body) - starts]
+        mixed = (body.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * powers(HASH_STEP)[:-1], dtype=np.uint64)])
+        return (run[stops] - run[starts]) * powers(pow(HASH_STEP, -1, 1 << 64))[starts]
 
 
 @dataclass
@@ -128,40 +158,113 @@ class Chain:
         return ((features - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
 
 
-def forward_backward(odds: np.ndarray, first: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 of every line, and the expected number of moves of each kind, over all chains at once.
+def long_odds(body: np.ndarray, chain: Chain, most: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """Odds and lengths of the lines of one document of any length, read in pieces of `most` bytes.
 
-    Chains are taken longest first, so the ones that still go on at a step are a prefix.
+    A line may run over many pieces: its counts and hash are carried on. The odds are linear in the features, so a line
+    leaves three numbers (what it adds to itself and to either neighbour), its length and its hash, never its features.
+    """
+    w = chain.weights[:-1] / chain.scale
+    sides = w[: 3 * OWN].reshape(3, OWN).T
+    added, sizes, hashes = [], [], []
+
+    def close(counts: np.ndarray, size: np.ndarray, tail: np.ndarray, rolled: np.ndarray) -> None:
+        added.append(_own_features(counts, size, tail, np.zeros(len(size))) @ sides)
+        sizes.append(size)
+        hashes.append(rolled)
+
+    held, previous = (np.zeros((1, N_CLASSES + 3), np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint8), np.zeros(1, np.uint64)), FEED
+    for lo in range(0, len(body), most):
+        piece = body[lo : lo + most]
+        stops = np.append(np.flatnonzero(piece == FEED), len(piece))
+        starts = np.append(0, stops[:-1] + 1)
+        counts = _line_counts(piece, np.append(np.uint8(previous), piece[:-1]), starts, stops)
+        size, tail, rolled = stops - starts, _tails(piece, starts, stops), _line_hashes(piece, starts, stops)
+        tail[0] = tail[0] if size[0] else held[2][0]
+        rolled[0] = (int(held[3][0]) + pow(HASH_STEP, int(held[1][0]), 1 << 64) * int(rolled[0])) % (1 << 64)
+        counts[0] += held[0][0]
+        size[0] += held[1][0]
+        close(counts[:-1], size[:-1], tail[:-1], rolled[:-1])
+        held, previous = (counts[-1:], size[-1:], tail[-1:], rolled[-1:]), piece[-1]
+    close(*held)
+    parts, size, rolled = np.concatenate(added), np.concatenate(sizes), np.concatenate(hashes)
+    parts[_repeats(rolled, size, np.zeros(len(size), np.int8))] += sides[AGAIN]
+    odds = parts[:, 0] + (chain.weights[-1] - chain.mean @ w)
+    odds[1:] += parts[:-1, 1]
+    odds[:-1] += parts[1:, 2]
+    odds[0] += w[-2]
+    odds[-1] += w[-1]
+    return odds, size + 1.0
+
+
+def _scan(odds: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Forward messages of one long chain, as log odds of state 1, in about the square root of its length steps.
+
+    The chain is cut into equal runs. All runs at once find where each state before them leads, the runs are passed one after
+    the other, and all runs at once fill in their lines.
     """
-    length = np.diff(first)
+    steps = int(np.ceil(np.sqrt(len(odds))))
+    runs = -(-len(odds) // steps)
+    grid = np.concatenate([odds, np.zeros(runs * steps - len(odds))]).reshape(runs, steps).T
+    emit = np.stack([np.zeros_like(grid), grid], axis=-1)[:, :, None, :]  # step, run, state before the run, state
+    leads = moves[None] + emit[0]
+    leads[0] = emit[0, 0]  # nothing moves into the first line
+    for t in range(1, steps):
+        leads = emit[t] + np.logaddexp(leads[..., :1] + moves[0], leads[..., 1:] + moves[1])
+    entry, at = np.zeros((runs, 2)), np.zeros(2)
+    for k in range(runs):
+        entry[k] = at
+        at = leads[k, 0] if k == 0 else np.logaddexp(at[0] + leads[k, 0], at[1] + leads[k, 1])
+        at = at - at.max()
+    out = np.empty_like(grid)
+    x = grid[0] + np.logaddexp(entry[:, 0] + moves[0, 1], entry[:, 1] + moves[1, 1]) - np.logaddexp(entry[:, 0] + moves[0, 0], entry[:, 1] + moves[1, 0])
+    x[0] = grid[0, 0]
+    for t in range(steps):
+        x = x if t == 0 else _step(x, grid[t], moves)
+        out[t] = x
+    return out.T.ravel()[: len(odds)]
+
+
+def _step(x: np.ndarray, odds: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    return odds + np.logaddexp(moves[0, 1], x + moves[1, 1]) - np.logaddexp(moves[0, 0], x + moves[1, 0])
+
+
+def messages(odds: np.ndarray, first: np.ndarray, moves: np.ndarray, long_chain: int = LONG_CHAIN) -> np.ndarray:
+    """Forward messages, as log odds of state 1, of every line of every chain.
+
+    Chains of up to `long_chain` lines go side by side, longest first, so the ones that still go on at a step are a prefix;
+    longer ones are scanned each by itself.
+    """
+    out, length = np.empty_like(odds), np.diff(first)
+    for k in np.flatnonzero(length > long_chain):
+        out[first[k] : first[k + 1]] = _scan(odds[first[k] : first[k + 1]], moves)
     order = np.argsort(-length, kind="stable")
+    order = order[length[order] <= long_chain]
     begin, size = first[:-1][order], length[order]
     steps = int(size[0]) if len(size) else 0
     live = np.searchsorted(-size, -np.arange(1, steps + 1), "right")
-    emit = np.stack([np.zeros_like(odds), odds], axis=1)
-    ahead, back = np.zeros_like(emit), np.zeros_like(emit)
     for t in range(steps):
         at = begin[: live[t]] + t
-        if t == 0:
-            ahead[at] = emit[at]
-        else:
-            was = ahead[at - 1]
-            ahead[at] = emit[at] + np.logaddexp(was[:, :1] + moves[0], was[:, 1:] + moves[1])
-    for t in range(steps - 2, -1, -1):
-        at = begin[: live[t + 1]] + t
-        next_ = back[at + 1] + emit[at + 1]
-        back[at] = np.logaddexp(next_[:, :1] + moves[:, 0], next_[:, 1:] + moves[:, 1])
-    joint = ahead + back
-    marginal = 1.0 / (1.0 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -60, 60)))
+        out[at] = odds[at] if t == 0 else _step(out[at - 1], odds[at], moves)
+    return out
+
+
+def marginals(odds: np.ndarray, first: np.ndarray, moves: np.ndarray, long_chain: int = LONG_CHAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals of state 1 of every line, with the messages that reach it from the front and from the back, its own odds in both."""
+    ahead = messages(odds, first, moves, long_chain)
+    back = messages(odds[::-1], len(odds) - first[::-1], moves.T, long_chain)[::-1]
+    return 1.0 / (1.0 + np.exp(-np.clip(ahead + back - odds, -60, 60))), ahead, back
+
+
+def forward_backward(odds: np.ndarray, first: np.ndarray, moves: np.ndarray, long_chain: int = LONG_CHAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 of every line, and the expected number of moves of each kind, over all chains."""
+    marginal, ahead, back = marginals(odds, first, moves, long_chain)
     inner = np.ones(len(odds), bool)
-    inner[first[1:][length > 0] - 1] = False
+    inner[first[1:][np.diff(first) > 0] - 1] = False
     left = np.flatnonzero(inner)
-    total = np.logaddexp(joint[left, 0], joint[left, 1])
-    expected = np.zeros((2, 2))
-    for a in range(2):
-        for b in range(2):
-            expected[a, b] = np.exp(ahead[left, a] + moves[a, b] + emit[left + 1, b] + back[left + 1, b] - total).sum()
-    return marginal, expected
+    ways = [moves[a, b] + a * ahead[left] + b * back[left + 1] for a in range(2) for b in range(2)]
+    total = np.logaddexp.reduce(ways, axis=0)
+    return marginal, np.array([np.exp(x - total).sum() for x in ways]).reshape(2, 2)
 
 
 def fit_chain(features: np.ndarray, first: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Chain:
@@ -217,11 +320,11 @@ def train(sample: pa.Table) -> Chain | None:
     line_doc = np.repeat(np.arange(len(y)), np.diff(first))
     labels = y[line_doc]
     chain = fit_chain(x, first, labels, ROUNDS // 2)
-    marginal, _ = forward_backward(chain.odds(x), first, chain.moves)
+    marginal = marginals(chain.odds(x), first, chain.moves)[0]
     worst = np.minimum.reduceat(marginal, first[:-1])[line_doc]
     relabelled = np.where((labels == 0) & (marginal > 0.5) & (marginal > worst), 1, labels)
     chain = fit_chain(x, first, relabelled)
-    marginal, _ = forward_backward(chain.odds(x), first, chain.moves)
+    marginal = marginals(chain.odds(x), first, chain.moves)[0]
     chain.slope, chain.offset = fit_logistic(document_means(marginal, n, first) * 10 - 5, y)
     return chain
 
@@ -257,7 +360,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
             if chain is not None:
                 for lo, hi, body, offsets in blocks(text):
                     x, n, first = line_features(body, offsets)
-                    marginal, _ = forward_backward(chain.odds(x), first, chain.moves)
+                    marginal = marginals(chain.odds(x), first, chain.moves)[0]
                     mean = document_means(marginal, n, first) * 10 - 5
                     score[lo:hi] = 1 / (1 + np.exp(-np.clip(chain.slope * mean + chain.offset, -30, 30)))
             columns = [batch.column(k) for k in range(len(names))]

@@ -92,7 +92,30 @@ def test_quality_rules_equal_brute_force(spark, data, docs):
         want = (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside))
         r = got[doc_id]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
-        assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w)) and (r["kept"] is False or not r["base_failed"])
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(inside) > 50 * len(w))
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= quality_rules.THRESHOLD)
+
+
+def test_quality_score_equals_brute_force(spark):
+    """The mean log ratio over all unigrams and bigrams, and the verdict at a threshold between two documents."""
+    good, poor = " ".join(f"good{k % 60}" for k in range(70)), " ".join(f"poor{k}" for k in range(70))
+    docs = spark.createDataFrame([(1, good), (2, poor), (3, None), (4, good + " " + poor)], "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    ratios = quality_rules.log_ratios(docs, quality_rules.trusted_sample(marks), 256)
+    words = sorted(set(f"{good} {poor}".split()))
+    h = dict(zip(words, spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w")).toPandas().iloc[:, 1].tolist(), strict=True))
+    pairs = sorted({(x, y) for t in (good, poor, good + " " + poor) for x, y in zip(t.split(), t.split()[1:])})  # noqa: B905
+    twos = {(r[0], r[1]): r[2] for r in spark.createDataFrame([(x, y, h[x], h[y]) for x, y in pairs], "x string, y string, a long, b long").select("x", "y", F.xxhash64("a", "b")).collect()}
+    want = {}
+    for doc_id, text in ((1, good), (2, poor), (4, good + " " + poor)):
+        w = text.split()
+        grams = [ratios[h[x] % 256] for x in w] + [ratios[twos[x, y] % 256] for x, y in zip(w, w[1:])]  # noqa: B905
+        want[doc_id] = sum(grams) / len(grams)
+    assert want[2] < want[4] < want[1]
+    for threshold in (quality_rules.THRESHOLD, (want[2] + want[4]) / 2):
+        got = {r["doc_id"]: r for r in quality_rules.score_documents(docs, marks, threshold=threshold, buckets=256).collect()}
+        assert all(got[k]["score"] == pytest.approx(v) and got[k]["kept"] == (v >= threshold) for k, v in want.items())
+        assert got[3]["kept"] is False and got[3]["score"] == 0
 
 
 def test_log_ratios_equal_brute_force(spark):
@@ -206,6 +229,41 @@ def test_crf_marginals_equal_enumeration():
     assert np.allclose(marginal, want) and np.allclose(expected, pairs)
 
 
+def test_long_chains_equal_short_ones():
+    rng = np.random.default_rng(1)
+    odds, moves, first = 3 * rng.normal(size=3000), rng.normal(size=(2, 2)), np.array([0, 1, 300, 301, 2000, 2990, 3000])
+    want = line_crf.forward_backward(odds, first, moves, long_chain=3000)
+    for most in (0, 1, 512):
+        got = line_crf.forward_backward(odds, first, moves, long_chain=most)
+        assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+
+
+def test_line_features_know_only_their_document():
+    """Alone or in a block, read whole or in pieces that cut lines, a text has the same features and odds."""
+    rng = np.random.default_rng(2)
+    texts = [b"a b\n\ncc dd.\na b", b" lead\nxx", b"", b"x tail ", b"\n\n", b"x" * 50 + b"\nhello world\nhello world!\nhello world\n", "ÄÖ 日本\n日本".encode()]
+    body, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    alone = [line_crf.line_features(np.frombuffer(t, np.uint8), np.array([0, len(t)])) for t in texts]
+    assert np.allclose(line_crf.line_features(body, offsets)[0], np.concatenate([x for x, _, _ in alone]))
+    width = 3 * line_crf.OWN + 2
+    chain = line_crf.Chain(rng.normal(size=width + 1), rng.normal(size=(2, 2)), rng.normal(size=width), rng.uniform(0.5, 2, width))
+    for text, (x, n, _) in zip(texts, alone, strict=True):
+        for most in (1, 2, 5, 1000):
+            odds, length = line_crf.long_odds(np.frombuffer(text, np.uint8), chain, most)
+            assert np.allclose(odds, chain.odds(x)) and np.allclose(length, n)
+
+
+def test_quality_of_a_text_of_many_lines(spark):
+    """Over a megabyte in 200,000 lines has the score of its kind; in one line, of a length no label taught, it has some score."""
+    good, bad = "A plain line of good words, which ends well.", "### $$$ %%% !!!! 11 22 ###"
+    rows = [(k, "\n".join([good if k % 2 else bad] * (k % 7 + 1)), k % 2) for k in range(400)]
+    marks = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id long, quality int")
+    extra = [(1000, "\n".join([good] * 200_000)), (1001, "\n".join([bad] * 200_000)), (1002, (good + " ") * 40_000), (1003, (bad + " ") * 60_000)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + extra, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in line_crf.score_documents(docs, marks).collect()}
+    assert got[1000] >= line_crf.THRESHOLD > got[1001] and all(0 <= x <= 1 for x in got.values()) and set(got) == {k for k, _, _ in rows} | {1000, 1001, 1002, 1003}
+
+
 def test_quality_on_held_out_rows(spark, data, docs):
     marks = spark.read.parquet(f"{data}/labels.parquet")
     rows = line_crf.score_documents(docs, marks).join(marks, "doc_id").where("held_out").select("quality", "predicted").collect()
