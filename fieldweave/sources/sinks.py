@@ -51,12 +51,13 @@ def with_row_ids(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def html_page(report, max_rows: int = 100_000) -> str:
-    """SNK3: a page with a table a sheet and a text filter; rows are embedded, so at most `max_rows` a sheet."""
+    """SNK3: a page with a table a sheet and a text filter; rows are embedded, so at most `max_rows` a sheet, and its heading says so where there are more."""
     parts = []
     for name, df in sheets(report).items():
-        shown = df.select(*[f"`{c}`" for c in df.columns if c != HIDDEN and not c.startswith("_")]).limit(max_rows)
+        shown = df.select(*[f"`{c}`" for c in df.columns if c != HIDDEN and not c.startswith("_")]).limit(max_rows + 1)
         rows = [json.loads(x[0]) for x in shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
-        parts.append({"name": name, "columns": shown.columns, "rows": [[r[c] for c in shown.columns] for r in rows]})
+        heading = name if len(rows) <= max_rows else f"{name} (the first {max_rows:,} rows of more)"
+        parts.append({"name": heading, "columns": shown.columns, "rows": [[r[c] for c in shown.columns] for r in rows[:max_rows]]})
     data = json.dumps(parts).replace("</", "<\\/")
     title = html.escape("Field lineage")
     return f"""<!doctype html><meta charset="utf-8"><title>{title}</title><h1>{title}</h1><input id="q" placeholder="filter"><div id="t"></div><script>

@@ -9,6 +9,7 @@ from fieldweave.operators.expand import expansion
 from fieldweave.operators.trace import capped, distinct_leaves, roots_of, trace
 from fieldweave.plans import catalog, dependency, lineage
 from fieldweave.scratch import Scratch
+from fieldweave.sources import sinks
 from fieldweave.sources.compact import document
 from fieldweave.sources.repository import cached, from_json, read_json
 from fieldweave.sources.sample import ENGINE_B, GOLDEN
@@ -181,3 +182,9 @@ def test_closest_over_blocks_and_hot_keys(spark, before):
         fit = [(at, n) for key, at, n in events if key is not None and key == k and (at < o if before else at > o)]
         best = (max if before else min)((at for at, _ in fit), default=None)
         assert got[i] == ((best, min(n for at, n in fit if at == best)) if fit else (None, None))
+
+
+def test_html_page_names_cut_sheets(spark):
+    rows, none = spark.range(5), spark.range(0)
+    page = sinks.html_page(lineage.Report(rows, rows.limit(3), none, none), max_rows=3)
+    assert "Lineage (the first 3 rows of more)" in page and "Transformations (" not in page and page.count('["id"]') == 2
