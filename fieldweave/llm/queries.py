@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import chat, digests, jaccard, language, license_scan, line_crf, mixing, pieces, quality_rules, sharding, topk
+from fieldweave.llm import chat, digests, jaccard, language, license_scan, line_crf, mixing, periodic_runs, pieces, quality_rules, sharding, topk
 from fieldweave.tables import table
 
 
@@ -57,7 +57,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(extra)))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting)} | digests.QUERIES
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting, op13_periodic_runs)} | digests.QUERIES
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ORACLE_SQL: dict[str, str] = digests.ORACLE_SQL | {
     "op4_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
