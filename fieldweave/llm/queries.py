@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import chat, digests, jaccard, language, license_scan, line_crf, mixing, periodic_runs, pieces, quality_rules, sharding, topk
+from fieldweave.llm import chat, digests, jaccard, language, license_scan, line_crf, mixing, periodic_runs, pieces, quality_rules, sharding, superminhash, topk
 from fieldweave.tables import table
 
 
@@ -57,21 +57,33 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(extra)))
 
 
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting, op13_periodic_runs)} | digests.QUERIES
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting, op12_superminhash, op13_periodic_runs)} | digests.QUERIES
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ORACLE_SQL: dict[str, str] = digests.ORACLE_SQL | {
-    "op4_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
-  s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+
+
+def _linked_sql(words: int, percent: int, more: str = "") -> str:
+    """SQL of the components of documents whose sets of distinct shingles are similar, by all pairs that share one."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' '))) END AS s FROM w),
   e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s),
   shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-  linked AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * c >= 80 * (na + nb - c)), ways AS MATERIALIZED (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+  linked AS MATERIALIZED (SELECT a, b FROM shared WHERE 100 * c >= {percent} * (na + nb - c)), ways AS MATERIALIZED (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
   reach AS (SELECT a AS doc_id, a AS r FROM ways UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.r),
   low AS (SELECT doc_id, min(r) AS low FROM reach GROUP BY doc_id)
-SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(low, s.doc_id) AS component_id FROM s LEFT JOIN low ON low.doc_id = s.doc_id""",
+SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(low, s.doc_id) AS component_id{more} FROM s LEFT JOIN low ON low.doc_id = s.doc_id"""
+
+
+ORACLE_SQL: dict[str, str] = digests.ORACLE_SQL | {
+    "op4_jaccard_join": _linked_sql(5, 80),
+    "op12_superminhash": _linked_sql(3, 85, ", coalesce(low, s.doc_id) = s.doc_id AS kept"),
     "op2_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
   s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)
