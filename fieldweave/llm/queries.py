@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldweave.llm import chat, digests, jaccard, language, license_scan, line_crf, mixing, periodic_runs, pieces, quality_rules, sharding, superminhash, topk
+from fieldweave.llm import chat, collocations, digests, jaccard, language, license_scan, line_crf, mixing, periodic_runs, pieces, quality_rules, sharding, superminhash, topk
 from fieldweave.tables import table
 
 
@@ -57,6 +57,10 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_windows(rows.unionByName(extra)))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
 def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting, op12_superminhash, op13_periodic_runs)} | digests.QUERIES
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_exact_topk, op3_quality_rules, op4_jaccard_join, op5_sharding, op6_quality_classifier, op7_language_id, op8_mixing, op9_sentencepiece, op10_chat_formatting, op11_collocations, op12_superminhash, op13_periodic_runs)} | digests.QUERIES
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -83,6 +87,17 @@ SELECT s.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(low, s.doc_id) A
 
 ORACLE_SQL: dict[str, str] = digests.ORACLE_SQL | {
     "op4_jaccard_join": _linked_sql(5, 80),
+    "op11_collocations": rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+  w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p WHERE regexp_matches(p, '[^\x20\x09]')),
+  n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+  f AS MATERIALIZED (SELECT lang, k, x, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS x FROM w, range(1, 5) t(k)) GROUP BY ALL HAVING count(*) >= 30),
+  c AS (SELECT c.lang, c.k, c.x, c.f, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
+    FROM f c, range(1, 4) t(j), f l, f r WHERE j < c.k AND l.lang = c.lang AND l.x = c.x[:j] AND r.lang = c.lang AND r.x = c.x[j + 1:]),
+  b AS (SELECT lang, k, x, f, l, r, score FROM c QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
+  o AS (SELECT lang, x[i:i + k - 1] AS x, max(f) AS longer FROM (SELECT f.lang, f.x, f.f, t.k, unnest(range(1, f.k - t.k + 2)) AS i FROM f, range(2, 4) t(k) WHERE t.k < f.k) GROUP BY ALL),
+  g AS (SELECT b.lang, array_to_string(b.x, ' ') AS phrase, b.f AS a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.x = b.x WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * b.f),
+  z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM g)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000""",
     "op12_superminhash": _linked_sql(3, 85, ", coalesce(low, s.doc_id) = s.doc_id AS kept"),
     "op2_exact_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
