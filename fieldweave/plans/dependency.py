@@ -6,6 +6,10 @@ breadth-wise by relaxation: a port keeps the least path of step ordinals and pas
 
 Two deliberate differences from a walk by names: ports of a mapplet are told apart by where it was entered, so a second
 instance of one mapplet is no cycle; and exposed port names are translated to internal ones and back.
+
+A walk goes 60 hops. An arrival beyond ends in a row that says so, before it is asked whether its port was visited, and
+counts as wired for the port it comes from. Graphs show no port beyond the limit. Where the limit cuts, a port may hold a
+path whose earlier part was found to be another since; such ports are taken back and found again until all hold.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ HOPS = "array<struct<instance:string,field:string,ttype:string,logic:string,labe
 PLACE = [*SCOPE, "instance", "itype", "field"]
 # Texts of output rows.
 NO_UPSTREAM = "(no upstream connector -- literal, mapping parameter/variable, Sequence Generator value, or unconnected port)"
+TRUNCATED = "Maximum lineage depth reached; trace truncated to avoid a runaway loop."
+CYCLE = "Cycle detected -- this exact field was already visited earlier in the trace."
 INPUT_NOTE = "(input port -- value received as-is from the upstream connector)"
 PASS_NOTE = "(pass-through / no port-level expression captured for this port)"
 BEST_EFFORT = "[Best-effort: this Custom Transformation's internal port mapping isn't captured in the exported metadata, so every connected input port is shown as a possible source.]"
@@ -128,7 +134,8 @@ def flow(repo: Repository, scratch: Scratch) -> Flow:
 class Walk:
     states: DataFrame  # every visited place of a root, with its least path: STATE columns and the node's own
     markers: DataFrame  # arrivals at a place already visited: STATE columns
-    links: DataFrame  # root, parent, child, style: steps taken, places as ids
+    cut: DataFrame  # arrivals beyond the limit: STATE columns
+    links: DataFrame  # root, parent, child, style, shown: steps taken, places as ids; not shown: into a port beyond the limit
 
 
 STATE = ["root", "stack", *PLACE, "path", "hops", "crossing", "hop", "mapplet", "parent"]
@@ -143,8 +150,8 @@ def _identity() -> Column:
     return node_id(F.lower("scope_kind"), F.col("scope"), F.col("instance"), F.col("field"))
 
 
-def _children(states: DataFrame, f: Flow) -> DataFrame:
-    """States one step further; `states` hold their node's columns."""
+def _children(states: DataFrame, f: Flow, outward: bool = True) -> DataFrame:
+    """States one step further; `states` hold their node's columns. `outward`: whether walks go on behind a mapplet's input."""
     on = [*SCOPE, "instance", "field"]
     e = f.edges.select(*[F.col(c).alias(f"e_{c}") for c in f.edges.columns])
     at = lambda c: F.col(f"e_{c}")
@@ -159,6 +166,8 @@ def _children(states: DataFrame, f: Flow) -> DataFrame:
     inside = states.where("itype = 'MAPPLET' and entry_instance is not null")
     mark = F.struct(F.col("table").alias("instance"), "field", F.lit("Mapplet").alias("ttype"), F.concat(F.lit("Enters Mapplet '"), "table", F.lit("' via its output port '"), "field", F.lit("'.")).alias("logic"), F.concat("instance", F.lit("."), "field").alias("label"))
     enter = inside.select("root", F.array_append("stack", F.struct("scope_kind", "scope", "instance")).alias("stack"), "folder", F.lit("MAPPLET").alias("scope_kind"), F.col("table").alias("scope"), F.col("entry_instance").alias("instance"), F.lit("TRANSFORMATION").alias("itype"), F.col("entry_field").alias("field"), F.array_append("path", F.lit(0).cast("long")).alias("path"), F.array_append("hops", mark).cast(HOPS).alias("hops"), "crossing", (F.col("hop") + 1).alias("hop"), F.col("table").alias("mapplet"), _identity().alias("parent"), F.lit("flow").alias("style"))
+    if not outward:
+        return go.unionByName(enter).select(*STATE, "style")
     # Out of one, where its input boundary has no connector: what feeds the instance one level up.
     out = met.where(at("ord").isNull() & (F.size("stack") > 0)).drop(*[f"e_{c}" for c in f.edges.columns]).join(f.back, ["folder", "scope", "field"], "left")
     top = F.element_at("stack", -1)
@@ -168,29 +177,44 @@ def _children(states: DataFrame, f: Flow) -> DataFrame:
     return go.unionByName(enter).unionByName(out).select(*STATE, "style")
 
 
-def walk(roots: DataFrame, f: Flow, scratch: Scratch, name: str, max_hops: int = MAX_HOPS) -> Walk:
-    """GR9 and GR10's traversal of every root (columns root, SCOPE, instance, field: target fields) at once."""
-    start = roots.select("root", F.expr(f"cast(array() as {STACK})").alias("stack"), *SCOPE, "instance", F.lit("TARGET").alias("itype"), "field", F.expr("cast(array() as array<bigint>)").alias("path"), F.expr(f"cast(array() as {HOPS})").alias("hops"), F.lit(0).alias("crossing"), F.lit(0).alias("hop"), F.lit("").alias("mapplet"), F.lit("").alias("parent"))
+def walk(roots: DataFrame, f: Flow, scratch: Scratch, name: str, max_hops: int = MAX_HOPS, outward: bool = True) -> Walk:
+    """GR9 and GR10's traversal of every root (columns root, SCOPE, instance, field: target fields) at once.
+
+    `roots` may have a column hop, at which their walks start.
+    """
+    start = roots.select("root", F.expr(f"cast(array() as {STACK})").alias("stack"), *SCOPE, "instance", F.lit("TARGET").alias("itype"), "field", F.expr("cast(array() as array<bigint>)").alias("path"), F.expr(f"cast(array() as {HOPS})").alias("hops"), F.lit(0).alias("crossing"), (F.col("hop") if "hop" in roots.columns else F.lit(0)).alias("hop"), F.lit("").alias("mapplet"), F.lit("").alias("parent"))
 
     def full(states: DataFrame) -> DataFrame:
         return states.join(f.nodes, PLACE, "left").select(*STATE, "table", F.coalesce("ttype", F.lit("Target")).alias("ttype"), F.coalesce("logic", F.lit(PASS_NOTE)).alias("logic"), F.coalesce("is_crossing", F.lit(False)).alias("is_crossing"), "entry_instance", "entry_field")
 
     best = scratch.write(start.select("*", _place_key().alias("key")), f"{name}-best0")
-    front = best
-    for k in range(1, 3 * max_hops):
-        met = _children(full(front.drop("key")), f).where(F.col("hop") <= max_hops).drop("style").select("*", _place_key().alias("key"))
-        met = met.select("*", F.row_number().over(Window.partitionBy("root", "key").orderBy("path")).alias("_k")).where("_k = 1").drop("_k")
-        known = best.select("root", "key", F.col("path").alias("old"))
-        front = scratch.write(met.join(known, ["root", "key"], "left").where("old is null or path < old").drop("old"), f"{name}-front{k}")
-        if front.isEmpty():
+    front, step = best, 0
+    while True:
+        while not front.isEmpty():
+            step += 1
+            met = _children(full(front.drop("key")), f, outward).where(F.col("hop") <= max_hops).drop("style").select("*", _place_key().alias("key"))
+            met = met.select("*", F.row_number().over(Window.partitionBy("root", "key").orderBy("path")).alias("_k")).where("_k = 1").drop("_k")
+            known = best.select("root", "key", F.col("path").alias("old"))
+            front = scratch.write(met.join(known, ["root", "key"], "left").where("old is null or path < old").drop("old"), f"{name}-front{step}")
+            if not front.isEmpty():
+                best = scratch.write(best.join(front.select("root", "key"), ["root", "key"], "left_anti").unionByName(front), f"{name}-best{step}")
+        states = scratch.write(full(best.drop("key")), f"{name}-states{step}")
+        arrivals = scratch.write(_children(states, f, outward).select("*", _place_key().alias("key")), f"{name}-arrivals{step}")
+        if arrivals.where(F.col("hop") > max_hops).isEmpty():
+            break
+        lost = scratch.write(best.where(F.size("path") > 0).join(arrivals.select("root", "key", "path"), ["root", "key", "path"], "left_anti").select("root", "key"), f"{name}-lost{step}")
+        if lost.isEmpty():
             break
-        best = scratch.write(best.join(front.select("root", "key"), ["root", "key"], "left_anti").unionByName(front), f"{name}-best{k}")
-    states = scratch.write(full(best.drop("key")), f"{name}-states")
-    arrivals = scratch.write(_children(states, f).select("*", _place_key().alias("key")), f"{name}-arrivals")
+        step += 1
+        best = scratch.write(best.join(lost, ["root", "key"], "left_anti"), f"{name}-best{step}")
+        front = best
     known = best.select("root", "key", F.col("path").alias("old"))
-    markers = arrivals.join(known, ["root", "key"]).where("path <> old").select(*STATE)
-    links = arrivals.select("root", "parent", _identity().alias("child"), "style").distinct()
-    return Walk(states, markers, links)
+    told = arrivals.join(known, ["root", "key"], "left")
+    cut = told.where(F.col("hop") > max_hops).select(*STATE)
+    markers = told.where((F.col("hop") <= max_hops) & (F.col("path") != F.col("old"))).select(*STATE)
+    shown = F.max((F.col("hop") <= max_hops) | F.col("old").isNotNull()).alias("shown")
+    links = told.groupBy("root", "parent", _identity().alias("child"), "style").agg(shown)
+    return Walk(states, markers, cut, links)
 
 
 def target_roots(repo: Repository) -> DataFrame:
@@ -217,7 +241,8 @@ def _leaves(w: Walk, f: Flow) -> DataFrame:
     out = out.unionByName(row(w.states.where("itype = 'MAPPLET' and entry_instance is null"), F.col("hops"), none, none, stuck, F.col("table")))
     out = out.unionByName(row(dead.where("itype <> 'TARGET' or size(path) > 0"), F.array_append("hops", hop).cast(HOPS), none, none, F.lit(NO_UPSTREAM)))
     out = out.unionByName(row(dead.where("itype = 'TARGET' and size(path) = 0"), F.col("hops"), none, none, F.lit("No inbound connector found for this target field.")))
-    return out.unionByName(row(w.markers, F.col("hops"), none, none, F.lit("Cycle detected -- this exact field was already visited earlier in the trace.")))
+    out = out.unionByName(row(w.cut, F.col("hops"), none, none, F.lit(TRUNCATED)))
+    return out.unionByName(row(w.markers, F.col("hops"), none, none, F.lit(CYCLE)))
 
 
 def producers(repo: Repository, order: DataFrame | None = None) -> DataFrame:
@@ -234,46 +259,70 @@ def producers(repo: Repository, order: DataFrame | None = None) -> DataFrame:
     return t.select("*", best.alias("place"), one.alias("first")).where("place <= 2 and first = 1").select("folder", "table", "field_key", "up_mapping", "up_root", "place")
 
 
-def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None, instance: str | None = None) -> DataFrame:
-    """GR10, GR18 to GR20, CQ6 and CQ7: one row a target field and leaf, with upstream sessions' rows behind it.
+@dataclass
+class Run:
+    """What a report over several mappings needs besides its walks."""
 
-    Each (mapping, table, field) read from another session's target is followed once, where it is first met; rows that
-    come from there have that hop count added and a link.
-    """
-    repo = cached(repo, scratch)
+    flow: Flow
+    roots: DataFrame  # of target_roots
+    start: DataFrame  # root, target, root_place: where the report begins, numbered in its order
+    ranked: DataFrame  # the same of all roots
+    session: DataFrame  # s_folder, s_mapping, session: the first session of a mapping
+
+
+def _run(repo: Repository, scratch: Scratch, name: str, mapping: str | None, instance: str | None) -> Run:
     f = flow(repo, scratch)
     order = scratch.write(session_order(repo, scratch), "flow-sessions")
     roots = scratch.write(target_roots(repo), "flow-roots")
-    leaves = scratch.write(_leaves(walk(roots, f, scratch, "flat"), f), "flat-leaves")
     first = order.groupBy("folder", F.col("mapping").alias("scope")).agg(F.min("exec_order").alias("exec"))
     declared = [F.col("exec").asc_nulls_last(), F.col("map_ord"), F.col("inst_ord"), F.col("field_ord")]
-    ranked = numbered(roots.join(first, ["folder", "scope"], "left").select("root", "target", "exec", "map_ord", "inst_ord", "field_ord"), declared, "root_place", scratch, "flat-ranged")
-    ranked = scratch.write(ranked.select("root", "target", "root_place"), "flat-ranked")
-    start = ranked
+    ranked = numbered(roots.join(first, ["folder", "scope"], "left").select("root", "target", "exec", "map_ord", "inst_ord", "field_ord"), declared, "root_place", scratch, f"{name}-ranged")
+    ranked = start = scratch.write(ranked.select("root", "target", "root_place"), f"{name}-ranked")
     if mapping is not None:
         start = start.where(F.col("root.mapping") == mapping)
     if instance is not None:
         start = start.where(F.col("root.instance") == instance)
+    session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
+    return Run(f, roots, start, ranked, session)
 
-    # Which reads are followed, and from where: first visits over (mapping, table, field), hops packed below the ordinals.
-    rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-    placed = scratch.write(leaves.select("*", rank.alias("leaf_place")), "flat-numbered")
-    reads = placed.where("source_table is not null").select("root", "leaf_place", "hop", F.concat_ws("\x1f", "root.mapping", "source_table", F.lower("source_field")).alias("read"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), F.col("source_table").alias("table"), F.lower("source_field").alias("field_key"))
-    p = producers(repo)
-    writer = reads.select("read", "folder", "reader", "table", "field_key").distinct().join(p, ["folder", "table", "field_key"]).where("reader <> up_mapping")
-    writer = scratch.write(writer.select("read", "up_root", F.row_number().over(Window.partitionBy("read").orderBy("place")).alias("_k")).where("_k = 1").drop("_k"), "flat-writers")
+
+def _followed(ends: DataFrame, run: Run, repo: Repository, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """Which reads of other mappings' targets a report follows: each (mapping, table, field) once, where it is first met.
+
+    `ends`: root, leaf_place, hop, source_table, source_field. Returns (seen, reads). seen: read, up_root, run_path, added:
+    a walk that the report shows, with its place and the hops before it; reads: root, leaf_place, hop, read, reader, table,
+    field_key of every end with a table.
+    """
+    reads = ends.where("source_table is not null").select("root", "leaf_place", "hop", F.concat_ws("\x1f", "root.mapping", "source_table", F.lower("source_field")).alias("read"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), F.col("source_table").alias("table"), F.lower("source_field").alias("field_key"))
+    writer = reads.select("read", "folder", "reader", "table", "field_key").distinct().join(producers(repo), ["folder", "table", "field_key"]).where("reader <> up_mapping")
+    writer = scratch.write(writer.select("read", "up_root", F.row_number().over(Window.partitionBy("read").orderBy("place")).alias("_k")).where("_k = 1").drop("_k"), f"{name}-writers")
+    # First visits over reads, hops packed below the ordinals.
     step = lambda c: (c * HOP_DIGITS + F.col("hop")).cast("long")
     inner = writer.join(reads.select(F.col("root").alias("up_root"), F.col("read").alias("next_read"), step(F.col("leaf_place")).alias("ord")), "up_root").join(writer.select(F.col("read").alias("next_read")), "next_read", "left_semi")
-    heads = start.select(F.concat(F.lit("\x1e"), F.to_json("root")).alias("read"), F.col("root").alias("up_root"), "root_place")
+    heads = run.start.select(F.concat(F.lit("\x1e"), F.to_json("root")).alias("read"), F.col("root").alias("up_root"), "root_place")
     outer = heads.join(reads.select(F.col("root").alias("up_root"), F.col("read").alias("next_read"), step(F.col("leaf_place")).alias("ord")), "up_root").join(writer.select(F.col("read").alias("next_read")), "next_read", "left_semi").select("read", "next_read", "ord")
     top = heads.select(F.lit("run").alias("read"), F.col("read").alias("next_read"), (F.col("root_place") * HOP_DIGITS).cast("long").alias("ord"))
-    edges = scratch.write(top.unionByName(outer).unionByName(inner.select("read", "next_read", "ord")), "flat-reads")
-    visits = first_visits(heads.limit(1).select(F.lit(0).alias("root"), F.lit("run").alias("read")), edges, ["read"], scratch, "flat-visits")
+    edges = scratch.write(top.unionByName(outer).unionByName(inner.select("read", "next_read", "ord")), f"{name}-reads")
+    visits = first_visits(heads.limit(1).select(F.lit(0).alias("root"), F.lit("run").alias("read")), edges, ["read"], scratch, f"{name}-visits")
     added = F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x % HOP_DIGITS)
     visits = visits.where("read <> 'run'").select("read", F.col("path").alias("run_path"), added.cast("int").alias("added"))
     seen = visits.join(heads.select("read", "up_root").unionByName(writer.select("read", "up_root")), "read")
+    return seen, reads
 
-    session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
+
+def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None, instance: str | None = None, max_hops: int = MAX_HOPS) -> DataFrame:
+    """GR10, GR18 to GR20, CQ6 and CQ7: one row a target field and leaf, with upstream sessions' rows behind it.
+
+    Rows that come from another session's target have the hops before it added and a link. A walk ends at `max_hops` with
+    a row that says so.
+    """
+    repo = cached(repo, scratch)
+    run = _run(repo, scratch, "flat", mapping, instance)
+    leaves = _leaves(walk(run.roots, run.flow, scratch, "flat", max_hops), run.flow)
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
+    placed = scratch.write(leaves.select("*", rank.alias("leaf_place")), "flat-numbered")
+    seen, reads = _followed(placed, run, repo, scratch, "flat")
+    ranked, session = run.ranked, run.session
     rows = seen.join(placed.withColumnRenamed("root", "up_root"), "up_root").join(ranked.select(F.col("root").alias("up_root"), "target"), "up_root")
     rows = rows.join(session, [rows.up_root.folder == session.s_folder, rows.up_root.mapping == session.s_mapping], "left")
     reader = reads.select(F.col("read").alias("x"), "reader", "table", "field_key").distinct()
@@ -294,47 +343,96 @@ def flat_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None,
     )
 
 
-def hop_lineage(repo: Repository, scratch: Scratch) -> DataFrame:
-    """GR9, CQ5: one row a target field and visited port, and one a second arrival. Sessions are not crossed."""
+def hop_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None, instance: str | None = None, max_hops: int = MAX_HOPS, outward: bool = False) -> DataFrame:
+    """GR9, CQ5: one row a target field and visited port, in the order of a depth-first walk (column ord).
+
+    A second arrival at a port, an arrival beyond `max_hops` and a field without a connector are rows too. A source that
+    another session's mapping writes is followed by a row of that target and by the target's own rows, their hops added.
+    With `outward` walks go on from a mapplet's input to what feeds the mapplet's instance; without, they end there.
+    """
     repo = cached(repo, scratch)
-    f = flow(repo, scratch)
-    w = walk(target_roots(repo), f, scratch, "hops")
-    label = F.concat("instance", F.lit("."), "field")
-    chain = F.array_join(F.concat(F.array(label), F.transform(F.reverse("hops"), lambda h: h["label"]), F.array(F.concat("root.instance", F.lit("."), "root.field"))), " -> ")
-    kind = F.when(F.col("itype") == "SOURCE", "Source Table").when(F.col("itype") == "MAPPLET", "Mapplet").otherwise(F.col("ttype"))
-    rows = w.states.where("size(path) > 0").select("root.mapping", F.col("root.instance").alias("target_instance"), F.col("root.field").alias("target_field"), "mapplet", F.when(F.col("itype") == "SOURCE", F.col("table")).otherwise(F.lit("")).alias("source_table"), F.when(F.col("itype") == "SOURCE", F.col("field")).otherwise(F.lit("")).alias("source_field"), "instance", kind.alias("ttype"), chain.alias("full_path"), "logic", F.col("hop").alias("hop_count"), "path")
-    again = w.markers.select("root.mapping", F.col("root.instance").alias("target_instance"), F.col("root.field").alias("target_field"), "mapplet", F.lit("").alias("source_table"), F.lit("").alias("source_field"), "instance", F.lit("(cycle)").alias("ttype"), chain.alias("full_path"), F.lit("Cycle detected -- this exact field was already visited earlier in the trace.").alias("logic"), F.col("hop").alias("hop_count"), "path")
-    return rows.unionByName(again)
+    run = _run(repo, scratch, "hops", mapping, instance)
+    w = walk(run.roots, run.flow, scratch, "hops", max_hops, outward)
+    blank, none = F.lit(""), F.lit(None).cast("string")
+    label, end = F.concat("instance", F.lit("."), "field"), F.concat("root.instance", F.lit("."), "root.field")
+    passed = F.concat(F.transform(F.reverse("hops"), lambda h: h["label"]), F.array(end))
+    joined = lambda parts: F.array_join(parts, " -> ")
+
+    # What leads into a port, told once for all roots.
+    e = run.flow.edges
+    to = F.concat("to_instance", F.lit("."), "to_field")
+    text = F.when(F.col("only").isNotNull() & (F.col("ord") > REFERENCES), F.concat(to, F.lit(" (referenced in expression) -> "), label)).otherwise(F.concat(to, F.lit(" -> "), label))
+    wired = e.groupBy(*SCOPE, "instance", "field").agg(F.array_sort(F.collect_list(F.struct("ord", text.alias("text"), "only"))).alias("wires"))
+    wires = F.array_join(F.transform(F.filter("wires", lambda x: x["only"].isNull() | (x["only"] == F.col("itype"))), lambda x: x["text"]), "; ")
+    states = w.states.where("itype <> 'MISSING'").join(wired, [*SCOPE, "instance", "field"], "left").withColumn("told", F.coalesce(F.nullif(wires, blank), F.lit(NO_UPSTREAM)))
+
+    row = lambda df, transformation, ttype, full, logic, links, table=none, field=none, mapplet=F.col("mapplet"): df.select("root", "path", "hop", mapplet.alias("mapplet"), table.alias("source_table"), field.alias("source_field"), transformation.alias("transformation"), ttype.alias("transformation_type"), full.alias("full_path"), logic.alias("individual"), links.alias("links"))
+    through = joined(F.concat(F.array(label), passed))
+    nearest = F.coalesce(F.try_element_at("hops", F.lit(-1))["label"], end)
+    named = lambda text: F.lit(text)
+    rows = row(states.where("itype = 'SOURCE'"), F.col("table"), named("Source Table"), through, named("Original source field (Source Qualifier boundary reached)."), F.concat(label, F.lit(" -> "), nearest), F.col("table"), F.col("field"))
+    entered = F.when(F.col("entry_instance").isNull(), "Mapplet boundary could not be resolved to an internal producing port; trace stops here.").otherwise(F.concat(F.lit("Enters Mapplet '"), "table", F.lit("' via its output port '"), "field", F.lit("'.")))
+    rows = rows.unionByName(row(states.where("itype = 'MAPPLET'"), F.col("table"), named("Mapplet"), through, entered, label, mapplet=F.col("table")))
+    rows = rows.unionByName(row(states.where("itype = 'TRANSFORMATION'"), F.col("instance"), F.col("ttype"), through, F.col("logic"), F.col("told")))
+    alone = states.where("itype = 'TARGET' and size(path) = 0 and wires is null")
+    rows = rows.unionByName(row(alone, F.col("instance"), named("Target"), label, named("No inbound connector found for this target field."), named("(unconnected target field)")))
+    for df, kind, logic in ((w.markers, "(cycle)", CYCLE), (w.cut, "(truncated)", TRUNCATED)):
+        rows = rows.unionByName(row(df, F.col("instance"), named(kind), joined(passed), named(logic), blank))
+    placed = scratch.write(rows.select("*", F.row_number().over(Window.partitionBy("root").orderBy("path")).alias("leaf_place")), "hops-numbered")
+
+    seen, reads = _followed(placed, run, repo, scratch, "hops")
+    seen = scratch.write(seen, "hops-seen")
+    at = placed.withColumnsRenamed({"root": "up_root"})
+    own = seen.join(at, "up_root").select("up_root", F.array_append("run_path", (F.col("leaf_place") * HOP_DIGITS).cast("long")).alias("ord"), (F.col("hop") + F.col("added")).alias("hop_count"), *[c for c in placed.columns if c not in ("root", "path", "hop", "leaf_place")])
+    # The row between a source and the rows of the target that another mapping writes.
+    read_at = reads.select(F.col("root").alias("up_root"), "leaf_place", "hop", F.col("read").alias("n_read")).join(placed.select(F.col("root").alias("up_root"), "leaf_place", "source_table", "full_path"), ["up_root", "leaf_place"])
+    child = seen.select(F.col("read").alias("n_read"), F.col("run_path").alias("n_path"), F.col("up_root").alias("n_root"))
+    met = seen.join(read_at, "up_root").join(child, "n_read").where(F.col("n_path") == F.array_append("run_path", (F.col("leaf_place") * HOP_DIGITS + F.col("hop")).cast("long")))
+    s = run.session
+    met = met.join(s, [F.col("n_root.folder") == s.s_folder, F.col("n_root.mapping") == s.s_mapping], "left")
+    cross = met.select(
+        F.col("n_root").alias("up_root"), F.array_append("n_path", F.lit(0).cast("long")).alias("ord"), (F.col("hop") + F.col("added")).alias("hop_count"), blank.alias("mapplet"), none.alias("source_table"), none.alias("source_field"), F.col("n_root.instance").alias("transformation"),
+        named("Previous Session Target").alias("transformation_type"), "full_path", F.concat(F.lit("Cross-session dependency: '"), "source_table", F.lit("' is populated by mapping '"), "n_root.mapping", F.lit("'"), F.coalesce(F.concat(F.lit(" (session '"), "session", F.lit("')")), blank), F.lit(" in an earlier load.")).alias("individual"),
+        F.concat("n_root.instance", F.lit("."), "n_root.field", F.lit(" (cross-session)")).alias("links"),
+    )
+    rows = own.unionByName(cross).join(run.ranked.select(F.col("root").alias("up_root"), "target"), "up_root")
+    rows = rows.join(s, [rows.up_root.folder == s.s_folder, rows.up_root.mapping == s.s_mapping], "left")
+    or_none = lambda c: F.when(F.coalesce(c, blank) == "", "(none)").otherwise(F.col(c) if isinstance(c, str) else c)
+    return rows.select(
+        F.col("up_root.mapping").alias("mapping"), or_none("mapplet").alias("mapplet"), or_none("session").alias("session"), F.coalesce("source_table", blank).alias("source_table"), F.coalesce("source_field", blank).alias("source_field"), F.col("target").alias("target_table"), F.col("up_root.field").alias("target_field"),
+        "transformation", "transformation_type", "full_path", "individual", "links", F.col("hop_count").cast("int").alias("hop_count"), "ord",
+    )
 
 
-def attribute_graph(repo: Repository, scratch: Scratch, mapping: str, instance: str, field: str) -> tuple[DataFrame, DataFrame]:
+def attribute_graph(repo: Repository, scratch: Scratch, mapping: str, instance: str, field: str, max_hops: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
     """GR11, CQ9: (nodes, edges) of one attribute across sessions. nodes: id, kind, mapping, instance, table, field, ttype, logic, passthrough; edges: from, to, style.
 
     Sources whose table another mapping writes lead on to that mapping's target (execution order, then declaration);
-    a target reached so is TARGET_INTERMEDIATE. Roots met before are not walked again.
+    a target reached so is TARGET_INTERMEDIATE. Roots met before are not walked again. Hops count on over sessions, from the
+    least of those that lead there; ports beyond `max_hops` are not shown.
     """
     repo = cached(repo, scratch)
     f = flow(repo, scratch)
     order = scratch.write(session_order(repo, scratch), "graph-sessions")
     roots = scratch.write(target_roots(repo), "graph-roots")
     final = (F.col("root.mapping") == mapping) & (F.col("root.instance") == instance) & (F.col("root.field") == field)
-    front = roots.where(final)
+    front = roots.where(final).withColumn("hop", F.lit(0))
     p = scratch.write(producers(repo, order), "graph-producers")
     nodes = edges = done = None
     k = 0
     while not front.isEmpty():
         k += 1
-        w = walk(front, f, scratch, f"graph{k}")
+        w = walk(front, f, scratch, f"graph{k}", max_hops)
         kind = F.when(F.col("itype") == "TARGET", F.when(final & (F.size("path") == 0), "TARGET_FINAL").otherwise("TARGET_INTERMEDIATE")).otherwise(F.col("itype"))
         here = w.states.where("itype <> 'MISSING'").select(_identity().alias("id"), kind.alias("kind"), "root.mapping", "instance", F.when(F.col("itype").isin("SOURCE", "TARGET"), F.col("table")).otherwise(F.lit("")).alias("table"), "field", "ttype", "logic", (~F.col("is_crossing")).alias("passthrough"))
-        wires = w.links.select(F.col("child").alias("from"), F.col("parent").alias("to"), "style").distinct()
-        src = w.states.where("itype = 'SOURCE'").select(_identity().alias("to"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), "table", F.lower("field").alias("field_key")).distinct()
-        up = src.join(p, ["folder", "table", "field_key"]).where("reader <> up_mapping").select("to", "up_root", F.row_number().over(Window.partitionBy("to").orderBy("place")).alias("_k")).where("_k = 1")
+        wires = w.links.where("shown").select(F.col("child").alias("from"), F.col("parent").alias("to"), "style").distinct()
+        src = w.states.where("itype = 'SOURCE'").groupBy(_identity().alias("to"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), "table", F.lower("field").alias("field_key")).agg((F.min("hop") + 1).alias("hop")).where(F.col("hop") <= max_hops)
+        up = src.join(p, ["folder", "table", "field_key"]).where("reader <> up_mapping").select("to", "up_root", "hop", F.row_number().over(Window.partitionBy("to").orderBy("place")).alias("_k")).where("_k = 1")
         up = scratch.write(up, f"graph-up{k}")
         cross = up.select(node_id(F.lit("mapping"), F.col("up_root.mapping"), F.col("up_root.instance"), F.col("up_root.field")).alias("from"), "to", F.lit("flow").alias("style"))
         nodes, edges = (here, wires.unionByName(cross)) if nodes is None else (nodes.unionByName(here), edges.unionByName(wires).unionByName(cross))
         done = front.select("root") if done is None else done.unionByName(front.select("root"))
-        front = scratch.write(roots.join(up.select(F.col("up_root").alias("root")).distinct(), "root", "left_semi").join(done, "root", "left_anti"), f"graph-front{k}")
+        front = scratch.write(roots.join(up.groupBy(F.col("up_root").alias("root")).agg(F.min("hop").alias("hop")), "root").join(done, "root", "left_anti"), f"graph-front{k}")
     if nodes is None:
         raise ValueError(f"no target field {mapping}.{instance}.{field}")
     least = Window.partitionBy("id").orderBy(F.col("kind").desc())

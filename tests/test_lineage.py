@@ -126,7 +126,7 @@ def test_flat_hop_and_graph(spark):
     linked = [r for r in flat if r["links"]]
     assert {r["links"] for r in linked} == {"s1.SEG.CUSTOMER_SEGMENT -> s2.SEG.customer_segment"} and len(linked) == 4
     hops = dependency.hop_lineage(repo, Scratch(spark)).where("mapping = 'm1'")
-    assert hops.where("ttype = 'Source Table'").count() == 4 and hops.where("ttype = '(cycle)'").count() == 0
+    assert hops.where("transformation_type = 'Source Table'").count() == 8 and hops.where("transformation_type = '(cycle)'").count() == 0
     nodes, edges = dependency.attribute_graph(repo, Scratch(spark), "m2", "REP", "SEGMENT")
     kinds = {r["id"]: r["kind"] for r in nodes.collect()}
     assert kinds["mapping:m2::REP::SEGMENT"] == "TARGET_FINAL"
