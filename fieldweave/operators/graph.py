@@ -7,6 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.operators.closure import first_visits
 from fieldweave.scratch import Scratch
 
 
@@ -65,10 +66,76 @@ def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> Data
         links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{k + 1}")
 
 
-def forward_edges(edges: DataFrame, levels: DataFrame) -> DataFrame:
-    """GR12: edges that rise in level; what is left has no cycle."""
-    low, high = levels.select(F.col("node").alias("src"), F.col("level").alias("lo")), levels.select(F.col("node").alias("dst"), F.col("level").alias("hi"))
-    return edges.join(low, "src").join(high, "dst").where("lo < hi").select(*edges.columns)
+def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "strong") -> DataFrame:
+    """node, component: the least node of those that each other reach by edges src to dst; a node on no cycle is its own.
+
+    Nodes without an open edge in or out are done, round by round. Of the rest each takes the least node that reaches it;
+    a node that is its own least, and what reaches it among those that took it, are a component. All colours go on at once.
+    """
+    open_ = scratch.write(subgraph(nodes, edges.select("src", "dst")).where("src <> dst"), f"{name}-0")
+    found = None
+    for k in count(1):
+        for t in count():
+            into, out = open_.select(F.col("dst").alias("node")).distinct(), open_.select(F.col("src").alias("node")).distinct()
+            both = into.join(out, "node", "left_semi")
+            left = scratch.write(subgraph(both, open_), f"{name}-{k}-trim{t}")
+            done = left.count() == open_.count()
+            open_ = left
+            if done:
+                break
+        if open_.isEmpty():
+            break
+        # The least node that reaches each: labels fall along edges until none does.
+        color = scratch.write(open_.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), f"{name}-{k}-color0")
+        for t in count(1):
+            fed = open_.join(color.select(F.col("node").alias("src"), "color"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("color").alias("low"))
+            lower = scratch.write(color.join(fed, "node").select("node", F.least("color", "low").alias("color"), (F.col("low") < F.col("color")).alias("fell")), f"{name}-{k}-color{t}")
+            color = lower.drop("fell")
+            if lower.where("fell").isEmpty():
+                break
+        # Backwards from each colour's own node, inside the colour.
+        ends = open_.join(color.select(F.col("node").alias("src"), F.col("color").alias("c_src")), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("c_dst")), "dst")
+        inside = scratch.write(ends.where("c_src = c_dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")), f"{name}-{k}-back")
+        met = reachable(color.where("node = color"), inside, scratch.sub(f"{name}-{k}"))
+        part = scratch.write(color.join(met, "node", "left_semi").select("node", F.col("color").alias("component")), f"{name}-{k}-part")
+        found = part if found is None else found.unionByName(part)
+        open_ = scratch.write(open_.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), f"{name}-{k}-open")
+    own = nodes.select("node").distinct()
+    if found is None:
+        return own.select("node", F.col("node").alias("component"))
+    return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def break_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """GR12: (kept, dropped) edges. Dropped are those that lead back to an open node of a depth-first walk; what is kept has no cycle.
+
+    `nodes`: node, and ord if their order is another than by name; `edges`: src, dst, any other columns, and ord likewise.
+    An edge between two strong components is on no cycle, so only components of several nodes are walked, all at once,
+    each from its first node; a walk's first visits are its least paths, and an edge leads back if the path of its dst is
+    the first part of that of its src. Edges without one of their ends among the nodes are left out.
+    """
+    order = lambda df, by: F.col("ord") if "ord" in df.columns else F.col(by)
+    held = subgraph(nodes, edges)
+    parts = scratch.write(strong_components(nodes, held, scratch), "components")
+    side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
+    placed = scratch.write(held.join(side("src"), "src").join(side("dst"), "dst"), "placed")
+    inner = placed.where("c_src = c_dst")
+    starts = nodes.join(parts, "node").join(inner.select(F.col("c_src").alias("component")).distinct(), "component", "left_semi")
+    starts = starts.groupBy(F.col("component").alias("root")).agg(F.min_by("node", F.struct(order(nodes, "node").alias("o"), "node")).alias("node"))
+    turn = F.row_number().over(Window.partitionBy("src").orderBy(order(edges, "dst"), "dst"))
+    steps = inner.select(F.col("src").alias("node"), F.col("dst").alias("next_node"), turn.alias("ord"))
+    visits = first_visits(starts, steps, ["node"], scratch, "visits")
+    at = lambda c: visits.select(F.col("node").alias(c), F.col("path").alias(f"p_{c}"))
+    told = placed.join(at("src"), "src", "left").join(at("dst"), "dst", "left")
+    back = (F.col("c_src") == F.col("c_dst")) & (F.slice("p_src", F.lit(1), F.size("p_dst")) == F.col("p_dst"))
+    told = scratch.write(told.select(*edges.columns, F.coalesce(back, F.lit(False)).alias("back")), "told")
+    return told.where("not back").drop("back"), told.where("back").drop("back")
+
+
+def levels_of(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """GR12 and GR13 on any graph: (levels, kept, dropped), levels over the edges that are kept."""
+    kept, dropped = break_cycles(nodes, edges, scratch)
+    return longest_levels(nodes, kept, scratch), kept, dropped
 
 
 def cross_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -80,7 +147,7 @@ def cross_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def panels(nodes: DataFrame, edges: DataFrame, final_group: str, rank: DataFrame) -> DataFrame:
     """GR14, AG11, W4, SO3: grp, place, node_count, level, incoming, outgoing; by first rank and name, the final group last.
 
-    `nodes`: node, grp, level; `rank`: grp, rank (groups without one follow).
+    `nodes`: node, grp, level; `rank`: grp, rank (groups without one follow by level).
     """
     base = nodes.groupBy("grp").agg(F.count("*").alias("node_count"), F.min("level").alias("level"))
     cross = cross_counts(nodes, edges)
@@ -89,7 +156,7 @@ def panels(nodes: DataFrame, edges: DataFrame, final_group: str, rank: DataFrame
     first = rank.groupBy("grp").agg(F.min("rank").alias("rank"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     rows = base.join(into, "grp", "left").join(out, "grp", "left").join(first, "grp", "left")
-    place = F.row_number().over(Window.orderBy((F.col("grp") == final_group).asc(), F.col("rank").asc_nulls_last(), "grp"))
+    place = F.row_number().over(Window.orderBy((F.col("grp") == final_group).asc(), F.col("rank").asc_nulls_last(), F.when(F.col("rank").isNull(), F.col("level")), "grp"))
     return rows.select("grp", place.alias("place"), "node_count", "level", zero("incoming"), zero("outgoing"))
 
 

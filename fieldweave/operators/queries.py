@@ -633,3 +633,6 @@ def cq6_flat_lineage(spark, sf_dir):
     """Which fields decide CUSTOMER_SEGMENT at once, and which only through another computed field."""
     rows = dependency.flat_lineage(_repo(spark, ENGINE_B), Scratch(spark), "m1", "SEG")
     return rows.where("target_field = 'CUSTOMER_SEGMENT'").select("source_field", "dependency")
+
+
+from fieldweave.operators import dependency_queries  # noqa: E402, F401  (registers its queries; it needs the names above)

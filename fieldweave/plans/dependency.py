@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.expressions import dependency, instance_kind, names_whole_word, node_id
+from fieldweave.operators import graph
 from fieldweave.operators.closure import first_visits
 from fieldweave.operators.order import session_order
 from fieldweave.operators.report import first_session, suffix_matches
@@ -135,7 +136,7 @@ class Walk:
     states: DataFrame  # every visited place of a root, with its least path: STATE columns and the node's own
     markers: DataFrame  # arrivals at a place already visited: STATE columns
     cut: DataFrame  # arrivals beyond the limit: STATE columns
-    links: DataFrame  # root, parent, child, style, shown: steps taken, places as ids; not shown: into a port beyond the limit
+    links: DataFrame  # root, parent, child, style, shown: steps taken, places as ids; not shown: into a port beyond the limit or one still open
 
 
 STATE = ["root", "stack", *PLACE, "path", "hops", "crossing", "hop", "mapplet", "parent"]
@@ -212,7 +213,9 @@ def walk(roots: DataFrame, f: Flow, scratch: Scratch, name: str, max_hops: int =
     told = arrivals.join(known, ["root", "key"], "left")
     cut = told.where(F.col("hop") > max_hops).select(*STATE)
     markers = told.where((F.col("hop") <= max_hops) & (F.col("path") != F.col("old"))).select(*STATE)
-    shown = F.max((F.col("hop") <= max_hops) | F.col("old").isNotNull()).alias("shown")
+    # No edge leads into a port beyond the limit, nor back into one that is still open when the walk comes to it again.
+    within = (F.size("old") <= F.size("path")) & (F.slice("path", F.lit(1), F.size("old")) == F.col("old")) & (F.col("old") != F.col("path"))
+    shown = F.max(F.coalesce(~within, F.col("hop") <= max_hops)).alias("shown")
     links = told.groupBy("root", "parent", _identity().alias("child"), "style").agg(shown)
     return Walk(states, markers, cut, links)
 
@@ -405,7 +408,7 @@ def hop_lineage(repo: Repository, scratch: Scratch, mapping: str | None = None,
 
 
 def attribute_graph(repo: Repository, scratch: Scratch, mapping: str, instance: str, field: str, max_hops: int = MAX_HOPS) -> tuple[DataFrame, DataFrame]:
-    """GR11, CQ9: (nodes, edges) of one attribute across sessions. nodes: id, kind, mapping, instance, table, field, ttype, logic, passthrough; edges: from, to, style.
+    """GR11, CQ9: (nodes, edges) of one attribute across sessions. nodes: id, kind, mapping, instance, table, field, ttype, logic, passthrough, hop (the least); edges: from, to, style.
 
     Sources whose table another mapping writes lead on to that mapping's target (execution order, then declaration);
     a target reached so is TARGET_INTERMEDIATE. Roots met before are not walked again. Hops count on over sessions, from the
@@ -424,7 +427,7 @@ def attribute_graph(repo: Repository, scratch: Scratch, mapping: str, instance:
         k += 1
         w = walk(front, f, scratch, f"graph{k}", max_hops)
         kind = F.when(F.col("itype") == "TARGET", F.when(final & (F.size("path") == 0), "TARGET_FINAL").otherwise("TARGET_INTERMEDIATE")).otherwise(F.col("itype"))
-        here = w.states.where("itype <> 'MISSING'").select(_identity().alias("id"), kind.alias("kind"), "root.mapping", "instance", F.when(F.col("itype").isin("SOURCE", "TARGET"), F.col("table")).otherwise(F.lit("")).alias("table"), "field", "ttype", "logic", (~F.col("is_crossing")).alias("passthrough"))
+        here = w.states.where("itype <> 'MISSING'").select(_identity().alias("id"), kind.alias("kind"), "root.mapping", "instance", F.when(F.col("itype").isin("SOURCE", "TARGET"), F.col("table")).otherwise(F.lit("")).alias("table"), "field", "ttype", "logic", (~F.col("is_crossing")).alias("passthrough"), "hop")
         wires = w.links.where("shown").select(F.col("child").alias("from"), F.col("parent").alias("to"), "style").distinct()
         src = w.states.where("itype = 'SOURCE'").groupBy(_identity().alias("to"), F.col("root.folder").alias("folder"), F.col("root.mapping").alias("reader"), "table", F.lower("field").alias("field_key")).agg((F.min("hop") + 1).alias("hop")).where(F.col("hop") <= max_hops)
         up = src.join(p, ["folder", "table", "field_key"]).where("reader <> up_mapping").select("to", "up_root", "hop", F.row_number().over(Window.partitionBy("to").orderBy("place")).alias("_k")).where("_k = 1")
@@ -436,4 +439,34 @@ def attribute_graph(repo: Repository, scratch: Scratch, mapping: str, instance:
     if nodes is None:
         raise ValueError(f"no target field {mapping}.{instance}.{field}")
     least = Window.partitionBy("id").orderBy(F.col("kind").desc())
-    return nodes.select("*", F.row_number().over(least).alias("_k")).where("_k = 1").drop("_k"), edges.distinct()
+    nodes = nodes.select("*", F.row_number().over(least).alias("_k"), F.min("hop").over(Window.partitionBy("id")).alias("_hop")).where("_k = 1")
+    return nodes.drop("_k", "hop").withColumnRenamed("_hop", "hop"), edges.distinct()
+
+
+@dataclass
+class Panels:
+    nodes: DataFrame  # of attribute_graph, and level
+    edges: DataFrame  # from, to, style: without those that close a cycle
+    dropped: DataFrame  # from, to, style: those that do
+    panels: DataFrame  # mapping, place, node_count, level, incoming, outgoing: the asked mapping last
+    crossings: DataFrame  # from_group, to_group, n: edges from one mapping's panel to another's
+
+
+def attribute_panels(repo: Repository, scratch: Scratch, mapping: str, instance: str, field: str, max_hops: int = MAX_HOPS) -> Panels:
+    """CQ9, GR12 to GR14: the graph of one attribute without cycles, its levels, and a panel for each mapping.
+
+    A table that several mappings write and read can lead back over sessions. As the graph is found from the asked field
+    backwards, the edges dropped, and told, are those into ports still open on the way from it. Panels are in the order of
+    the first session of their mapping, then those without a session by level.
+    """
+    nodes, edges = attribute_graph(repo, scratch, mapping, instance, field, max_hops)
+    nodes, edges = scratch.write(nodes, "panel-nodes"), scratch.write(edges, "panel-edges")
+    upwards = edges.select(F.col("to").alias("src"), F.col("from").alias("dst"), "style")
+    named = lambda df: df.select(F.col("dst").alias("from"), F.col("src").alias("to"), "style")
+    kept, dropped = map(named, graph.break_cycles(nodes.select(F.col("id").alias("node"), F.col("hop").alias("ord")), upwards, scratch.sub("panels")))
+    plain = kept.select(F.col("from").alias("src"), F.col("to").alias("dst"))
+    levels = graph.longest_levels(nodes.select(F.col("id").alias("node")), plain, scratch.sub("panels"))
+    leveled = scratch.write(nodes.join(levels.withColumnRenamed("node", "id"), "id"), "panel-levels")
+    grouped = leveled.select(F.col("id").alias("node"), F.col("mapping").alias("grp"), "level")
+    rank = session_order(repo, scratch).select(F.col("mapping").alias("grp"), F.col("exec_order").alias("rank"))
+    return Panels(leveled, kept, dropped, graph.panels(grouped, plain, mapping, rank).withColumnRenamed("grp", "mapping"), graph.cross_counts(grouped, plain))

@@ -31,6 +31,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def sub(self, name: str) -> Scratch:
+        """A scratch within this one, for steps that write tables of names used before."""
+        inner = Scratch.__new__(Scratch)
+        inner.spark, inner.folder = self.spark, f"{self.folder}/{name}"
+        return inner
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads; without names, all."""
         for name in names or ("",):
