@@ -6,7 +6,8 @@ line length, passes a fitted logistic curve to become the document's score.
 
 Labels are of documents. Training starts with each line bearing its document's label; then, in documents labelled bad,
 lines that the model takes for good keep that label (the worst line of each stays bad) and the chain is fitted again.
-The labelled sample is bounded: at most `train_docs` documents, picked by hash, each of at most `TRAIN_BYTES` bytes.
+The labelled sample is bounded: at most `train_docs` documents, picked by hash, each of at most `TRAIN_BYTES` bytes, and
+of these, from the one of fewest lines on, as many as have `TRAIN_LINES` lines together.
 
 Texts over `BLOCK_BYTES` are read in pieces; beside the text they take some tens of bytes a line, not the features of all lines.
 
@@ -21,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldweave.llm.textblocks import BLOCK_BYTES, blocks, segment_sums
 
-TRAIN_DOCS, TRAIN_BYTES, ROUNDS, PENALTY = 4000, 1 << 16, 120, 1e-3
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LINES, ROUNDS, PENALTY = 4000, 1 << 16, 500_000, 120, 1e-3
 THRESHOLD = 0.7
 #: Chains of more lines are scanned in runs.
 LONG_CHAIN = 512
@@ -307,6 +309,11 @@ def train(sample: pa.Table) -> Chain | None:
     text = sample.column("text").combine_chunks()
     text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
     y = sample.column("quality").to_numpy().astype(np.int64)
+    lines = pc.count_substring(text, "\n").to_numpy() + 1
+    if lines.sum() > TRAIN_LINES:
+        order = np.argsort(lines, kind="stable")
+        few = np.sort(order[np.cumsum(lines[order]) <= TRAIN_LINES])
+        text, y = text.take(pa.array(few)), y[few]
     if len(np.unique(y)) < 2:
         return None
     parts, lengths, firsts, total = [], [], [np.zeros(1, np.int64)], 0
@@ -359,8 +366,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_
             score = np.ones(batch.num_rows)
             if chain is not None:
                 for lo, hi, body, offsets in blocks(text):
-                    x, n, first = line_features(body, offsets)
-                    marginal = marginals(chain.odds(x), first, chain.moves)[0]
+                    if len(body) > BLOCK_BYTES:  # one text alone
+                        odds, n = long_odds(body, chain)
+                        first = np.array([0, len(n)])
+                    else:
+                        x, n, first = line_features(body, offsets)
+                        odds = chain.odds(x)
+                    marginal = marginals(odds, first, chain.moves)[0]
                     mean = document_means(marginal, n, first) * 10 - 5
                     score[lo:hi] = 1 / (1 + np.exp(-np.clip(chain.slope * mean + chain.offset, -30, 30)))
             columns = [batch.column(k) for k in range(len(names))]
