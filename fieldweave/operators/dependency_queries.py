@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldweave.operators import graph
+from fieldweave.operators.expand import expansion
 from fieldweave.operators.queries import _tables_repo, query
-from fieldweave.plans import dependency
+from fieldweave.operators.trace import roots_of, trace
+from fieldweave.plans import dependency, lineage
 from fieldweave.scratch import Scratch
-from fieldweave.sources.repository import Repository
+from fieldweave.sources.repository import Repository, cached
 from fieldweave.tables import table
 
 
@@ -170,3 +172,20 @@ def cq9_attribute_panels(spark, sf_dir):
     fields = spark.range(6).select(F.concat(F.lit("T"), "id").alias("name"), field.alias("field"), F.lit(1).alias("ord"))
     repo = _repo(base, maps, F.concat(F.lit("T"), "k"), F.concat(F.lit("T"), F.col("k") + 1), fields, ports, connector)
     return dependency.attribute_panels(repo, Scratch(spark), "m4", "TGT", "A").panels
+
+
+#: Descents of a root in gr4_budget: its own, then one for each order of a customer.
+_DESCENTS = 8
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS o, o_custkey AS c, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS descent FROM orders), li AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT 'm' || c_nationkey AS mapping, 'TGT' AS instance, 'C' || c_custkey AS field, CASE WHEN descent > {_DESCENTS} THEN 'truncated' WHEN l_orderkey IS NOT NULL THEN 'source' WHEN o IS NOT NULL THEN 'literal_or_unresolved' ELSE 'unmapped' END AS leaf_type, 'L' || l_orderkey || '.' || l_linenumber AS source_field
+FROM customer LEFT JOIN o ON c = c_custkey LEFT JOIN li ON l_orderkey = o AND descent <= {_DESCENTS}
+UNION ALL SELECT 'm' || c_nationkey, 'TGT2', 'C' || c_custkey, 'unmapped', NULL FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey >= 2""")
+def gr4_budget(spark, sf_dir):
+    """Traces of every target field with a budget of a few descents: in depth-first order, those beyond it end in a leaf each."""
+    scratch = Scratch(spark)
+    repo = cached(_tables_repo(spark, sf_dir), scratch)
+    roots = roots_of(lineage.target_fields(repo), ["folder", "scope", "instance", "field"])
+    leaves = trace(roots, expansion(repo, scratch), scratch, budget=_DESCENTS)
+    return leaves.select(F.col("root.scope").alias("mapping"), "root.instance", "root.field", "leaf_type", "source_field")

@@ -1,14 +1,18 @@
 """Repository documents as tables.
 
-A document is a tree of nodes with a tag, attributes and children. It is parsed as VARIANT and exploded level by level;
+A document, JSON or XML, is a tree of nodes with a tag, attributes and children. It is parsed as VARIANT and exploded level by level;
 the depth is known, so no recursion is needed, and documents are read in parallel. `ord` columns hold document order.
 Of equal names in one parent the last one counts.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass, fields, replace
+from xml.parsers import expat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +70,8 @@ def from_json(documents: DataFrame, first_folder_only: bool = True) -> Repositor
     """
     text = F.col(documents.columns[0])
     top = documents.select(F.xxhash64(text).alias("doc"), F.parse_json(text).alias("d")).select("doc", F.expr("variant_get(d, '$.root', 'variant')").alias("v"))
-    return _normalised(top, first_folder_only)
+    repo = _kids(top, "o1", ["doc"]).where("tag = 'REPOSITORY'")
+    return _normalised(_kids(repo, "o2", ["doc", "o1"]).where("tag = 'FOLDER'"), first_folder_only)
 
 
 def read_json(spark: SparkSession, path: str, first_folder_only: bool = True) -> Repository:
@@ -74,10 +79,56 @@ def read_json(spark: SparkSession, path: str, first_folder_only: bool = True) ->
     return from_json(spark.read.text(path, wholetext=True), first_folder_only)
 
 
-def _normalised(top: DataFrame, first_folder_only: bool) -> Repository:
-    repo = _kids(top, "o1", ["doc"]).where("tag = 'REPOSITORY'")
+def read_xml(spark: SparkSession, path: str, first_folder_only: bool = True) -> Repository:
+    """SRC6: tables of the XML document or documents at a path, in UTF-8; the same as those of the JSON form.
+
+    Documents are split behind each folder, so the folders of one large export are read and parsed in parallel. Text
+    between tags says nothing and is dropped. A folder that is no well-formed XML is an error that names its document.
+    """
+    rows = spark.read.option("lineSep", "</FOLDER>").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    held = rows.where(F.col("value").rlike(_FOLDER)).select("file", "block", "at", F.expr(f"substr(value, regexp_instr(value, '{_FOLDER}'))").alias("xml"))
+    nodes = held.mapInArrow(_trees, "file string, block long, at long, place int, node string")
+    order = F.struct("block", "at", "place")
+    node = nodes.select(F.xxhash64("file").alias("doc"), F.lit(0).alias("o1"), order.alias("o2"), F.parse_json("node").alias("v"))
+    tagged = node.select("doc", "o1", "o2", F.expr("variant_get(v, '$.tag', 'string')").alias("tag"), F.coalesce(F.expr("variant_get(v, '$.attributes', 'map<string,string>')"), F.expr("cast(map() as map<string,string>)")).alias("a"), "v")
+    return _normalised(tagged.where("tag = 'FOLDER'"), first_folder_only)
+
+
+#: The start of a folder's tag.
+_FOLDER = r"<FOLDER[ \t\r\n/>]"
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The folders of each piece of XML (which lacks its last end tag) as JSON nodes of tag, attributes and children."""
+    for batch in batches:
+        out: list[list] = [[], [], [], [], []]
+        for file, block, at, xml in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            top: list[dict] = []
+            stack = [top]
+
+            def start(tag: str, attributes: dict, stack: list = stack) -> None:
+                node = {"tag": tag, "attributes": attributes, "children": []}
+                stack[-1].append(node)
+                stack.append(node["children"])
+
+            parser = expat.ParserCreate()
+            parser.StartElementHandler, parser.EndElementHandler = start, lambda tag, stack=stack: stack.pop()
+            try:
+                # A folder without content has no end tag of its own, so it may stand before the one that was cut.
+                parser.Parse(f"<ALL>{xml}</FOLDER></ALL>", True)
+            except expat.ExpatError as e:
+                raise ValueError(f"{file}: no well-formed folder at {block}: {e}") from e
+            for place, node in enumerate(top[0]["children"]):
+                for column, value in zip(out, (file, block, at, place, json.dumps(node, ensure_ascii=False)), strict=True):
+                    column.append(value)
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["file", "block", "at", "place", "node"])
+
+
+def _normalised(folder: DataFrame, first_folder_only: bool) -> Repository:
+    """Tables of folders: doc, o1 and o2 (their order in it), a and v (attributes and node)."""
     # While names are resolved, a folder is its document and its name.
-    folder = _kids(repo, "o2", ["doc", "o1"]).where("tag = 'FOLDER'").select(F.struct("doc", attr("NAME").alias("name")).alias("folder"), "doc", "o1", "o2", "v")
+    folder = folder.select(F.struct("doc", attr("NAME").alias("name")).alias("folder"), "doc", "o1", "o2", "v")
     if first_folder_only:
         place = F.row_number().over(Window.partitionBy("doc").orderBy("o1", "o2"))
         folder = folder.select("folder", "v", place.alias("place")).where("place = 1").drop("place")
