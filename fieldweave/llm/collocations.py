@@ -6,7 +6,8 @@ of k + 1 words is the merge join of two such lists, that of its first k words an
 here, one look at each position and its neighbour for all phrases of the block at once. The lengths of the lists are the
 phrase's counts in the block, and their sum over all blocks is its exact frequency. Only phrases that reach `least` are
 told back to the blocks and extended, so both parts of every candidate are frequent (a phrase is never more frequent than
-a part of it). Nothing is broadcast: a block gets back the frequent phrases that it holds, by a join on its number.
+a part of it). A block gets back the frequent phrases that it holds, by a join on its number; blocks are tables bucketed
+by it, so they stay where they are.
 
 A phrase's key is the pair of its two parts' ids, and an id is the place of one of its lists (block and number), unique
 among phrases of one length, so keys are exact, without hashes. A row of the count is one phrase in one block: a phrase in every text has as many rows as
@@ -22,7 +23,10 @@ block is a block of its own.
 
 from __future__ import annotations
 
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +40,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Share, in percent, of a phrase's occurrences inside one longer phrase that makes it part of that.
 INSIDE = 80
 #: Bytes of a block's texts.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of a partition's number, of a block's within it, and of a list's within its block: 63 in all.
 PART_BITS, BLOCK_BITS, PLACE_BITS = 22, 10, 31
 #: Shares of a group that are ranked apart first.
@@ -44,26 +48,54 @@ SALTS = 64
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz\n\n\n\n\n\n\n\n\n ")
 
 
-def word_codes(body: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The distinct words of texts laid end to end and the code of the word at each position; -1 between pieces."""
-    parts = body.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
-    words = [w for w in dict.fromkeys(parts) if w not in (b"", b"\n")]
-    code = {w: k for k, w in enumerate(words)} | {b"\n": -1, b"": -2}
-    codes = np.fromiter(map(code.__getitem__, parts), np.int32, len(parts))
-    return words, codes[codes > -2]
+def packed(codes: np.ndarray) -> bytes:
+    """Codes from -1 in few bytes if small ones are common: a byte each, where 254 and 255 stand for two or four bytes behind."""
+    up = codes.astype(np.uint32) + np.uint32(1)
+    middle, large = (up >= 254) & (up < 65536), up >= 65536
+    low = np.where(large, 255, np.where(middle, 254, up)).astype(np.uint8)
+    return b"".join([len(low).to_bytes(8, "little"), low.tobytes(), up[middle].astype("<u2").tobytes(), up[large].astype("<u4").tobytes()])
 
 
-def _block(texts: dict[str, list[bytes]]) -> list[pa.Array]:
-    """codes, words, grps and counts of one block: the lists of one word, those of one group after those of another."""
+def unpacked(body: bytes) -> np.ndarray:
+    n = int.from_bytes(body[:8], "little")
+    low = np.frombuffer(body, np.uint8, n, 8)
+    codes = low.astype(np.int32)
+    middle, large = low == 254, low == 255
+    at = 8 + n + 2 * int(middle.sum())
+    codes[middle] = np.frombuffer(body[8 + n : at], "<u2")
+    codes[large] = np.frombuffer(body[at:], "<u4")
+    return codes - 1
+
+
+def _block(texts: list[tuple[str, bytes]]) -> list[pa.Array]:
+    """codes, words, grps and counts of one block: the lists of one word, the longest first.
+
+    A position that ends a piece has code -1. Texts are cut one by one, so no more than one text's words are held twice.
+    """
     words, grps, codes = [], [], [np.zeros(0, np.int32)]
-    for grp, bodies in texts.items():
-        own, at = word_codes(b"\n".join(bodies))
-        codes += [np.where(at >= 0, at + len(words), -1), np.array([-1])]
+    for grp in dict.fromkeys(grp for grp, _ in texts):
+        code = defaultdict(count(len(words)).__next__, {b"": -2, b"\n": -1})
+        for body in (body for own, body in texts if own == grp):
+            parts = body.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")
+            parts.append(b"\n")
+            at = np.fromiter(map(code.__getitem__, parts), np.int32, len(parts))
+            codes.append(at[at > -2])
+        own = list(code)[2:]
         words += own
         grps += [grp] * len(own)
-    codes = np.concatenate(codes).astype(np.int32)
+    codes = np.concatenate(codes)
     counts = np.bincount(codes[codes >= 0], minlength=len(words)).astype(np.int64)
-    return [pa.array([codes], pa.list_(pa.int32())), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([grps], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
+    order, codes = by_length(codes, len(words))
+    words, grps = [words[k] for k in order.tolist()], [grps[k] for k in order.tolist()]
+    return [pa.array([packed(codes)], pa.binary()), pa.array([words], pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array([grps], pa.list_(pa.string())), pa.array([counts[order]], pa.list_(pa.int64()))]
+
+
+def by_length(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n lists from the longest, and the codes renumbered so."""
+    order = np.argsort(-np.bincount(codes[codes >= 0], minlength=n), kind="stable")
+    place = np.full(n + 1, -1, np.int32)
+    place[order] = np.arange(n)
+    return order, place[codes]
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -72,14 +104,14 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, size = TaskContext.get().partitionId(), 0, 0
-        texts: dict[str, list[bytes]] = {}
+        texts: list[tuple[str, bytes]] = []
 
         def block() -> pa.RecordBatch:
             nonlocal made, size, texts
             if part >> PART_BITS or made >> BLOCK_BITS:
                 raise ValueError("more partitions, or more blocks in one, than block numbers")
             number, made, size = part << BLOCK_BITS | made, made + 1, 0
-            arrays, texts = _block(texts), {}
+            arrays, texts = _block(texts), []
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *arrays], names)
 
         for batch in batches:
@@ -87,40 +119,42 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 body = text.as_py() or b""
                 if size and size + len(body) > BLOCK_BYTES:
                     yield block()
-                texts.setdefault(grp, []).append(body)
+                texts.append((grp, body))
                 size += len(body) + 1
         if texts:
             yield block()
 
-    return docs.mapInArrow(run, "block long, codes array<int>, words array<string>, grps array<string>, counts array<long>")
+    return docs.mapInArrow(run, "block long, codes binary, words array<string>, grps array<string>, counts array<long>")
 
 
-def extended(codes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def extended(codes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One step in a block: positions of the lists that go on, and the lists that two neighbours make.
 
-    `codes`: the list at each position, -1 for none; `kept`: the lists that are frequent. Returns codes into `kept`, and
-    for each new list, in order of its two parts, both parts' codes and its length.
+    `codes`: the list at each position, -1 for none; `kept`: the lists that are frequent. Returns codes into the kept
+    lists, these from the longest, and for each new list, in order of its two parts, both parts' codes and its length.
     """
-    code = np.full(int(codes.max(initial=-1)) + 2, -1, np.int64)
+    code = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)
     code[kept] = np.arange(len(kept))
-    now = code[codes]
-    pairs, n = _neighbours(now, len(kept))
-    new, lengths = np.unique(pairs[pairs >= 0], return_counts=True)
-    return now.astype(np.int32), new // n, new % n, lengths
+    order, now = by_length(code[codes], len(kept))
+    n = max(len(kept), 1)
+    new, lengths = np.unique(_neighbours(now, n)[1], return_counts=True)
+    return now, order, new // n, new % n, lengths
 
 
-def _neighbours(now: np.ndarray, kept: int) -> tuple[np.ndarray, int]:
-    """The pair of lists at each position and the next, as one number; -1 where one of them is none."""
-    n = max(kept, 1)
-    return np.where((now[:-1] >= 0) & (now[1:] >= 0), now[:-1].astype(np.int64) * n + now[1:], -1), n
+def _neighbours(now: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a position and the next both have a list, and for those that do the pair as one number."""
+    both = (now[:-1] >= 0) & (now[1:] >= 0)
+    pairs = now[:-1][both].astype(np.int64)
+    pairs *= n
+    pairs += now[1:][both]
+    return both, pairs
 
 
 def lists_of_pairs(codes: np.ndarray, kept: int) -> np.ndarray:
     """The number, in order of its two parts, of the new list at each position; -1 for none."""
-    pairs, _ = _neighbours(codes, kept)
-    found = pairs >= 0
-    out = np.full(len(pairs), -1, np.int64)
-    out[found] = np.unique(pairs[found], return_inverse=True)[1]
+    both, pairs = _neighbours(codes, max(kept, 1))
+    out = np.full(len(both), -1, np.int32)
+    out[both] = np.unique(pairs, return_inverse=True)[1]
     return out
 
 
@@ -135,23 +169,24 @@ def _step(blocks: DataFrame, frequent: DataFrame, paired: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                codes, places = batch.column(1)[k].values.to_numpy(), batch.column(3)[k].values
+                codes, places = unpacked(batch.column(1)[k].as_py()), batch.column(3)[k].values
                 at, ids = places.field("at").to_numpy(), places.field("id").to_numpy()
                 order = np.argsort(at)
                 lists = lists_of_pairs(codes, batch.column(2)[k].as_py()) if paired else codes
-                now, left, right, counts = extended(lists, at[order])
-                ids = ids[order]
-                arrays = [pa.array([now], pa.list_(pa.int32())), pa.array([len(ids)], pa.int32()), *[pa.array([x], pa.list_(pa.int64())) for x in (ids[left], ids[right], counts)]]
+                now, longest, left, right, counts = extended(lists, at[order])
+                ids = ids[order][longest]
+                arrays = [pa.array([packed(now)], pa.binary()), pa.array([len(ids)], pa.int32()), *[pa.array([x], pa.list_(pa.int64())) for x in (ids[left], ids[right], counts)]]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *arrays], names)
 
     joined = blocks.join(frequent, "block").select("block", "codes", "kept" if paired else F.lit(0).alias("kept"), "places")
-    return joined.mapInArrow(run, "block long, codes array<int>, kept int, left array<long>, right array<long>, counts array<long>")
+    return joined.mapInArrow(run, "block long, codes binary, kept int, left array<long>, right array<long>, counts array<long>")
 
 
 def _frequent(lists: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Of lists (key, place, count): key, place, id and f, for those whose counts add up to `least`; id names a key."""
+    """Of lists (key, place, count): place and id, and once an id key and f, for those whose counts add up to `least`."""
     w = Window.partitionBy(*key)
-    return lists.select(*key, "place", F.min("place").over(w).alias("id"), F.sum("count").over(w).alias("f")).where(F.col("f") >= least)
+    told = lists.select(*key, "place", F.min("place").over(w).alias("id"), F.sum("count").over(w).alias("f")).where(F.col("f") >= least)
+    return told.select("place", "id", *[F.when(F.col("id") == F.col("place"), F.col(c)).alias(c) for c in (*key, "f")])
 
 
 def _told(found: DataFrame) -> DataFrame:
@@ -160,6 +195,22 @@ def _told(found: DataFrame) -> DataFrame:
     return found.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(at).alias("places"))
 
 
+class _Blocks:
+    """Tables of blocks in the scratch folder, bucketed by block, so that what blocks are told is joined without moving them."""
+
+    def __init__(self, scratch: Scratch):
+        self.scratch, self.spark = scratch, scratch.spark
+        self.buckets, self.prefix = int(self.spark.conf.get("spark.sql.shuffle.partitions")), f"lists_{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, k: int) -> DataFrame:
+        df.write.format("parquet").bucketBy(self.buckets, "block").option("path", f"{self.scratch.folder}/blocks-{k}").saveAsTable(f"{self.prefix}_{k}")
+        return self.spark.table(f"{self.prefix}_{k}")
+
+    def drop(self, k: int) -> None:
+        self.spark.sql(f"DROP TABLE {self.prefix}_{k}")
+        self.scratch.drop(f"blocks-{k}")
+
+
 def _place(block: str, at: str) -> Column:
     return F.shiftleft(F.col(block), PLACE_BITS).bitwiseOR(F.col(at).cast("long")).alias("place")
 
@@ -169,9 +220,10 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = LEAST, longest: i
     grp, n: the words of each group. heads[k - 1] is the frequency of the first k words, tails[k - 1] of the last k."""
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(group), F.lit("und")).alias("grp"), "text")
-    blocks = scratch.write(_blocks(rows), "blocks-1")
-    each = blocks.select("block", F.posexplode(F.arrays_zip("grps", "words", "counts")).alias("at", "list"))
-    lists = each.select(F.col("list.grps").alias("grp"), F.col("list.words").alias("word"), _place("block", "at"), F.col("list.counts").alias("count"))
+    tables = _Blocks(scratch)
+    blocks = tables.write(_blocks(rows), 1)
+    each = blocks.select("block", F.posexplode("words").alias("at", "word"), "grps", "counts")
+    lists = each.select(F.get("grps", "at").alias("grp"), "word", _place("block", "at"), F.get("counts", "at").alias("count"))
     totals = scratch.write(lists.groupBy("grp").agg(F.sum("count").alias("n")), "totals")
     found = scratch.write(_frequent(lists, ["grp", "word"], least), "found-1")
     none = F.expr("cast(array() as array<bigint>)")
@@ -179,10 +231,11 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = LEAST, longest: i
     level = scratch.write(level, "level-1")
     levels = [level]
     for k in range(2, longest + 1):
-        blocks = scratch.write(_step(blocks.select("block", "codes", *(["kept"] if k > 2 else [])), _told(found), k > 2), f"blocks-{k}")
-        scratch.drop(f"blocks-{k - 1}", f"found-{k - 1}")
-        each = blocks.select("block", F.posexplode(F.arrays_zip("left", "right", "counts")).alias("at", "list"))
-        lists = each.select("list.left", "list.right", _place("block", "at"), F.col("list.counts").alias("count"))
+        blocks = tables.write(_step(blocks.select("block", "codes", *(["kept"] if k > 2 else [])), _told(found), k > 2), k)
+        tables.drop(k - 1)
+        scratch.drop(f"found-{k - 1}")
+        each = blocks.select("block", F.posexplode("left").alias("at", "one"), "right", "counts")
+        lists = each.select(F.col("one").alias("left"), F.get("right", "at").alias("right"), _place("block", "at"), F.get("counts", "at").alias("count"))
         found = scratch.write(_frequent(lists, ["left", "right"], least), f"found-{k}")
         a = level.select("grp", F.col("id").alias("left"), F.col("phrase").alias("l_phrase"), F.array_append("heads", F.col("f")).alias("heads"))
         b = level.select(F.col("id").alias("right"), "last", F.array_append("tails", F.col("f")).alias("tails"))
@@ -190,6 +243,7 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = LEAST, longest: i
         level = own.select("grp", "id", "left", "right", F.concat_ws(" ", "l_phrase", "last").alias("phrase"), "last", F.lit(k).alias("length"), "f", "heads", "tails")
         level = scratch.write(level, f"level-{k}")
         levels.append(level)
+    tables.drop(longest)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
