@@ -635,4 +635,4 @@ def cq6_flat_lineage(spark, sf_dir):
     return rows.where("target_field = 'CUSTOMER_SEGMENT'").select("source_field", "dependency")
 
 
-from fieldweave.operators import dependency_queries  # noqa: E402, F401  (registers its queries; it needs the names above)
+from fieldweave.operators import dependency_queries, flow_queries  # noqa: E402, F401  (they register their queries and need the names above)
