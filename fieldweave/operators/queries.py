@@ -1,7 +1,6 @@
 """Registered queries of the lineage engine and the SQL that says the same.
 
-Where a query needs a repository-shaped input, it is derived from the parquet tables by the same rule in both, or is a
-small set of rows written out in both.
+Where a query needs a repository-shaped input, it is derived from the parquet tables by the same rule in both.
 """
 
 from __future__ import annotations
@@ -15,11 +14,9 @@ from fieldweave.functions import expressions as X
 from fieldweave.operators import graph, order, report, resolve, stitch
 from fieldweave.operators.expand import expansion
 from fieldweave.operators.trace import roots_of, trace
-from fieldweave.plans import catalog, dependency, lineage
+from fieldweave.plans import lineage
 from fieldweave.scratch import Scratch, numbered
-from fieldweave.sources.compact import document
-from fieldweave.sources.repository import Repository, cached, from_json
-from fieldweave.sources.sample import ENGINE_B, GOLDEN
+from fieldweave.sources.repository import Repository, cached
 from fieldweave.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
