@@ -91,8 +91,9 @@ ORACLE_SQL: dict[str, str] = digests.ORACLE_SQL | {
   w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p WHERE regexp_matches(p, '[^\x20\x09]')),
   n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
   f AS MATERIALIZED (SELECT lang, k, x, count(*) AS f FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS x FROM w, range(1, 5) t(k)) GROUP BY ALL HAVING count(*) >= 30),
-  c AS (SELECT c.lang, c.k, c.x, c.f, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * c.f // (l.f + r.f) AS BIGINT) AS score
-    FROM f c, range(1, 4) t(j), f l, f r WHERE j < c.k AND l.lang = c.lang AND l.x = c.x[:j] AND r.lang = c.lang AND r.x = c.x[j + 1:]),
+  d AS MATERIALIZED (SELECT lang, k, x, f, j, x[:j] AS head, x[j + 1:] AS tail FROM f, range(1, 4) t(j) WHERE j < k),
+  c AS (SELECT d.lang, d.k, d.x, d.f, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * d.f // (l.f + r.f) AS BIGINT) AS score
+    FROM d JOIN f l ON l.lang = d.lang AND l.x = d.head JOIN f r ON r.lang = d.lang AND r.x = d.tail),
   b AS (SELECT lang, k, x, f, l, r, score FROM c QUALIFY row_number() OVER (PARTITION BY lang, x ORDER BY score, j) = 1),
   o AS (SELECT lang, x[i:i + k - 1] AS x, max(f) AS longer FROM (SELECT f.lang, f.x, f.f, t.k, unnest(range(1, f.k - t.k + 2)) AS i FROM f, range(2, 4) t(k) WHERE t.k < f.k) GROUP BY ALL),
   g AS (SELECT b.lang, array_to_string(b.x, ' ') AS phrase, b.f AS a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.x = b.x WHERE longer IS NULL OR CAST(100 AS HUGEINT) * longer < CAST(80 AS HUGEINT) * b.f),
