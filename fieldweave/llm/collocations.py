@@ -9,9 +9,12 @@ told back to the blocks and extended, so both parts of every candidate are frequ
 a part of it). A block gets back the frequent phrases that it holds, by a join on its number; blocks are tables bucketed
 by it, so they stay where they are.
 
-A phrase's key is the pair of its two parts' ids, and an id is the place of one of its lists (block and number), unique
-among phrases of one length, so keys are exact, without hashes. A row of the count is one phrase in one block: a phrase in every text has as many rows as
-there are blocks of `BLOCK_BYTES`, whatever its frequency.
+A phrase's key is the pair of its two parts' ids, and ids are gapless numbers of the frequent phrases of one length, so
+keys are exact, without hashes. A block sends its lists of two words or more to the parts that count them, as one row a
+part: left ids, right ids and lengths in as few bytes as they need. Lists are dealt to parts by their key, with
+`PART_WORDS` positions to a part at most on average; a list is one entry in a block whatever its frequency, so a phrase in
+every text has as many entries as there are blocks. The part tells each block which of the lists sent are frequent, in the
+order they were sent, and their ids: a bit a list, and a number for each frequent one.
 
 A text is lower-cased (A-Z), cut into pieces at `.,;:!?` and the line and form feeds, and pieces into words at spaces and
 tabs. Phrases lie within pieces.
@@ -31,7 +34,7 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.llm.common import Scratch
@@ -41,6 +44,8 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 INSIDE = 80
 #: Bytes of a block's texts.
 BLOCK_BYTES = 8 << 20
+#: Words of the table to a part that counts lists.
+PART_WORDS = 1 << 21
 #: Bits of a partition's number, of a block's within it, and of a list's within its block: 63 in all.
 PART_BITS, BLOCK_BITS, PLACE_BITS = 22, 10, 31
 #: Shares of a group that are ranked apart first.
@@ -127,72 +132,158 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "block long, codes binary, words array<string>, grps array<string>, counts array<long>")
 
 
-def extended(codes: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One step in a block: positions of the lists that go on, and the lists that two neighbours make.
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, each in as many bytes as the largest needs, first all low bytes: high ones compress well."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
-    `codes`: the list at each position, -1 for none; `kept`: the lists that are frequent. Returns codes into the kept
-    lists, these from the longest, and for each new list, in order of its two parts, both parts' codes and its length.
-    """
-    code = np.full(int(codes.max(initial=-1)) + 2, -1, np.int32)
-    code[kept] = np.arange(len(kept))
-    order, now = by_length(code[codes], len(kept))
-    n = max(len(kept), 1)
-    new, lengths = np.unique(_neighbours(now, n)[1], return_counts=True)
-    return now, order, new // n, new % n, lengths
-
-
-def _neighbours(now: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether a position and the next both have a list, and for those that do the pair as one number."""
-    both = (now[:-1] >= 0) & (now[1:] >= 0)
-    pairs = now[:-1][both].astype(np.int64)
-    pairs *= n
-    pairs += now[1:][both]
+
+def numbers(body: bytes) -> np.ndarray:
+    width, n = body[0], (len(body) - 1) // body[0]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(body, np.uint8, offset=1).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def neighbours(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a position and the next both have one of n lists, and for those that do the pair as one number."""
+    both = (codes[:-1] >= 0) & (codes[1:] >= 0)
+    pairs = codes[:-1][both].astype(np.int64)
+    pairs *= max(n, 1)
+    pairs += codes[1:][both]
     return both, pairs
 
 
-def lists_of_pairs(codes: np.ndarray, kept: int) -> np.ndarray:
-    """The number, in order of its two parts, of the new list at each position; -1 for none."""
-    both, pairs = _neighbours(codes, max(kept, 1))
-    out = np.full(len(both), -1, np.int32)
-    out[both] = np.unique(pairs, return_inverse=True)[1]
-    return out
+def dealt(pairs: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """left and right ids of distinct pairs, their order by part, and where each part starts in it.
+
+    A part is a function of the two ids, so all blocks count a pair in one part, and a block finds its pairs again.
+    """
+    n = max(len(ids), 1)
+    left, right = ids[pairs // n], ids[pairs % n]
+    mixed = (left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    mixed = ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32)
+    part = (mixed % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.uint32)
+    return left, right, np.argsort(part, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
 
 
-def _step(blocks: DataFrame, frequent: DataFrame, paired: bool) -> DataFrame:
-    """Blocks with the lists of the next length: block, codes, kept, left, right, counts.
+def _lists(blocks: DataFrame, parts: int) -> DataFrame:
+    """The lists that two neighbours make: block, part, heads, sizes, tails, counts; a row for each part of a block.
 
-    `blocks`: block, codes, and kept where `paired`, for then lists are numbered by neighbours of the codes; `frequent`:
-    block, places (lists that are frequent and their ids).
+    heads: left ids in runs of sizes; tails and counts: the right id and the length of each list.
     """
-    names = ["block", "codes", "kept", "left", "right", "counts"]
+    names = ["block", "part", "heads", "sizes", "tails", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                codes, places = unpacked(batch.column(1)[k].as_py()), batch.column(3)[k].values
-                at, ids = places.field("at").to_numpy(), places.field("id").to_numpy()
-                order = np.argsort(at)
-                lists = lists_of_pairs(codes, batch.column(2)[k].as_py()) if paired else codes
-                now, longest, left, right, counts = extended(lists, at[order])
-                ids = ids[order][longest]
-                arrays = [pa.array([packed(now)], pa.binary()), pa.array([len(ids)], pa.int32()), *[pa.array([x], pa.list_(pa.int64())) for x in (ids[left], ids[right], counts)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *arrays], names)
-
-    joined = blocks.join(frequent, "block").select("block", "codes", "kept" if paired else F.lit(0).alias("kept"), "places")
-    return joined.mapInArrow(run, "block long, codes binary, kept int, left array<long>, right array<long>, counts array<long>")
-
-
-def _frequent(lists: DataFrame, key: list[str], least: int) -> DataFrame:
-    """Of lists (key, place, count): place and id, and once an id key and f, for those whose counts add up to `least`."""
-    w = Window.partitionBy(*key)
-    told = lists.select(*key, "place", F.min("place").over(w).alias("id"), F.sum("count").over(w).alias("f")).where(F.col("f") >= least)
-    return told.select("place", "id", *[F.when(F.col("id") == F.col("place"), F.col(c)).alias(c) for c in (*key, "f")])
-
+                ids = numbers(batch.column(2)[k].as_py())
+                new, counts = np.unique(neighbours(unpacked(batch.column(1)[k].as_py()), len(ids))[1], return_counts=True)
+                left, right, order, starts = dealt(new, ids, parts)
+                some, rows = np.flatnonzero(np.diff(starts)), []
+                for part in some.tolist():
+                    own = order[starts[part] : starts[part + 1]]
+                    runs = np.flatnonzero(np.concatenate([[True], np.diff(left[own]) != 0]))
+                    rows.append((planes(left[own][runs]), planes(np.diff(np.append(runs, len(own)))), planes(right[own]), planes(counts[own])))
+                if rows:
+                    columns = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(rows), pa.int64()), pa.array(some, pa.int32()), *columns], names)
+
+    return blocks.select("block", "codes", "ids").mapInArrow(run, "block long, part int, heads binary, sizes binary, tails binary, counts binary")
+
+
+def _counted(lists: DataFrame, least: int) -> DataFrame:
+    """Of each part, what its blocks are told, and the frequent phrases.
+
+    The former has block, mask (which of the block's lists in the part are frequent, in the order sent) and ranks (of
+    those); the latter left, right, f and rank (their place in the part).
+    """
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("mask", pa.binary()), ("ranks", pa.binary()), ("left", pa.int64()), ("right", pa.int64()), ("f", pa.int64()), ("rank", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        body = {c: [numbers(x.as_py()) for x in table.column(c)] for c in ("heads", "sizes", "tails", "counts")}
+        ends = np.cumsum([len(x) for x in body["tails"]])
+        left, right = np.repeat(np.concatenate(body["heads"]), np.concatenate(body["sizes"])), np.concatenate(body["tails"])
+        span = int(right.max()) + 1
+        if int(left.max()) < (1 << 63) // span - 1:
+            pairs = left * span + right
+        else:  # too large for one number: by place among the part's own ids
+            rights, at = np.unique(right, return_inverse=True)
+            pairs = np.unique(left, return_inverse=True)[1] * len(rights) + at
+        _, first, which = np.unique(pairs, return_index=True, return_inverse=True)
+        # Sums in doubles are exact below 2^53.
+        f = np.bincount(which, np.concatenate(body["counts"])).astype(np.int64)
+        kept = np.flatnonzero(f >= least)
+        rank = np.full(len(f), -1, np.int64)
+        rank[kept] = np.arange(len(kept))
+        blocks, masks, ranks = [], [], []
+        for block, own in zip(table.column("block").to_pylist(), np.split(rank[which], ends[:-1]), strict=True):
+            if (own >= 0).any():
+                blocks.append(block)
+                masks.append(np.packbits(own >= 0).tobytes())
+                ranks.append(planes(own[own >= 0]))
+        m, n, part = len(blocks), len(kept), table.column("part")[0].as_py()
+        none = lambda size, kind: pa.nulls(size, kind)
+        at = first[kept]
+        told = [pa.array([part] * m, pa.int32()), pa.array(blocks, pa.int64()), pa.array(masks, pa.binary()), pa.array(ranks, pa.binary()), *[none(m, pa.int64())] * 4]
+        found = [pa.array([part] * n, pa.int32()), none(n, pa.int64()), none(n, pa.binary()), none(n, pa.binary()), pa.array(left[at]), pa.array(right[at]), pa.array(f[kept]), pa.array(rank[kept])]
+        return pa.concat_tables([pa.Table.from_arrays(told, schema=schema), pa.Table.from_arrays(found, schema=schema)])
+
+    return lists.groupBy("part").applyInArrow(run, "part int, block long, mask binary, ranks binary, left long, right long, f long, rank long")
+
+
+def _next(blocks: DataFrame, told: DataFrame, starts: np.ndarray, parts: int) -> DataFrame:
+    """Blocks with the frequent ones of their lists, the longest first: block, codes, ids.
+
+    `blocks`: block, codes and, but for lists of one word, ids, as lists are numbered by neighbours of the codes then;
+    `told`: block, places; `starts`: the first id of each part.
+    """
+    names = ["block", "codes", "ids"]
 
-def _told(found: DataFrame) -> DataFrame:
-    """The frequent lists of each block: block, places."""
-    at = F.struct(F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"), "id")
-    return found.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(at).alias("places"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                codes, places = unpacked(batch.column(1)[k].as_py()), batch.column(3)[k].values
+                part = places.field("part").to_numpy()
+                if batch.column(2)[k].is_valid:
+                    ids = numbers(batch.column(2)[k].as_py())
+                    both, pairs = neighbours(codes, len(ids))
+                    new, which = np.unique(pairs, return_inverse=True)
+                    codes = np.full(len(both), -1, np.int32)
+                    codes[both] = which
+                    _, _, order, at = dealt(new, ids, parts)
+                    ranks = [numbers(x.as_py()) for x in places.field("ranks")]
+                    own = [order[at[p] : at[p + 1]] for p in part.tolist()]
+                    kept = np.concatenate([x[np.unpackbits(np.frombuffer(mask.as_py(), np.uint8), count=len(x)) > 0] for x, mask in zip(own, places.field("mask"), strict=True)])
+                    ids = np.repeat(starts[part], [len(x) for x in ranks]) + np.concatenate(ranks)
+                else:
+                    kept, ids = places.field("at").to_numpy(), starts[part] + places.field("rank").to_numpy()
+                code = np.full(max(int(codes.max(initial=-1)), int(kept.max(initial=-1))) + 2, -1, np.int32)
+                code[kept] = np.arange(len(kept))
+                longest, now = by_length(code[codes], len(kept))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([packed(now)], pa.binary()), pa.array([planes(ids[longest])], pa.binary())], names)
+
+    ids = "ids" if "ids" in blocks.columns else F.lit(None).cast("binary").alias("ids")
+    joined = blocks.join(told, "block").select("block", "codes", ids, "places")
+    return joined.mapInArrow(run, "block long, codes binary, ids binary")
+
+
+def _frequent_words(lists: DataFrame, least: int, parts: int) -> DataFrame:
+    """Of lists of one word: part, place and rank, and once a word grp, word and f, for those frequent; one shuffle."""
+    each, w = ["part", "grp", "word"], Window.partitionBy("part", "grp", "word")
+    some = lists.select(F.pmod(F.xxhash64("grp", "word"), F.lit(parts)).cast("int").alias("part"), "grp", "word", "place", "count").repartition(parts, "part")
+    some = some.select(*each, "place", F.min("place").over(w).alias("first"), F.sum("count").over(w).alias("f")).where(F.col("f") >= least)
+    rank = (F.dense_rank().over(Window.partitionBy("part").orderBy("grp", "word")) - 1).cast("long").alias("rank")
+    return some.select("*", rank).select("part", "place", "rank", *[F.when(F.col("place") == F.col("first"), F.col(c)).alias(c) for c in ("grp", "word", "f")])
+
+
+def _starts(found: DataFrame, parts: int) -> tuple[np.ndarray, DataFrame]:
+    """The first id of each part, as an array and as a table: ids are gapless. One number a part comes to the driver."""
+    sizes = np.zeros(parts + 1, np.int64)
+    for part, n in found.groupBy("part").agg(F.max("rank") + 1).where("part is not null").collect():
+        sizes[part + 1] = n or 0
+    starts = np.cumsum(sizes)[:-1]
+    return starts, found.sparkSession.createDataFrame(list(enumerate(starts.tolist())), "part int, start long")
 
 
 class _Blocks:
@@ -211,10 +302,6 @@ class _Blocks:
         self.scratch.drop(f"blocks-{k}")
 
 
-def _place(block: str, at: str) -> Column:
-    return F.shiftleft(F.col(block), PLACE_BITS).bitwiseOR(F.col(at).cast("long")).alias("place")
-
-
 def phrases(docs: DataFrame, group: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): grp, id, parts (left, right), phrase, length, f, heads and tails of every frequent phrase, and
     grp, n: the words of each group. heads[k - 1] is the frequency of the first k words, tails[k - 1] of the last k."""
@@ -223,23 +310,31 @@ def phrases(docs: DataFrame, group: str = "lang", least: int = LEAST, longest: i
     tables = _Blocks(scratch)
     blocks = tables.write(_blocks(rows), 1)
     each = blocks.select("block", F.posexplode("words").alias("at", "word"), "grps", "counts")
-    lists = each.select(F.get("grps", "at").alias("grp"), "word", _place("block", "at"), F.get("counts", "at").alias("count"))
+    place = F.shiftleft("block", PLACE_BITS).bitwiseOR(F.col("at").cast("long")).alias("place")
+    lists = each.select(F.get("grps", "at").alias("grp"), "word", place, F.get("counts", "at").alias("count"))
     totals = scratch.write(lists.groupBy("grp").agg(F.sum("count").alias("n")), "totals")
-    found = scratch.write(_frequent(lists, ["grp", "word"], least), "found-1")
-    none = F.expr("cast(array() as array<bigint>)")
-    level = found.where("id = place").select("grp", "id", F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.lit(1).alias("length"), "f", none.alias("heads"), none.alias("tails"))
+    parts = tables.buckets
+    found = scratch.write(_frequent_words(lists, least, parts), "found-1")
+    starts, table = _starts(found, parts)
+    at = F.struct("part", "rank", F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("at"))
+    told = found.groupBy(F.shiftright("place", PLACE_BITS).alias("block")).agg(F.collect_list(at).alias("places"))
+    none, id_ = F.expr("cast(array() as array<bigint>)"), (F.col("start") + F.col("rank")).alias("id")
+    own = found.where("f is not null").join(F.broadcast(table), "part")
+    level = own.select("grp", id_, F.lit(None).cast("long").alias("left"), F.lit(None).cast("long").alias("right"), F.col("word").alias("phrase"), F.col("word").alias("last"), F.lit(1).alias("length"), "f", none.alias("heads"), none.alias("tails"))
     level = scratch.write(level, "level-1")
     levels = [level]
+    total = totals.agg(F.sum("n")).first()[0] or 0
     for k in range(2, longest + 1):
-        blocks = tables.write(_step(blocks.select("block", "codes", *(["kept"] if k > 2 else [])), _told(found), k > 2), k)
+        blocks = tables.write(_next(blocks.select("block", "codes", *(["ids"] if k > 2 else [])), told, starts, parts), k)
         tables.drop(k - 1)
         scratch.drop(f"found-{k - 1}")
-        each = blocks.select("block", F.posexplode("left").alias("at", "one"), "right", "counts")
-        lists = each.select(F.col("one").alias("left"), F.get("right", "at").alias("right"), _place("block", "at"), F.get("counts", "at").alias("count"))
-        found = scratch.write(_frequent(lists, ["left", "right"], least), f"found-{k}")
+        parts = max(tables.buckets, int(total) // PART_WORDS)
+        found = scratch.write(_counted(_lists(blocks, parts), least), f"found-{k}")
+        starts, table = _starts(found, parts)
+        told = found.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("part", "mask", "ranks")).alias("places"))
         a = level.select("grp", F.col("id").alias("left"), F.col("phrase").alias("l_phrase"), F.array_append("heads", F.col("f")).alias("heads"))
         b = level.select(F.col("id").alias("right"), "last", F.array_append("tails", F.col("f")).alias("tails"))
-        own = found.where("id = place").select("id", "left", "right", "f").join(a, "left").join(b, "right")
+        own = found.where("f is not null").join(F.broadcast(table), "part").select(id_, "left", "right", "f").join(a, "left").join(b, "right")
         level = own.select("grp", "id", "left", "right", F.concat_ws(" ", "l_phrase", "last").alias("phrase"), "last", F.lit(k).alias("length"), "f", "heads", "tails")
         level = scratch.write(level, f"level-{k}")
         levels.append(level)
