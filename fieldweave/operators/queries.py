@@ -491,4 +491,4 @@ def f16_clean_ids(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_name").alias("id"), X.clean_id(F.lit("N"), F.col("n_name"), F.col("n_nationkey").cast("string")).alias("clean"))
 
 
-from fieldweave.operators import dependency_queries, flow_queries, repository_queries  # noqa: E402, F401  (they register their queries and need the names above)
+from fieldweave.operators import dependency_queries, flow_queries, mapplet_queries, repository_queries  # noqa: E402, F401  (they register their queries and need the names above)
