@@ -13,11 +13,13 @@ from fieldweave.operators.trace import roots_of, trace
 from fieldweave.scratch import Scratch
 from fieldweave.sources.repository import SCOPE, Repository
 
+# Column names of the shown tables.
 DISPLAY = ["Transformation Name", "PORT_NAME", "Transformation Type", "Business Logic", "Additional Informations", "Category", "Input Ports", "Output Ports", "Custom / Variable Ports"]
 MAPPLET_DISPLAY = [
     "Mapping_Name", "Mapplet_name", "Input Transformation Field", "Transformation_lineage", "Output Transformation Field", "Upstream HOP/Prev_Transformation_name",
     "Upstream_HOP/Prev_Transformation_attribute", "Downstream_HOP/Next_Transformation_name", "Downstream_HOP/next_Transformation_attribute",
 ]
+# Fixed values end.
 OWNER = [*SCOPE, "instance"]
 
 
