@@ -7,7 +7,7 @@ Every row is encoded by the sentencepiece library as well and compared (column `
 
 Edge cases: null and empty texts have no ids and decode to an empty text; control strings such as `<s>` inside texts
 are ordinary text; repeated rows are encoded alike; an empty table gives an empty result; other columns are passed on
-by `encode` untouched unless they are called ids.
+by `encode` untouched unless they are called ids, decoded_ok or parity, which its own columns replace.
 """
 
 from __future__ import annotations

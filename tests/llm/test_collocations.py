@@ -62,3 +62,31 @@ def test_edge_rows(spark):
 def test_query(spark, data):
     got = [r.asDict() for r in QUERIES["op11_collocations"](spark, data).collect()]
     assert normal(got) == normal(run_sql(ORACLE_SQL["op11_collocations"], data))
+
+
+@pytest.mark.parametrize("offset", [0, 1 << 40])
+def test_lists_are_counted_in_parts(spark, offset):
+    """Ids that fit one number as a pair and those that don't; each block is told its frequent lists in the order sent."""
+    rng = np.random.default_rng(offset % 7)
+    sent, f = {}, Counter()
+    for block in range(4):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 6, (20, 2))})
+        sent[block] = [(a + offset, b + offset, int(n)) for (a, b), n in zip(pairs, rng.integers(1, 300, len(pairs)), strict=True)]
+        for a, b, n in sent[block]:
+            f[a, b] += n
+    rows = [(block, 3, *[bytearray(collocations.planes(np.array(x))) for x in ([a for a, _, _ in lists], [1] * len(lists), [b for _, b, _ in lists], [n for _, _, n in lists])]) for block, lists in sent.items()]
+    df = spark.createDataFrame(rows, "block long, part int, heads binary, sizes binary, tails binary, counts binary")
+    got = collocations._counted(df, 300).collect()
+    found = {(r["left"], r["right"]): (r["f"], r["rank"]) for r in got if r["f"] is not None}
+    assert {p: n for p, (n, _) in found.items()} == {p: n for p, n in f.items() if n >= 300}
+    assert sorted(rank for _, rank in found.values()) == list(range(len(found)))
+    for r in (r for r in got if r["block"] is not None):
+        hit = np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=len(sent[r["block"]]))
+        told = [p[:2] for p, h in zip(sent[r["block"]], hit, strict=True) if h]
+        assert told == [p[:2] for p in sent[r["block"]] if p[:2] in found]
+        assert collocations.numbers(r["ranks"]).tolist() == [found[p][1] for p in told]
+
+
+@pytest.mark.parametrize("values", [[], [0], [255, 256, 0], [1 << 40, 3]])
+def test_planes(values):
+    assert collocations.numbers(collocations.planes(np.array(values, np.int64))).tolist() == values
