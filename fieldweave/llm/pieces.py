@@ -2,7 +2,8 @@
 
 The model file's protobuf is read here field by field; from it the library's normaliser, metaspace mark, model (unigram
 scores, or merges ranked by a BPE model's scores) and byte fallback are rebuilt. The driver reads the model once and
-tasks get its bytes with the plan, so executors need no local file. Batches are encoded by the library's own threads.
+tasks get its bytes with the plan, so executors need no local file. Where a BPE model's words are encoded apart, each is
+encoded once while its worker remembers it; other texts are encoded in batches by the library's own threads.
 Every row is encoded by the sentencepiece library as well and compared (column `parity`).
 
 Edge cases: null and empty texts have no ids and decode to an empty text; control strings such as `<s>` inside texts
@@ -13,10 +14,12 @@ by `encode` untouched unless they are called ids, decoded_ok or parity, which it
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Rows encoded at once, and the share of rows (one in so many, by hash) that the parity column compares: all of them.
 BATCH_ROWS, PARITY_EVERY = 256, 1
 MARK = "▁"
+#: A word and the marks before it, or marks at the end of a text.
+WORD = f"{MARK}*[^{MARK}]+|{MARK}+"
+#: Most words whose ids a worker remembers, and the most letters of one.
+KNOWN_WORDS, KNOWN_LETTERS = 200_000, 40
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -101,6 +108,11 @@ def merges_of(model: PieceModel) -> list[tuple[str, str]]:
     return [(a, b) for *_, a, b in sorted(found)]
 
 
+def words_apart(model: PieceModel) -> bool:
+    """Whether each word with the marks before it is encoded by itself: no piece of a BPE model has a mark after another character, so nothing merges across the start of a run of marks."""
+    return model.algorithm == 2 and not any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
+
+
 def build_tokenizer(model: PieceModel):
     """The tokenizers library's tokenizer with the model's normaliser, vocabulary and byte fallback."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
@@ -125,10 +137,8 @@ def build_tokenizer(model: PieceModel):
     if model.dummy_prefix:
         steps.append(normalizers.Prepend(MARK))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", MARK)])
-    inner = any(MARK in p.lstrip(MARK) for p, _, kind in model.pieces if kind in (NORMAL, USER))
-    if not inner and model.algorithm == 2:
-        # No piece has a mark after another character, so nothing merges across the start of a run of marks.
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}*[^{MARK}]+|{MARK}+"), "isolated")
+    if words_apart(model):
+        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     elif model.algorithm == 1 and model.byte_fallback:
         # A byte piece's name in a text is ordinary text: it is cut after its first character.
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex("<(?=0x[0-9A-F]{2}>)"), "merged_with_previous")
@@ -169,16 +179,35 @@ def read_model(path: str = MODEL_PATH) -> bytes:
         return file.read()
 
 
+def encode_words(tokenizer, texts: list[str], known: dict[str, list[int]], plain: bool = False) -> list[list[int]]:
+    """Ids of texts whose words are encoded apart: each word once while `known` remembers it. `plain`: normalising only puts marks."""
+    marked = (lambda x: MARK + x.replace(" ", MARK)) if plain else tokenizer.normalizer.normalize_str
+    out = []
+    for text in texts:
+        ids: list[int] = []
+        for word in re.findall(WORD, marked(text)) if text else ():
+            got = known.get(word)
+            if got is None:
+                got = [x.id for x in tokenizer.model.tokenize(word)]
+                if len(word) <= KNOWN_LETTERS:
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    known[word] = got
+            ids += got
+        out.append(ids)
+    return out
+
+
 _BUILT: dict[int, tuple] = {}
 
 
 def _tools(data: bytes, threads: int) -> tuple:
-    """Model, tokenizer and piece table, built once in each worker."""
+    """Model, tokenizer, piece table and ids of known words (None where words aren't encoded apart), built once in each worker."""
     key = zlib.crc32(data)
     if key not in _BUILT:
         os.environ["TOKENIZERS_PARALLELISM"], os.environ["RAYON_NUM_THREADS"] = "true" if threads > 1 else "false", str(threads)
         model = PieceModel.parse(data)
-        _BUILT[key] = (model, build_tokenizer(model), piece_bytes(model))
+        _BUILT[key] = (model, build_tokenizer(model), piece_bytes(model), {} if words_apart(model) else None)
     return _BUILT[key]
 
 
@@ -191,13 +220,14 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int =
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names] + ["ids array<int>", "decoded_ok boolean", "parity boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built, tokenizer, table = _tools(data, threads)
+        built, tokenizer, table, known = _tools(data, threads)
+        plain = built.dummy_prefix and not built.squeeze and not built.charsmap
         library = None
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(at, BATCH_ROWS)
                 texts = [x or "" for x in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                ids = [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                ids = encode_words(tokenizer, texts, known, plain) if known is not None else [x.ids for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
                 normal = [normalised(built, tokenizer, x) for x in texts]
                 fine = [decode_ids(table, i, built.dummy_prefix) == x for i, x in zip(ids, normal, strict=True)]
                 parity: list[bool | None] = [None] * len(texts)
@@ -208,7 +238,7 @@ def encode(docs: DataFrame, model: bytes, threads: int = 2, parity_every: int =
                         library = sentencepiece.SentencePieceProcessor(model_proto=data)
                     for k in chosen:
                         parity[k] = library.encode(texts[k]) == ids[k]
-                flat = np.fromiter((i for x in ids for i in x), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in names]
@@ -224,7 +254,7 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields if f.name in names] + ["decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built, _, table = _tools(model, 1)
+        built, _, table, _ = _tools(model, 1)
         for batch in batches:
             rows = batch.column(batch.schema.get_field_index(ids)).to_pylist()
             texts = pa.array([decode_ids(table, x or [], built.dummy_prefix) for x in rows], pa.string())
