@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -48,31 +50,106 @@ def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns).distinct()
 
 
-def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+#: Edges that taking out one node may add, beyond those that it takes out.
+FILL = 3
+
+
+@dataclass
+class Cut:
+    """A round of `eliminate`: what was taken out, and the edges it had then."""
+
+    nodes: DataFrame  # node
+    into: DataFrame  # node, other, w: edges from other
+    out: DataFrame  # node, other, w: edges to other
+
+
+def eliminate(edges: DataFrame, scratch: Scratch, name: str) -> tuple[list[Cut], DataFrame, DataFrame]:
+    """(rounds, core, base): takes nodes out of a graph, a share of them each round, so that chains of n take about log n rounds.
+
+    `edges`: src, dst. Nodes taken out in one round have no edges between them; each leaves an edge from every node before
+    it to every one behind it, with the length w of the longest way, so who reaches whom stays as it was. Nodes that
+    would add many edges wait; those without an edge in or out never do. core: what is left when all nodes wait, empty if
+    the graph has no cycle. base: node, base: the longest way to a node from nodes taken out before. A cycle through what was
+    taken out shows as a node that some other both leads to and is led to by.
+    """
+    open_ = scratch.write(edges.select("src", "dst", F.lit(1).alias("w")), f"{name}-open0")
+    rounds: list[Cut] = []
+    base = None
+    for k in count(1):
+        if open_.isEmpty():
+            break
+        n_in, n_out = open_.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.lit(0).alias("o")), open_.groupBy(F.col("src").alias("node")).agg(F.lit(0).alias("i"), F.count("*").alias("o"))
+        size = n_in.unionByName(n_out).groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        may = size.where(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + FILL)
+        may = scratch.write(may.select("node", F.struct((F.col("i") * F.col("o")).alias("cost"), F.xxhash64("node", F.lit(k)).alias("h"), "node").alias("turn")), f"{name}-may{k}")
+        met = open_.join(may.select(F.col("node").alias("src"), F.col("turn").alias("t_src")), "src").join(may.select(F.col("node").alias("dst"), F.col("turn").alias("t_dst")), "dst")
+        later = met.select(F.when(F.col("t_src") > F.col("t_dst"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
+        cut = scratch.write(may.select("node").join(later, "node", "left_anti"), f"{name}-cut{k}")
+        if cut.isEmpty():
+            break
+        into = scratch.write(open_.join(cut.select(F.col("node").alias("dst")), "dst").select(F.col("dst").alias("node"), F.col("src").alias("other"), "w"), f"{name}-into{k}")
+        out = scratch.write(open_.join(cut.select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("other"), "w"), f"{name}-out{k}")
+        rounds.append(Cut(cut, into, out))
+        # Ways that begin at what was taken out.
+        from_ = out.select("node", "other", "w")
+        if base is not None:
+            from_ = from_.join(base, "node", "left").select("node", "other", (F.col("w") + F.coalesce("base", F.lit(0))).alias("w"))
+        more = from_.groupBy(F.col("other").alias("node")).agg(F.max("w").alias("base"))
+        base = scratch.write(more if base is None else base.unionByName(more).groupBy("node").agg(F.max("base").alias("base")), f"{name}-base{k}")
+        ways = into.select("node", F.col("other").alias("src"), F.col("w").alias("w1")).join(out.select("node", F.col("other").alias("dst"), F.col("w").alias("w2")), "node").where("src <> dst").select("src", "dst", (F.col("w1") + F.col("w2")).alias("w"))
+        rest = open_.join(cut.select(F.col("node").alias("src")), "src", "left_anti").join(cut.select(F.col("node").alias("dst")), "dst", "left_anti")
+        open_ = scratch.write(rest.select("src", "dst", "w").unionByName(ways).groupBy("src", "dst").agg(F.max("w").alias("w")), f"{name}-open{k}")
+    return rounds, open_, base
+
+
+def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "levels") -> DataFrame:
     """GR13: node, level: 0 without predecessors, else one more than the highest predecessor's. Edges src to dst, acyclic.
 
-    Each round takes the nodes that no open node leads to. A round without such nodes means a cycle: ValueError.
+    Nodes are taken out, and put back in the opposite order, each behind those that led to it. A cycle: ValueError.
     """
-    open_, links = scratch.write(nodes.select("node").distinct(), "open0"), scratch.write(subgraph(nodes, edges.select("src", "dst")), "links0")
-    found = None
-    for k in count():
-        heads = scratch.write(open_.join(links.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("level")), f"levels{k}")
-        found = heads if found is None else found.unionByName(heads)
-        if heads.isEmpty():
-            if open_.isEmpty():
-                return found
-            raise ValueError("the graph has a cycle")
-        open_ = scratch.write(open_.join(heads, "node", "left_anti"), f"open{k + 1}")
-        links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{k + 1}")
+    own = scratch.write(nodes.select("node").distinct(), f"{name}-nodes")
+    rounds, core, base = eliminate(subgraph(own, edges.select("src", "dst")), scratch, name)
+    loops = [r.into.join(r.out.select("node", "other"), ["node", "other"], "left_semi") for r in rounds]
+    if not core.isEmpty() or any(not x.isEmpty() for x in loops) or not edges.where("src = dst").join(own, F.col("src") == F.col("node"), "left_semi").isEmpty():
+        raise ValueError("the graph has a cycle")
+    if base is None:
+        return own.select("node", F.lit(0).alias("level"))
+    lowest = lambda df: df.join(base, "node", "left").withColumn("base", F.coalesce("base", F.lit(0)))
+    gone = reduce(DataFrame.unionByName, [r.nodes for r in rounds])
+    found = scratch.write(lowest(own.join(gone, "node", "left_anti")).select("node", F.col("base").alias("level")), f"{name}-left")
+    for k, r in reversed(list(enumerate(rounds))):
+        led = r.into.join(found.select(F.col("node").alias("other"), "level"), "other").groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("led"))
+        put = lowest(r.nodes).join(led, "node", "left").select("node", F.greatest("base", F.coalesce("led", F.lit(0))).alias("level"))
+        found = found.unionByName(scratch.write(put, f"{name}-put{k}"))
+    return found
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "strong") -> DataFrame:
     """node, component: the least node of those that each other reach by edges src to dst; a node on no cycle is its own.
 
+    Nodes are taken out by `eliminate`, which keeps who reaches whom, and the components of the core are found. Put back in the
+    opposite order, a node is of the component that it both leads to and is led to by, if there is one.
+    """
+    own = nodes.select("node").distinct()
+    rounds, core, _ = eliminate(subgraph(nodes, edges.select("src", "dst")).where("src <> dst"), scratch, f"{name}-cut")
+    found = _core_components(core, scratch, name)
+    for k, r in reversed(list(enumerate(rounds))):
+        of = lambda side: (side.join(found.select(F.col("node").alias("other"), "component"), "other", "left") if found is not None else side.withColumn("component", F.lit(None).cast(side.schema["other"].dataType))).select("node", F.coalesce("component", "other").alias("component"))  # noqa: B023, E731
+        put = scratch.write(of(r.into).join(of(r.out), ["node", "component"], "left_semi").distinct(), f"{name}-put{k}")
+        found = put if found is None else found.unionByName(put)
+    if found is None:
+        return own.select("node", F.col("node").alias("component"))
+    named = own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("named"))
+    return named.join(named.groupBy("named").agg(F.min("node").alias("component")), "named").select("node", "component")
+
+
+def _core_components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame | None:
+    """node, component of nodes on cycles of `edges`, for graphs whose nodes have many edges; None if there is none.
+
     Nodes without an open edge in or out are done, round by round. Of the rest each takes the least node that reaches it;
     a node that is its own least, and what reaches it among those that took it, are a component. All colours go on at once.
     """
-    open_ = scratch.write(subgraph(nodes, edges.select("src", "dst")).where("src <> dst"), f"{name}-0")
+    open_ = edges.select("src", "dst")
     found = None
     for k in count(1):
         for t in count():
@@ -100,10 +177,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name
         part = scratch.write(color.join(met, "node", "left_semi").select("node", F.col("color").alias("component")), f"{name}-{k}-part")
         found = part if found is None else found.unionByName(part)
         open_ = scratch.write(open_.join(part.select(F.col("node").alias("src")), "src", "left_anti").join(part.select(F.col("node").alias("dst")), "dst", "left_anti"), f"{name}-{k}-open")
-    own = nodes.select("node").distinct()
-    if found is None:
-        return own.select("node", F.col("node").alias("component"))
-    return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    return found
 
 
 def break_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
