@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -102,26 +101,22 @@ def eliminate(edges: DataFrame, scratch: Scratch, name: str) -> tuple[list[Cut],
     return rounds, open_, base
 
 
-def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "levels") -> DataFrame:
+def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GR13: node, level: 0 without predecessors, else one more than the highest predecessor's. Edges src to dst, acyclic.
 
-    Nodes are taken out, and put back in the opposite order, each behind those that led to it. A cycle: ValueError.
+    Each round takes the nodes that no open node leads to. A round without such nodes means a cycle: ValueError.
     """
-    own = scratch.write(nodes.select("node").distinct(), f"{name}-nodes")
-    rounds, core, base = eliminate(subgraph(own, edges.select("src", "dst")), scratch, name)
-    loops = [r.into.join(r.out.select("node", "other"), ["node", "other"], "left_semi") for r in rounds]
-    if not core.isEmpty() or any(not x.isEmpty() for x in loops) or not edges.where("src = dst").join(own, F.col("src") == F.col("node"), "left_semi").isEmpty():
-        raise ValueError("the graph has a cycle")
-    if base is None:
-        return own.select("node", F.lit(0).alias("level"))
-    lowest = lambda df: df.join(base, "node", "left").withColumn("base", F.coalesce("base", F.lit(0)))
-    gone = reduce(DataFrame.unionByName, [r.nodes for r in rounds])
-    found = scratch.write(lowest(own.join(gone, "node", "left_anti")).select("node", F.col("base").alias("level")), f"{name}-left")
-    for k, r in reversed(list(enumerate(rounds))):
-        led = r.into.join(found.select(F.col("node").alias("other"), "level"), "other").groupBy("node").agg(F.max(F.col("level") + F.col("w")).alias("led"))
-        put = lowest(r.nodes).join(led, "node", "left").select("node", F.greatest("base", F.coalesce("led", F.lit(0))).alias("level"))
-        found = found.unionByName(scratch.write(put, f"{name}-put{k}"))
-    return found
+    open_, links = scratch.write(nodes.select("node").distinct(), "open0"), scratch.write(subgraph(nodes, edges.select("src", "dst")), "links0")
+    found = None
+    for k in count():
+        heads = scratch.write(open_.join(links.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("level")), f"levels{k}")
+        found = heads if found is None else found.unionByName(heads)
+        if heads.isEmpty():
+            if open_.isEmpty():
+                return found
+            raise ValueError("the graph has a cycle")
+        open_ = scratch.write(open_.join(heads, "node", "left_anti"), f"open{k + 1}")
+        links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{k + 1}")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "strong") -> DataFrame:
