@@ -256,18 +256,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str, tasks: int = 1) ->
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
-    """Sizes near enough, and the smaller one's place within the shorter prefix that the smaller side of a pair needs."""
-    na, nb, pa_, pb = F.col(f"n_{a}"), F.col(f"n_{b}"), F.col(f"pos_{a}"), F.col(f"pos_{b}")
-    small, large = F.least(na, nb), F.greatest(na, nb)
-    short = lambda n, p: p < n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
-    return (small * 100 >= large * percent) & F.when(na < nb, short(na, pa_)).when(nb < na, short(nb, pb)).otherwise(short(na, pa_) | short(nb, pb))
+    """Whether both sets hold, from this shingle on, as many shingles as a link of two such sizes takes in common.
+
+    A linked pair passes at its first common shingle, as all its others come later in both sets. So rows that don't pass
+    are no loss, and those of sets that merely share a rare shingle, which grow with the square of its holders, end here.
+    """
+    na, nb = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return F.least(na - F.col(f"pos_{a}"), nb - F.col(f"pos_{b}")) * (100 + percent) >= (na + nb) * percent
 
 
-def _filtered(pairs: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose first common shingle leaves room for enough others."""
-    pairs = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("n_a", "n_b", "pos_a", "pos_b")])
-    room = 1 + F.least(F.col("n_a") - F.col("pos_a") - 1, F.col("n_b") - F.col("pos_b") - 1)
-    return pairs.where(room * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent).select("a", "b", "n_a", "n_b")
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Each pair of these rows once."""
+    return rows.groupBy("a", "b").agg(F.min("n_a").alias("n_a"), F.min("n_b").alias("n_b"))
 
 
 def _room(differ: Column, percent: int) -> Column:
@@ -352,7 +352,7 @@ def _joined(prefixes: DataFrame, classes: DataFrame, texts_of, percent: int, wor
         hubs = held.groupBy("shingle").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(first.alias("first"), F.xxhash64("g", F.lit(k)).alias("h"), "g", "n", "pos", "c")).alias("hub")).where("lo < hi")
         open_ = held.join(hubs.select("shingle", "hub"), "shingle")
         star = open_.select(F.col("g").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"), F.col("c").alias("c_b"), *[F.col(f"hub.{x}").alias(y) for x, y in (("g", "a"), ("n", "n_a"), ("pos", "pos_a"), ("c", "c_a"))])
-        star = _filtered(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)), percent)
+        star = _pairs(star.where((F.col("a") != F.col("b")) & (F.col("c_a") != F.col("c_b")) & _fits("a", "b", percent)))
         star = _wide_allow(star, bitmaps, percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.write(star.join(tested, ["a", "b"], "left_anti"), f"star-{k}")
         buckets = scratch.write(open_.select("shingle", "g", "n", "pos"), f"buckets-{k}")
@@ -370,7 +370,7 @@ def _joined(prefixes: DataFrame, classes: DataFrame, texts_of, percent: int, wor
     mapped = held.join(apart, "shingle", "left_semi").join(bitmaps.select(F.col("node").alias("g"), "bits"), "g", "left")
     one, two = (mapped.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in ("g", "n", "pos", "c", "bits")]) for s in "ab")
     rest = one.join(two, "shingle").where((F.col("c_a") != F.col("c_b")) & (F.col("g_a") < F.col("g_b")) & _fits("a", "b", percent) & _narrow_allow(percent))
-    rest = _wide_allow(_filtered(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"}), percent), bitmaps, percent)
+    rest = _wide_allow(_pairs(rest.withColumnsRenamed({"g_a": "a", "g_b": "b"})), bitmaps, percent)
     # Expand groups into members.
     whole = members.select("g", "m").unionByName(members.select("g", F.col("g").alias("m"))).distinct()
     for side in "ab":
