@@ -29,7 +29,8 @@ def transformation_catalog(repo: Repository, scratch: Scratch, scope_kind: str =
     The port's expression closure inside the transformation gives its input, output and variable ports and, dependencies
     first, its logic. Adds _Mapping or Mapplet_Name and _Mapplet, and _Port. Equal rows are one; sorted when shown.
     """
-    ports = instance_ports(resolved_instances(repo), repo).where((F.col("scope_kind") == scope_kind) & (F.col("type") == "TRANSFORMATION"))
+    inst = scratch.write(resolved_instances(repo), f"instances-{scope_kind}")
+    ports = instance_ports(inst, repo).where((F.col("scope_kind") == scope_kind) & (F.col("type") == "TRANSFORMATION"))
     kept = [*OWNER, "transformation_type", "d_attrs", F.col("p_port").alias("port"), F.col("p_porttype").alias("porttype"), F.col("p_expression").alias("expr"), F.col("p_attrs").alias("port_attrs"), F.col("p_grp").alias("grp"), "d_kind", "d_scope", "transformation_name"]
     ports = scratch.write(ports.select(*kept, port_class(F.col("p_port"), F.col("p_porttype"), F.col("p_expression")).alias("class")), f"ports-{scope_kind}")
     roots = ports.where("class.is_out or class.is_var or not class.is_in")
@@ -71,7 +72,8 @@ def mapplet_catalog(repo: Repository, scratch: Scratch, steps: DataFrame | None
 
     Upstream and downstream are the first connectors of the mapping at the mapplet's exposed ports.
     """
-    inst = resolved_instances(repo)
+    # Written, so that few instances are broadcast and their very many ports are not dealt by so few names.
+    inst = scratch.write(resolved_instances(repo), "catalog-instances")
     out = boundary_ports(instance_ports(inst, repo), "output")
     roots = out.select("folder", F.lit("MAPPLET").alias("scope_kind"), F.col("mapplet").alias("scope"), "instance", F.col("port").alias("field"))
     leaves = trace(roots_of(roots, ["folder", "scope", "instance", "field"]), steps if steps is not None else expansion(repo, scratch), scratch, "mapplet-trace").where("leaf_type = 'scope_input_boundary'")
