@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldweave.functions import expressions as X
 from fieldweave.operators.dependency_queries import _shaped
-from fieldweave.operators.expand import expansion
+from fieldweave.operators.expand import TRACED, expansion
 from fieldweave.operators.queries import _tables_repo, query
 from fieldweave.operators.trace import roots_of, trace
 from fieldweave.plans import catalog, lineage
@@ -74,7 +74,7 @@ SELECT 'm' || p.n AS mapping, 'F' || p.c AS field, CASE WHEN o.n = p.n THEN 'sou
 def gr3_mapplet_trace(spark, sf_dir):
     """GR3, J15, J16: every target field through its region's mapplet, by exposed names; another nation's customers are not wired."""
     scratch = Scratch(spark)
-    repo = cached(_mapplets_repo(spark, sf_dir), scratch)
+    repo = cached(_mapplets_repo(spark, sf_dir), scratch, TRACED)
     leaves = trace(roots_of(lineage.target_fields(repo), ["folder", "scope", "instance", "field"]), expansion(repo, scratch), scratch)
     return leaves.select(F.col("root.scope").alias("mapping"), "root.field", "leaf_type", "source_field", X.chain(F.col("hops")).alias("chain"))
 
