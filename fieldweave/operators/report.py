@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldweave.scratch import Scratch
+
 
 def text_filter(df: DataFrame, text: str, columns: list[str] | None = None) -> DataFrame:
     """PF9: rows with a column that holds the text, case ignored."""
@@ -74,20 +76,26 @@ def producers_of(connectors: DataFrame, asked: DataFrame) -> DataFrame:
     return wires.join(asked.select("folder", "mapping", "instance").distinct(), ["folder", "mapping", "instance"], "left_semi").distinct()
 
 
-def instance_fields(instances: DataFrame, target_fields: DataFrame, asked: DataFrame) -> DataFrame:
+def instance_fields(instances: DataFrame, target_fields: DataFrame, asked: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """PF8: folder, mapping, instance, field, ord: target fields of each asked instance: of the first TARGET instance of the
-    name, else of the first of any type whose definition is a target."""
+    name, else of the first of any type whose definition is a target. With a scratch the instances are written first."""
     named = instances.where("scope_kind = 'MAPPING'").select("folder", F.col("scope").alias("mapping"), "instance", "transformation_name", (F.coalesce("type", F.lit("")) != "TARGET").alias("other"), F.col("ord").alias("i_ord"))
     named = named.join(asked.select("folder", "mapping", "instance").distinct(), ["folder", "mapping", "instance"], "left_semi")
     first = named.groupBy("folder", "mapping", "instance").agg(F.min(F.struct("other", "i_ord", "transformation_name")).alias("first"))
     found = first.select("folder", "mapping", "instance", F.col("first.transformation_name").alias("target"))
+    found = found if scratch is None else scratch.write(found, "listing-instances")
     return found.join(target_fields, ["folder", "target"]).select("folder", "mapping", "instance", "field", "ord")
 
 
-def listing(instances: DataFrame, target_fields: DataFrame, connectors: DataFrame, order: DataFrame, asked: DataFrame) -> DataFrame:
+#: Names of chosen instances up to which they are told to the plan as values.
+TOLD = 1000
+
+
+def listing(instances: DataFrame, target_fields: DataFrame, connectors: DataFrame, order: DataFrame, asked: DataFrame, scratch: Scratch) -> DataFrame:
     """CQ8: asked columns and state; for `ready` ones also the session, and a row for each field that is wired: field and ord.
 
-    `asked`: mapping, table, instance (blank: the table's only one). States are form_state's.
+    `asked`: mapping, table, instance (blank: the table's only one). States are form_state's. Requests and wired fields are
+    written, so that few requests are broadcast to very many fields, and these are not dealt by so few names.
     """
     mappings = instances.where("scope_kind = 'MAPPING'").select(F.col("scope").alias("mapping")).distinct()
     targets = instances.where("scope_kind = 'MAPPING' and type = 'TARGET'").select(F.col("scope").alias("mapping"), "instance", F.col("transformation_name").alias("table"))
@@ -95,13 +103,22 @@ def listing(instances: DataFrame, target_fields: DataFrame, connectors: DataFram
     chosen = target_instances(instances, state.where("state = 'ready'")).select("folder", F.col("mapping").alias("c_mapping"), F.col("table").alias("c_table"), F.col("instance").alias("chosen"))
     same = [F.col("mapping") == F.col("c_mapping"), F.col("table") == F.col("c_table"), (F.trim(F.coalesce("instance", F.lit(""))) == "") | (F.col("instance") == F.col("chosen"))]
     met = state.join(chosen, [(F.col("state") == "ready"), *same], "left").select(*asked.columns, "state", "folder", "chosen")
-    fields = instance_fields(instances, target_fields, chosen.select("folder", F.col("c_mapping").alias("mapping"), F.col("chosen").alias("instance")))
+    session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
+    met = scratch.write(met.join(session, [F.col("folder") == F.col("s_folder"), F.col("mapping") == F.col("s_mapping")], "left").drop("s_folder", "s_mapping"), "listing-requests")
+    fields = instance_fields(instances, target_fields, met.where("chosen is not null").select("folder", "mapping", F.col("chosen").alias("instance")), scratch)
+    # Wires to other instances need not be made where the chosen ones' names are few.
+    names = [r[0] for r in met.where("chosen is not null").select("chosen").distinct().limit(TOLD + 1).collect()]
+    if len(names) <= TOLD:
+        connectors = connectors.where(F.col("to_instance").isin(names))
     wires = connectors.where("scope_kind = 'MAPPING'").select("folder", F.col("scope").alias("mapping"), F.col("to_instance").alias("instance"), F.col("to_field").alias("field"))
     fields = wired_fields(fields, wires, ["folder", "mapping", "instance", "field"]).select(F.col("folder").alias("f_folder"), F.col("mapping").alias("f_mapping"), F.col("instance").alias("f_instance"), "field", "ord")
-    met = met.join(fields, [F.col("folder") == F.col("f_folder"), F.col("mapping") == F.col("f_mapping"), F.col("chosen") == F.col("f_instance")], "left")
-    session = first_session(order).select(F.col("folder").alias("s_folder"), F.col("mapping").alias("s_mapping"), "session")
-    met = met.join(session, [F.col("folder") == F.col("s_folder"), F.col("mapping") == F.col("s_mapping")], "left")
-    return met.select(*asked.columns, "state", "session", "field", "ord")
+    fields = scratch.write(fields, "listing-fields")
+    same = [F.col("folder") == F.col("f_folder"), F.col("mapping") == F.col("f_mapping"), F.col("chosen") == F.col("f_instance")]
+    # A left join keeps its left side from being broadcast, so requests without fields are added apart.
+    columns = [*asked.columns, "state", "session", "field", "ord"]
+    without = met.join(scratch.write(fields.select("f_folder", "f_mapping", "f_instance").distinct(), "listing-wired"), same, "left_anti")
+    none = [F.lit(None).cast(fields.schema[c].dataType).alias(c) for c in ("field", "ord")]
+    return fields.join(met, same).select(*columns).unionByName(without.select(*columns[:-2], *none))
 
 
 def wired_fields(fields: DataFrame, connectors: DataFrame, keys: list[str]) -> DataFrame:
