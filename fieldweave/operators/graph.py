@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,61 +63,83 @@ class Cut:
     out: DataFrame  # node, other, w: edges to other
 
 
-def eliminate(edges: DataFrame, scratch: Scratch, name: str) -> tuple[list[Cut], DataFrame, DataFrame]:
-    """(rounds, core, base): takes nodes out of a graph, a share of them each round, so that chains of n take about log n rounds.
+def eliminate(edges: DataFrame, scratch: Scratch, name: str, starts: bool = False) -> tuple[list[Cut], DataFrame, DataFrame | None]:
+    """(rounds, core, gone): takes nodes out of a graph, a share of them each round, so that chains of n take about log n rounds.
 
-    `edges`: src, dst. Nodes taken out in one round have no edges between them; each leaves an edge from every node before
-    it to every one behind it, with the length w of the longest way, so who reaches whom stays as it was. Nodes that
-    would add many edges wait; those without an edge in or out never do. core: what is left when all nodes wait, empty if
-    the graph has no cycle. base: node, base: the longest way to a node from nodes taken out before. A cycle through what was
-    taken out shows as a node that some other both leads to and is led to by.
+    `edges`: src, dst, distinct, and w if an edge is longer or shorter than 1. Nodes taken out in one round have no edges between
+    them; each leaves an edge from every node before it to every one behind it, with the length w of the longest way, so who
+    reaches whom stays as it was. Nodes that would add many edges wait; those without an edge in or out never do. core: what is
+    left when all nodes wait, empty if the graph has no cycle. gone: node: all that were taken out. With `starts` a way that
+    begins at a node that was taken out is an edge whose src is null, and a cycle stays in the core as an edge from a node to itself.
+
+    A round is three tables and as few shuffles as that allows: small graphs take as long as their jobs take to start.
     """
-    open_ = scratch.write(edges.select("src", "dst", F.lit(1).alias("w")), f"{name}-open0")
+    open_ = scratch.write(edges.select("src", "dst", F.col("w") if "w" in edges.columns else F.lit(1).alias("w")), f"{name}-open0")
     rounds: list[Cut] = []
-    base = None
     for k in count(1):
         if open_.isEmpty():
             break
-        n_in, n_out = open_.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i"), F.lit(0).alias("o")), open_.groupBy(F.col("src").alias("node")).agg(F.lit(0).alias("i"), F.count("*").alias("o"))
-        size = n_in.unionByName(n_out).groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
-        may = size.where(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + FILL)
-        may = scratch.write(may.select("node", F.struct((F.col("i") * F.col("o")).alias("cost"), F.xxhash64("node", F.lit(k)).alias("h"), "node").alias("turn")), f"{name}-may{k}")
+        real = F.col("src").isNotNull()
+        ends = open_.where(real).select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(open_.select(F.col("dst").alias("node"), real.cast("int").alias("i"), F.lit(0).alias("o")))
+        size = ends.groupBy("node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
+        may = size.where(F.col("i") * F.col("o") <= F.col("i") + F.col("o") + FILL).select("node", F.struct((F.col("i") * F.col("o")).alias("cost"), F.xxhash64("node").alias("h"), "node").alias("turn"))
         met = open_.join(may.select(F.col("node").alias("src"), F.col("turn").alias("t_src")), "src").join(may.select(F.col("node").alias("dst"), F.col("turn").alias("t_dst")), "dst")
         later = met.select(F.when(F.col("t_src") > F.col("t_dst"), F.col("src")).otherwise(F.col("dst")).alias("node")).distinct()
         cut = scratch.write(may.select("node").join(later, "node", "left_anti"), f"{name}-cut{k}")
         if cut.isEmpty():
             break
-        into = scratch.write(open_.join(cut.select(F.col("node").alias("dst")), "dst").select(F.col("dst").alias("node"), F.col("src").alias("other"), "w"), f"{name}-into{k}")
-        out = scratch.write(open_.join(cut.select(F.col("node").alias("src")), "src").select(F.col("src").alias("node"), F.col("dst").alias("other"), "w"), f"{name}-out{k}")
+        mark = lambda c: cut.select(F.col("node").alias(c), F.lit(True).alias(f"{c}_cut"))  # noqa: B023, E731
+        marked = scratch.write(open_.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left"), f"{name}-marked{k}")
+        into, out = marked.where("dst_cut").select(F.col("dst").alias("node"), F.col("src").alias("other"), "w"), marked.where("src_cut").select(F.col("src").alias("node"), F.col("dst").alias("other"), "w")
         rounds.append(Cut(cut, into, out))
-        # Ways that begin at what was taken out.
-        from_ = out.select("node", "other", "w")
-        if base is not None:
-            from_ = from_.join(base, "node", "left").select("node", "other", (F.col("w") + F.coalesce("base", F.lit(0))).alias("w"))
-        more = from_.groupBy(F.col("other").alias("node")).agg(F.max("w").alias("base"))
-        base = scratch.write(more if base is None else base.unionByName(more).groupBy("node").agg(F.max("base").alias("base")), f"{name}-base{k}")
-        ways = into.select("node", F.col("other").alias("src"), F.col("w").alias("w1")).join(out.select("node", F.col("other").alias("dst"), F.col("w").alias("w2")), "node").where("src <> dst").select("src", "dst", (F.col("w1") + F.col("w2")).alias("w"))
-        rest = open_.join(cut.select(F.col("node").alias("src")), "src", "left_anti").join(cut.select(F.col("node").alias("dst")), "dst", "left_anti")
-        open_ = scratch.write(rest.select("src", "dst", "w").unionByName(ways).groupBy("src", "dst").agg(F.max("w").alias("w")), f"{name}-open{k}")
-    return rounds, open_, base
+        ways = into.select("node", F.col("other").alias("src"), F.col("w").alias("w1")).join(out.select("node", F.col("other").alias("dst"), F.col("w").alias("w2")), "node").select("src", "dst", (F.col("w1") + F.col("w2")).alias("w"))
+        ways = ways.unionByName(out.select(F.lit(None).cast(edges.schema["src"].dataType).alias("src"), F.col("other").alias("dst"), "w")) if starts else ways.where("src <> dst")
+        rest = marked.where("src_cut is null and dst_cut is null").select("src", "dst", "w")
+        open_ = scratch.write(rest.unionByName(ways).groupBy("src", "dst").agg(F.max("w").alias("w")), f"{name}-open{k}")
+    return rounds, open_, scratch.held([f"{name}-cut{k + 1}" for k in range(len(rounds))], rounds[0].nodes) if rounds else None
+
+
+#: Rounds of `longest_levels` after which it is asked whether as many nodes a round would end the walk soon, and how many more are soon.
+ASK, SOON = 4, 16
 
 
 def longest_levels(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """GR13: node, level: 0 without predecessors, else one more than the highest predecessor's. Edges src to dst, acyclic.
 
-    Each round takes the nodes that no open node leads to. A round without such nodes means a cycle: ValueError.
+    `edges` may have w: a level's distance from that predecessor's, if not 1. Each round takes the nodes that no open node
+    leads to. Where that would be many rounds, nodes are taken out by `eliminate` and put back in the opposite order, each
+    behind those that led to it: about log n rounds. A cycle: ValueError.
     """
-    open_, links = scratch.write(nodes.select("node").distinct(), "open0"), scratch.write(subgraph(nodes, edges.select("src", "dst")), "links0")
-    found = None
-    for k in count():
-        heads = scratch.write(open_.join(links.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(k).alias("level")), f"levels{k}")
-        found = heads if found is None else found.unionByName(heads)
-        if heads.isEmpty():
-            if open_.isEmpty():
-                return found
+    open_ = scratch.write(nodes.select("node").distinct(), "open0")
+    far = "w" in edges.columns
+    links = scratch.write(subgraph(open_, edges.select("src", "dst", *(["w"] if far else []))), "links0")
+    found, first = [], 0
+    while not far:
+        heads = scratch.write(open_.join(links.select(F.col("dst").alias("node")), "node", "left_anti").select("node", F.lit(first).alias("level")), f"levels{first}")
+        n, left = heads.count(), open_.count()
+        if not n and left:
             raise ValueError("the graph has a cycle")
-        open_ = scratch.write(open_.join(heads, "node", "left_anti"), f"open{k + 1}")
-        links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{k + 1}")
+        found.append(heads)
+        first += 1
+        if n == left:
+            return reduce(DataFrame.unionByName, found)
+        open_ = scratch.write(open_.join(heads, "node", "left_anti"), f"open{first}")
+        links = scratch.write(links.join(heads.select(F.col("node").alias("src")), "src", "left_anti"), f"links{first}")
+        if first >= ASK and left - n > SOON * n:
+            break
+    rounds, core, gone = eliminate(links, scratch, "levels-cut", starts=True)
+    if not core.isEmpty():
+        raise ValueError("the graph has a cycle")
+    low = F.lit(first)
+    found.append((open_ if gone is None else open_.join(gone, "node", "left_anti")).select("node", low.alias("level")))
+    put: list[str] = []
+    for k, r in reversed(list(enumerate(rounds))):
+        led = r.into.select("node", "other", "w")
+        led = led.join(scratch.held(put, like).select(F.col("node").alias("other"), "level"), "other", "left") if put else led.withColumn("level", low)
+        led = led.select("node", (F.coalesce("level", low) + F.col("w")).alias("level"))
+        like = scratch.write(r.nodes.select("node", low.alias("level")).unionByName(led).groupBy("node").agg(F.max("level").alias("level")), f"levels-put{k}")
+        put.append(f"levels-put{k}")
+    return reduce(DataFrame.unionByName, [*found, scratch.held(put, like)] if put else found)
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name: str = "strong") -> DataFrame:
@@ -125,13 +148,21 @@ def strong_components(nodes: DataFrame, edges: DataFrame, scratch: Scratch, name
     Nodes are taken out by `eliminate`, which keeps who reaches whom, and the components of the core are found. Put back in the
     opposite order, a node is of the component that it both leads to and is led to by, if there is one.
     """
-    own = nodes.select("node").distinct()
-    rounds, core, _ = eliminate(subgraph(nodes, edges.select("src", "dst")).where("src <> dst"), scratch, f"{name}-cut")
+    own = scratch.write(nodes.select("node").distinct(), f"{name}-nodes")
+    rounds, core, _ = eliminate(subgraph(own, edges.select("src", "dst")).where("src <> dst"), scratch, f"{name}-cut")
     found = _core_components(core, scratch, name)
+    put = []
+    if found is not None:
+        found = scratch.write(found, f"{name}-put")
+        put.append(f"{name}-put")
     for k, r in reversed(list(enumerate(rounds))):
-        of = lambda side: (side.join(found.select(F.col("node").alias("other"), "component"), "other", "left") if found is not None else side.withColumn("component", F.lit(None).cast(side.schema["other"].dataType))).select("node", F.coalesce("component", "other").alias("component"))  # noqa: B023, E731
-        put = scratch.write(of(r.into).join(of(r.out), ["node", "component"], "left_semi").distinct(), f"{name}-put{k}")
-        found = put if found is None else found.unionByName(put)
+        sides = r.into.select("node", "other", F.lit(1).alias("way")).unionByName(r.out.select("node", "other", F.lit(2).alias("way")))
+        sides = sides.join(found.select(F.col("node").alias("other"), "component"), "other", "left").select("node", "way", F.coalesce("component", "other").alias("component")) if put else sides.select("node", "way", F.col("other").alias("component"))
+        both = sides.groupBy("node", "component").agg(F.min("way").alias("low"), F.max("way").alias("high")).where("low < high")
+        at = scratch.write(both.select("node", "component"), f"{name}-put{k}")
+        if put or not at.isEmpty():
+            put.append(f"{name}-put{k}")
+            found = scratch.held(put, at)
     if found is None:
         return own.select("node", F.col("node").alias("component"))
     named = own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("named"))
@@ -184,7 +215,7 @@ def break_cycles(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> tuple[
     the first part of that of its src. Edges without one of their ends among the nodes are left out.
     """
     order = lambda df, by: F.col("ord") if "ord" in df.columns else F.col(by)
-    held = subgraph(nodes, edges)
+    held = scratch.write(subgraph(nodes, edges), "held")
     parts = scratch.write(strong_components(nodes, held, scratch), "components")
     side = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}"))
     placed = scratch.write(held.join(side("src"), "src").join(side("dst"), "dst"), "placed")
