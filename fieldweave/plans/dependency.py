@@ -125,7 +125,8 @@ def flow(repo: Repository, scratch: Scratch) -> Flow:
     nodes = seen.join(every.select(*SCOPE, "instance", "itype", "transformation_name", t_of.alias("ttype")), [*SCOPE, "instance", "itype"], "left")
     nodes = nodes.join(maps.where("boundary <> 'input'").select("folder", F.col("mapplet").alias("transformation_name"), F.col("exposed").alias("field"), "internal"), ["folder", "transformation_name", "field"], "left")
     nodes = nodes.withColumn("entry_field", F.when(F.col("itype") == "MAPPLET", F.coalesce("internal", "field"))).join(outs, ["folder", "transformation_name", "entry_field"], "left").join(any_out, ["folder", "transformation_name", "entry_field"], "left")
-    nodes = nodes.join(told, [*SCOPE, "instance", "field"], "left")
+    # Without references told is a scan of the ports, whose file says too little of their rows: Spark would broadcast them all.
+    nodes = nodes.join(told.hint("merge"), [*SCOPE, "instance", "field"], "left")
     nodes = nodes.select(*PLACE, F.col("transformation_name").alias("table"), F.coalesce("ttype", F.lit("(unknown)")).alias("ttype"), F.coalesce("logic", F.lit(PASS_NOTE)).alias("logic"), F.coalesce("is_crossing", F.lit(False)).alias("is_crossing"), F.coalesce("entry_instance", "any_instance").alias("entry_instance"), "entry_field")
     back = maps.where("boundary = 'input'").groupBy("folder", F.col("mapplet").alias("scope"), F.col("internal").alias("field")).agg(F.max("exposed").alias("exposed"))
     return Flow(scratch.write(nodes, "flow-nodes"), scratch.write(edges, "flow-edges"), scratch.write(back, "flow-back"))
@@ -309,7 +310,8 @@ def _followed(ends: DataFrame, run: Run, repo: Repository, scratch: Scratch, nam
     visits = first_visits(heads.limit(1).select(F.lit(0).alias("root"), F.lit("run").alias("read")), edges, ["read"], scratch, f"{name}-visits")
     added = F.aggregate("path", F.lit(0).cast("long"), lambda s, x: s + x % HOP_DIGITS)
     visits = visits.where("read <> 'run'").select("read", F.col("path").alias("run_path"), added.cast("int").alias("added"))
-    seen = visits.join(heads.select("read", "up_root").unionByName(writer.select("read", "up_root")), "read")
+    # Likewise a union of two tables.
+    seen = visits.join(heads.select("read", "up_root").unionByName(writer.select("read", "up_root")).hint("merge"), "read")
     return seen, reads
 
 
