@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldweave.functions.expressions import business_logic, category, chain, grouped_hops, port_class, tokens
@@ -33,29 +33,56 @@ def transformation_catalog(repo: Repository, scratch: Scratch, scope_kind: str =
     ports = instance_ports(inst, repo).where((F.col("scope_kind") == scope_kind) & (F.col("type") == "TRANSFORMATION"))
     kept = [*OWNER, "transformation_type", "d_attrs", F.col("p_port").alias("port"), F.col("p_porttype").alias("porttype"), F.col("p_expression").alias("expr"), F.col("p_attrs").alias("port_attrs"), F.col("p_grp").alias("grp"), "d_kind", "d_scope", "transformation_name"]
     ports = scratch.write(ports.select(*kept, port_class(F.col("p_port"), F.col("p_porttype"), F.col("p_expression")).alias("class")), f"ports-{scope_kind}")
-    roots = ports.where("class.is_out or class.is_var or not class.is_in")
-    named = ports.where("expr <> ''").select(*OWNER, "port", F.posexplode(tokens(F.col("expr"))).alias("ord", "next_port"))
+    key = [*OWNER, "port"]
+    is_root = F.expr("class.is_out or class.is_var or not class.is_in")
+    # Written, so that the walk doesn't find them anew each round, and that few names are broadcast to the ports.
+    named = scratch.write(ports.where("expr <> ''").select(*key, F.posexplode(tokens(F.col("expr"))).alias("ord", "next_port")), f"named-{scope_kind}")
     edges = named.join(ports.select(*OWNER, F.col("port").alias("next_port")), [*OWNER, "next_port"])
-    edges = edges.select(*OWNER, "port", *[F.col(c).alias(f"next_{c}") for c in OWNER], "next_port", "ord")
-    visits = first_visits(roots.select(F.struct(*OWNER, "port").alias("root"), *OWNER, "port"), edges, [*OWNER, "port"], scratch, f"closure-{scope_kind}")
-    seen = visits.join(ports.select(*OWNER, "port", "expr", "class"), [*OWNER, "port"])
-    own = F.col("port") == F.col("root.port")
+    edges = scratch.write(edges.select(*key, *[F.col(c).alias(f"next_{c}") for c in OWNER], "next_port", "ord"), f"edges-{scope_kind}")
+    # Ports that name no other reach themselves alone, so only the rest are walked; a walk stays in its instance.
+    walked = ports.where(is_root).join(edges.select(*key).distinct(), key, "left_semi")
+    visits = first_visits(walked.select(F.col("port").alias("root"), *key), edges, key, scratch, f"closure-{scope_kind}")
+    reached = visits.where("port <> root").join(ports.select(*key, "expr", "class"), key)
     blank = F.col("expr") == ""
     is_out, is_in, is_var = (F.col(f"class.{c}") for c in ("is_out", "is_in", "is_var"))
-    as_out = is_out & own
-    as_var = ~as_out & (is_var | is_out)
-    as_in = (~as_out & ~as_var & is_in & blank) | (blank & is_out & is_in)
-    listed = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("port")))), ", ")
-    line = F.when(~blank, F.struct("path", F.concat("port", F.lit(" = "), "expr").alias("line")))
-    lines = F.array_join(F.transform(F.reverse(F.array_sort(F.collect_list(line))), lambda x: x["line"]), "\n")
-    told = seen.groupBy("root").agg(listed(as_in).alias("Input Ports"), listed(as_out).alias("Output Ports"), listed(as_var).alias("Custom / Variable Ports"), lines.alias("closure")).select("root.*", "Input Ports", "Output Ports", "Custom / Variable Ports", "closure")
+
+    def shown_as(own: bool) -> tuple[Column, Column, Column]:
+        """Whether a port is listed as input, output and variable, of itself (own) or of a port that reaches it."""
+        as_out = is_out & F.lit(own)
+        as_var = ~as_out & (is_var | is_out)
+        return (~as_out & ~as_var & is_in & blank) | (blank & is_out & is_in), as_out, as_var
+
+    line = lambda path: F.when(~blank, F.struct(path.alias("path"), F.concat("port", F.lit(" = "), "expr").alias("line")))
+    as_in, _, as_var = shown_as(own=False)
+    far = reached.groupBy(*OWNER, "root").agg(F.collect_set(F.when(as_in, F.col("port"))).alias("far_in"), F.collect_set(F.when(as_var, F.col("port"))).alias("far_var"), F.collect_list(line(F.col("path"))).alias("far_lines"))
+    as_in, as_out, as_var = shown_as(own=True)
+    # Rows that aren't shown bring their name and kind alone.
+    wide = ["transformation_type", "d_attrs", "expr", "port_attrs", "grp", "d_kind", "d_scope", "transformation_name"]
+    own = ports.select(*key, *[F.when(is_root, F.col(c)).alias(c) for c in wide], is_root.alias("is_root"), as_in.alias("own_in"), as_out.alias("own_out"), as_var.alias("own_var"), line(F.expr("cast(array() as array<bigint>)")).alias("own_line"))
+    # One shuffle by the name of a port brings together its rows and what it reaches.
+    rows = own.unionByName(far.withColumnRenamed("root", "port"), allowMissingColumns=True).dropna(subset=key)
+    w = Window.partitionBy(*key[::-1])
+    over = lambda **c: [v.over(w).alias(k) for k, v in c.items()]
+    found = over(in_=F.bool_or("own_in"), out=F.bool_or("own_out"), var=F.bool_or("own_var"), all_in=F.max("far_in"), all_var=F.max("far_var"), all_lines=F.max("far_lines"), own_lines=F.collect_list("own_line"), n_roots=F.count_if("is_root"))
+    rows = rows.select(*key, *wide, "is_root", *found).where("is_root")
+    none = F.expr("cast(array() as array<string>)")
+    itself = lambda side: F.when(F.col(side), F.array("port")).otherwise(none)
+    listed = lambda names: F.array_join(F.array_sort(names), ", ")
+    ins, vars_ = F.concat(F.coalesce("all_in", none), itself("in_")), F.concat(F.coalesce("all_var", none), itself("var"))
+    # A port's own lines count once for each row that asks for them.
+    own_lines = F.flatten(F.array_repeat("own_lines", F.col("n_roots").cast("int")))
+    lines = F.coalesce(F.concat("all_lines", own_lines), own_lines)
+    closure = F.array_join(F.transform(F.reverse(F.array_sort(lines)), lambda x: x["line"]), "\n")
+    rows = rows.select(*key, *wide, listed(ins).alias("Input Ports"), listed(itself("out")).alias("Output Ports"), listed(vars_).alias("Custom / Variable Ports"), closure.alias("closure"))
     g = repo.port_group.select(*[F.col(c).alias(f"g_{c}") for c in SCOPE], F.col("transformation").alias("g_name"), F.col("grp").alias("g_grp"), F.col("attrs").alias("grp_attrs"))
-    rows = roots.join(told, [*OWNER, "port"]).join(g, [F.col("folder") == F.col("g_folder"), F.col("d_kind") == F.col("g_scope_kind"), F.col("d_scope") == F.col("g_scope"), F.col("transformation_name") == F.col("g_name"), F.col("grp") == F.col("g_grp")], "left")
+    rows = rows.join(g, [F.col("folder") == F.col("g_folder"), F.col("d_kind") == F.col("g_scope_kind"), F.col("d_scope") == F.col("g_scope"), F.col("transformation_name") == F.col("g_name"), F.col("grp") == F.col("g_grp")], "left")
     logic, more = business_logic(F.col("transformation_type"), F.col("d_attrs"), F.col("port_attrs"), F.col("grp"), F.col("grp_attrs"), F.col("closure"))
-    out = rows.select(F.col("instance").alias("Transformation Name"), F.col("port").alias("PORT_NAME"), F.coalesce("transformation_type", F.lit("")).alias("Transformation Type"), logic.alias("Business Logic"), more.alias("Additional Informations"), category(F.col("expr")).alias("Category"), "Input Ports", "Output Ports", "Custom / Variable Ports", F.col("scope").alias("_Mapping"), F.col("port").alias("_Port"))
+    out = rows.select(F.col("instance").alias("Transformation Name"), F.col("port").alias("PORT_NAME"), F.coalesce("transformation_type", F.lit("")).alias("Transformation Type"), logic.alias("Business Logic"), more.alias("Additional Informations"), category(F.col("expr")).alias("Category"), "Input Ports", "Output Ports", "Custom / Variable Ports", F.col("scope").alias("_Mapping"))
+    # What only repeats a column is added after, so rows are told apart by fewer.
+    out = out.dropDuplicates().withColumn("_Port", F.col("PORT_NAME"))
     if scope_kind == "MAPPLET":
         out = out.withColumnRenamed("_Mapping", "_Mapplet").withColumn("Mapplet_Name", F.col("_Mapplet"))
-    return out.dropDuplicates()
+    return out
 
 
 def shown(catalog: DataFrame) -> DataFrame:
